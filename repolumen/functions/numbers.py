@@ -16,29 +16,38 @@ MAX_LIMIT = 50
 FORK_FACTOR = 5
 
 
+def fixed_text(value: Column, digits: int) -> Column:
+    """Fixed number of digits, rounded on the exact binary value, ties away from zero.
+
+    Only multiples of 1 / 2**(digits + 1) can be ties; they are moved up by half
+    a unit, all others are rounded by the formatter.
+    """
+    size = F.abs(value.cast("double"))
+    is_tie = (size * float(2 ** (digits + 1))) % 2 == 1
+    moved = F.when(is_tie, size + 0.5 * 10.0**-digits).otherwise(size)
+    pattern = "0" + ("." + "0" * digits if digits else "")
+    return F.concat(F.when(value < 0, "-").otherwise(""), F.call_function("format_number", moved, F.lit(pattern)))
+
+
 def _drop_zero(text: Column) -> Column:
     return F.regexp_replace(text, r"\.0$", "")
 
 
 def compact_number(n: Column) -> Column:
     """``999``, ``1k``, ``12.3k``: one digit, no trailing ``.0``."""
-    kilo = F.concat(_drop_zero(F.format_string("%.1f", n / 1000)), F.lit("k"))
+    kilo = F.concat(_drop_zero(fixed_text(n / 1000, 1)), F.lit("k"))
     return F.when(n >= 1000, kilo).otherwise(n.cast("string"))
 
 
 def compact_count(n: Column) -> Column:
     """``999``, ``12k`` (no digits), ``3.4M`` (one digit)."""
-    mega = F.concat(_drop_zero(F.format_string("%.1f", n / 1_000_000)), F.lit("M"))
-    kilo = F.concat(F.format_string("%.0f", n / 1000), F.lit("k"))
+    mega = F.concat(_drop_zero(fixed_text(n / 1_000_000, 1)), F.lit("M"))
+    kilo = F.concat(fixed_text(n / 1000, 0), F.lit("k"))
     return F.when(n >= 1_000_000, mega).when(n >= 1000, kilo).otherwise(n.cast("string"))
 
 
 def percent_text(score: Column) -> Column:
-    return F.concat(F.format_string("%.0f", score * 100), F.lit("%"))
-
-
-def fixed_text(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+    return F.concat(fixed_text(score * 100, 0), F.lit("%"))
 
 
 def token_cost(tokens: Column, usd_per_million: Column) -> Column:

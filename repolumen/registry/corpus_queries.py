@@ -177,7 +177,7 @@ def load_report(spark, sf_dir):
     "p12_warehouse_filter",
     f"""{_EXPORT} SELECT f.id, f.repo_name, f.path FROM files f
         WHERE lower(path) = 'readme.md' AND id IN
-          (SELECT id FROM contents WHERE content IS NOT NULL AND binary = false)""",
+          (SELECT c.id FROM contents c WHERE c.content IS NOT NULL AND c.binary = false)""",
 )
 def warehouse_filter(spark, sf_dir):
     """Root READMEs with text content."""
@@ -213,11 +213,9 @@ def dated_jsonl(spark, sf_dir):
 
 @register(
     "x12_display_numbers",
-    """SELECT event_id, printf('%.2f', value) AS two, printf('%.0f', value) || '%' AS percent,
-         CASE WHEN event_id >= 1000
-              THEN regexp_replace(printf('%.1f', event_id / 1000), '\\.0$', '') || 'k'
-              ELSE CAST(event_id AS VARCHAR) END AS compact
-       FROM events""",
+    f"""SELECT event_id, {I.fixed_sql("value", 2)} AS two,
+          {I.fixed_sql("(value / 100 * 100)", 0)} || '%' AS percent,
+          {I.compact_sql("event_id")} AS compact FROM events""",
 )
 def display(spark, sf_dir):
     """Fixed digits, percent and compact numbers."""
@@ -232,11 +230,8 @@ def display(spark, sf_dir):
 
 @register(
     "x13_compact_count",
-    """SELECT o_orderkey, CASE WHEN n >= 1000000
-              THEN regexp_replace(printf('%.1f', n / 1000000), '\\.0$', '') || 'M'
-              WHEN n >= 1000 THEN printf('%.0f', n / 1000) || 'k'
-              ELSE CAST(n AS VARCHAR) END AS compact
-       FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 7) AS BIGINT) AS n FROM orders)""",
+    f"""SELECT o_orderkey, {I.compact_count_sql("n")} AS compact
+        FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 7) AS BIGINT) AS n FROM orders)""",
 )
 def compact_counts(spark, sf_dir):
     """Counts in thousands and millions."""

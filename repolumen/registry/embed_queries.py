@@ -223,11 +223,9 @@ def replace(spark, sf_dir):
 
 @register(
     "a13_index_stats",
-    """SELECT n AS repos, CASE WHEN n >= 1000 THEN printf('%.0f', n / 1000) || 'k'
-           ELSE CAST(n AS VARCHAR) END AS repos_text, n * 5 AS with_forks,
-         CASE WHEN n * 5 >= 1000 THEN printf('%.0f', n * 5 / 1000) || 'k'
-           ELSE CAST(n * 5 AS VARCHAR) END AS with_forks_text
-       FROM (SELECT count(*) AS n FROM embeddings)""",
+    f"""SELECT n AS repos, {I.compact_count_sql("n")} AS repos_text, n * 5 AS with_forks,
+          {I.compact_count_sql("(n * 5)")} AS with_forks_text
+        FROM (SELECT count(*) AS n FROM embeddings)""",
 )
 def stats(spark, sf_dir):
     """A13."""

@@ -177,6 +177,29 @@ def ids_of_language(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     return docs.select(hash_to_uuid(content_sha1(F.col("text"))).alias("id")).distinct()
 
 
+
+
+def fixed_sql(value: str, digits: int) -> str:
+    """Fixed digits of a value, ties away from zero."""
+    size = f"abs(CAST({value} AS DOUBLE))"
+    moved = f"CASE WHEN ({size} * {2 ** (digits + 1)}) % 2 = 1 THEN {size} + {0.5 * 10.0**-digits} ELSE {size} END"
+    return f"(CASE WHEN {value} < 0 THEN '-' ELSE '' END || printf('%.{digits}f', {moved}))"
+
+
+def compact_sql(n: str) -> str:
+    kilo = f"regexp_replace({fixed_sql(f'({n} / 1000)', 1)}, '\\.0$', '') || 'k'"
+    return f"CASE WHEN {n} >= 1000 THEN {kilo} ELSE CAST({n} AS VARCHAR) END"
+
+
+def compact_count_sql(n: str) -> str:
+    mega = f"regexp_replace({fixed_sql(f'({n} / 1000000)', 1)}, '\\.0$', '') || 'M'"
+    kilo = f"{fixed_sql(f'({n} / 1000)', 0)} || 'k'"
+    return (
+        f"CASE WHEN {n} >= 1000000 THEN {mega} WHEN {n} >= 1000 THEN {kilo}"
+        f" ELSE CAST({n} AS VARCHAR) END"
+    )
+
+
 # --- warehouse ---------------------------------------------------------------
 
 _PATH = _case("lang", {"fr": "readme.MD", "de": "docs/README.md"}, "README.md")

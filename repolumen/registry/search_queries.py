@@ -240,7 +240,7 @@ def ann_recall(spark, sf_dir):
 @register(
     "q5_ranked_table",
     f"WITH {I.POINTS}, {_HITS}, {I.READMES}, {_CONTENT} SELECT qid, rank, h.repo_name AS repo,"
-    " printf('%.2f', score) AS score, content FROM hits h LEFT JOIN best USING (repo_name)"
+    f" {I.fixed_sql('score', 2)} AS score, content FROM hits h LEFT JOIN best USING (repo_name)"
     " WHERE h.repo_name IS NOT NULL",
 )
 def ranked(spark, sf_dir):
@@ -253,7 +253,7 @@ def ranked(spark, sf_dir):
 @register(
     "p18_shaped_hits",
     f"""{_SEARCH} SELECT qid, rank, round(score, 6) AS score, repo_name AS repo,
-          'https://github.com/' || repo_name AS url, printf('%.0f', score * 100) || '%' AS percent
+          'https://github.com/' || repo_name AS url, {I.fixed_sql('(score * 100)', 0)} || '%' AS percent
         FROM hits WHERE repo_name IS NOT NULL""",
 )
 def shaped(spark, sf_dir):
@@ -267,10 +267,7 @@ def shaped(spark, sf_dir):
     f"""WITH {I.POINTS}, {_HITS}, {_INFO},
         fresh AS (SELECT * FROM info WHERE fetched_at > TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR)
         SELECT qid, rank, h.repo_name, description, stars, language, forks,
-          CASE WHEN stars >= 1000 THEN regexp_replace(printf('%.1f', stars / 1000), '\\.0$', '')
-            || 'k' ELSE CAST(stars AS VARCHAR) END AS stars_text,
-          CASE WHEN forks >= 1000 THEN regexp_replace(printf('%.1f', forks / 1000), '\\.0$', '')
-            || 'k' ELSE CAST(forks AS VARCHAR) END AS forks_text
+          {I.compact_sql("stars")} AS stars_text, {I.compact_sql("forks")} AS forks_text
         FROM hits h LEFT JOIN fresh USING (repo_name)""",
 )
 def repo_details(spark, sf_dir):

@@ -57,11 +57,19 @@ walk AS (
   FROM walk w JOIN rows r ON r.source = w.source AND r.n = w.n + 1) """
 
 
-def _as_stream(df, name, files=4):
-    """The rows as a file stream, in time order over a few micro-batches."""
+def _as_stream(df, name, parts=3):
+    """The rows as a file stream, in time order over a few micro-batches.
+
+    One write per time range, oldest first: a file stream takes files by age.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
-    # Files of one write have the same age; the name decides, and it follows the range.
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    steps = [i / parts for i in range(1, parts)]
+    bounds = df.agg(F.percentile_approx(at, steps).alias("b")).head()["b"]
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = df if low is None else df.where(at >= low)
+        part = part if high is None else part.where(at < high)
+        part.coalesce(1).write.mode("append").parquet(path)
     reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
     return reader.parquet(path)
 
@@ -90,7 +98,10 @@ def request_quota(spark, sf_dir):
 def request_quota_stream(spark, sf_dir):
     """M2 as a stream with state per client."""
     stream = _as_stream(I.requests(spark, sf_dir), "requests")
-    return _drain(quota.stream_quota(stream, 10, QUOTA_WINDOW, ("valid-key",)), "verdicts")
+    verdicts = quota.stream_quota(
+        stream, 10, QUOTA_WINDOW, ("valid-key",), late=timedelta(days=1)
+    )
+    return _drain(verdicts, "verdicts")
 
 
 @register("m3_bursts", _BURSTS)
@@ -99,6 +110,22 @@ def query_bursts(spark, sf_dir):
     return bursts.collapse_bursts(I.query_log(spark, sf_dir), PAUSE, span_pauses=16)
 
 
+@register("m3_bursts_stream", _BURSTS)
+def query_bursts_stream(spark, sf_dir):
+    """M3 as a stream: a session per burst. Its last bursts close with the end marker."""
+    log = I.query_log(spark, sf_dir)
+    end = F.max(F.col("ts")) + F.make_dt_interval(F.lit(2))
+    marker = log.agg(
+        F.lit(-1).cast("long").alias("user_id"),
+        end.alias("ts"),
+        F.lit(-1).cast("long").alias("event_id"),
+        F.lit("").alias("query"),
+    )
+    stream = _as_stream(log.unionByName(marker), "query-log")
+    found = _drain(bursts.stream_bursts(stream, PAUSE, late=timedelta(hours=1)), "bursts")
+    return found.where("user_id >= 0").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @register("w8_health_now", _HEALTH + """SELECT source, round(arg_max(health, n), 6) AS health_ms
   FROM walk GROUP BY source""")
 def health_now(spark, sf_dir):

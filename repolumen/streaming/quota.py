@@ -222,14 +222,16 @@ def stream_quota(
     limit: int = ANON_LIMIT,
     window: timedelta = WINDOW,
     valid_keys: Iterable[str] = (),
-    forget_after: timedelta = timedelta(hours=1),
+    late: timedelta | None = None,
 ) -> DataFrame:
     """The same verdicts on a stream: two numbers of state per client.
 
     Requests of one trigger are taken in time order; bound a trigger's size at
-    the source. Idle clients are forgotten after ``forget_after``.
+    the source. With ``late``, a client is forgotten once its window is that far
+    in the past, and requests arriving later than that are dropped by the
+    watermark; without it all clients are kept and nothing is dropped.
     """
-    width, forget_ms = _micros(window), int(forget_after.total_seconds() * 1000)
+    width = _micros(window)
 
     def decide(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -242,19 +244,25 @@ def stream_quota(
         rows = rows.assign(span=0, end_in=end, count_in=count)
         (out,) = _resolve(iter([rows]), width)
         state.update((int(out["end_us"].iat[-1]), int(out["rank"].iat[-1])))
-        state.setTimeoutDuration(forget_ms)
+        if late is not None:
+            past_end = int(out["end_us"].iat[-1]) // 1000 + 1
+            state.setTimeoutTimestamp(max(past_end, state.getCurrentWatermarkMs() + 1))
         yield out[["event_id", "client", "ts_us", "end_us", "rank"]]
 
     classed = classify_requests(requests, valid_keys)
+    limited = classed.where(F.col("kind") == "limited")
+    if late is not None:
+        limited = limited.withColumn("at", F.timestamp_micros("ts_us")).withWatermark(
+            "at", f"{_micros(late)} microseconds"
+        )
     ranked = (
-        classed.where(F.col("kind") == "limited")
-        .groupBy("client")
+        limited.groupBy("client")
         .applyInPandasWithState(
             decide,
             "event_id long, client string, ts_us long, end_us long, rank long",
             "end_us long, rank long",
             "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
+            GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout,
         )
     )
     return _verdicts(ranked, classed.where(F.col("kind") != "limited"), limit)
