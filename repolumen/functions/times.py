@@ -21,4 +21,14 @@ def days_before(ts: Column, days: int) -> Column:
 
 def is_fresh(fetched_at: Column, as_of: Column, ttl: timedelta) -> Column:
     """True while the entry is younger than ``ttl``; at exactly ``ttl`` it is stale."""
-    return fetched_at > as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl.total_seconds()))
+    zero = F.lit(0)
+    return fetched_at > as_of - F.make_dt_interval(zero, zero, zero, F.lit(ttl.total_seconds()))
+
+
+def micros_of(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def span_of(micros: Column, width: int) -> Column:
+    """Number of the fixed-width time span, in whole numbers throughout."""
+    return ((micros - F.pmod(micros, F.lit(width))) / width).cast("long")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repolumen.functions.vectors import l2_norm
 from repolumen.operators.scoring import (
     BLOCK_BYTES,
     QueryBlock,
@@ -35,7 +36,7 @@ def fit_centers(
     Centers only decide which rows are looked at together, so on a large index
     (pass its ``rows``) they are trained on a share of it.
     """
-    training = index.where(F.size("vector") > 0)
+    training = index.where(l2_norm(F.col("vector")) > 0)
     if rows and rows > 2 * n_cells * TRAIN_ROWS_PER_CELL:
         training = training.sample(n_cells * TRAIN_ROWS_PER_CELL / rows, seed=seed)
     features = training.select(
@@ -84,6 +85,7 @@ def cell_top_k(
     probes: int,
     payload: tuple[str, ...] = (),
     block_bytes: int = BLOCK_BYTES,
+    n_queries: int | None = None,
 ) -> DataFrame:
     """Top-k over the ``probes`` nearest cells of each query.
 
@@ -104,7 +106,7 @@ def cell_top_k(
         )
         return rank_hits(hits, block.max_limit)
 
-    return search_in_blocks(queries, dimension, block_bytes, search_block)
+    return search_in_blocks(queries, dimension, block_bytes, n_queries, search_block)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

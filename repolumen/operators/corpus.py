@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,21 +87,44 @@ def first_per_id(items: DataFrame) -> DataFrame:
     )
 
 
+def _all_ids(tables: tuple[DataFrame, ...]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [t.select("id") for t in tables])
+
+
 def without_known(items: DataFrame, *known_ids: DataFrame) -> DataFrame:
     """Items whose id is in none of the given id tables (index, in flight, just done).
 
     Sort-merge or broadcast is left to the sizes seen at run time.
     """
-    known = None
-    for ids in known_ids:
-        ids = ids.select("id")
-        known = ids if known is None else known.unionByName(ids)
-    return items if known is None else items.join(known, "id", "left_anti")
+    return items.join(_all_ids(known_ids), "id", "left_anti") if known_ids else items
 
 
 def new_items(records: DataFrame, *known_ids: DataFrame) -> DataFrame:
-    """Records to embed: keyed, one per id, not known yet. Shuffles by id once."""
-    return without_known(first_per_id(keyed_items(records)), *known_ids)
+    """Records to embed: keyed, one per id (see :func:`first_per_id`), not known yet.
+
+    Known ids take part in the fold as rows without content, and ids that met
+    one are left out after it. Deduplication and difference so share one shuffle
+    by id. An anti join would do the same, but the optimizer moves it below the
+    aggregation, where copies of a frequent text are not folded yet.
+    """
+    items = keyed_items(records).where(F.col("id").isNotNull()).drop("kind")
+    if not known_ids:
+        return first_per_id(items)
+    nothing = [F.lit(None).cast("string").alias(c) for c in items.columns if c != "id"]
+    known = _all_ids(known_ids).select("id", *nothing, F.lit(True).alias("known"))
+    return (
+        items.withColumn("known", F.lit(False))
+        .unionByName(known)
+        .groupBy("id")
+        .agg(
+            F.min("repo_name").alias("repo_name"),
+            F.any_value("content", True).alias("content"),
+            F.any_value("content_hash", True).alias("content_hash"),
+            F.bool_or("known").alias("known"),
+        )
+        .where(~F.col("known"))
+        .drop("known")
+    )
 
 
 def load_report(records: DataFrame, existing_ids: DataFrame) -> DataFrame:

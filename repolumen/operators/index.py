@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from repolumen.functions.numbers import FORK_FACTOR, compact_count
 from repolumen.operators.corpus import without_known
+from repolumen.session import cut_lineage
 from repolumen.sources import schemas
 from repolumen.sources.readers import child_names, path_exists
 
+BROADCAST_IDS = 1_000_000  # ids broadcast at most, some 60 MB
 INDEX_COLUMNS = schemas.VECTOR_INDEX.fieldNames()
 
 
@@ -83,21 +85,30 @@ def append_points(
     )
 
 
-def merged_index(index: DataFrame, points: DataFrame) -> DataFrame:
-    """The index with ``points`` in place of rows of the same id."""
+def merged_index(index: DataFrame, points: DataFrame, n_points: int | None = None) -> DataFrame:
+    """The index with ``points`` in place of rows of the same id.
+
+    With a known, small number of points their ids are broadcast and the vectors
+    of the index stay where they are; else both sides are shuffled by id.
+    """
     fresh = unique_points(points).select(*INDEX_COLUMNS)
-    kept = index.select(*INDEX_COLUMNS).join(points.select("id"), "id", "left_anti")
+    replaced = points.select("id")
+    if n_points is not None and n_points <= BROADCAST_IDS:
+        replaced = F.broadcast(replaced)
+    kept = index.select(*INDEX_COLUMNS).join(replaced, "id", "left_anti")
     return kept.select(*INDEX_COLUMNS).unionByName(fresh)
 
 
 def replace_points(spark: SparkSession, root: str, points: DataFrame, dimension: int) -> int:
     """Upsert: write the next version with the points replaced; its number.
 
-    A retry after a lost job overwrites the unfinished version; readers stay on
+    The points are written to the shared folder first: they are counted, joined
+    and written, but made only once. A retry after a lost job overwrites the unfinished version; readers stay on
     the last finished one.
     """
     version = ensure_index(spark, root)
-    merged = merged_index(read_index(spark, root), checked_points(points, dimension))
+    points = cut_lineage(checked_points(points, dimension).select(*INDEX_COLUMNS), "points")
+    merged = merged_index(read_index(spark, root), points, points.count())
     merged.write.mode("overwrite").option("compression", "zstd").parquet(
         _version_path(root, version + 1)
     )

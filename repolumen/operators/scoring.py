@@ -201,17 +201,19 @@ def rank_hits(hits: DataFrame, max_k: int) -> DataFrame:
 
 
 def query_blocks(
-    queries: DataFrame, dimension: int, block_bytes: int = BLOCK_BYTES
+    queries: DataFrame,
+    dimension: int,
+    block_bytes: int = BLOCK_BYTES,
+    n_queries: int | None = None,
 ) -> Iterator[DataFrame]:
     """Split the queries (``qid``, ``k``, ``vector``) into blocks of bounded size.
 
-    One count decides. A single block is used as it is; more are numbered and
-    sliced, so the driver never holds more than one.
+    Their count decides; ``n_queries`` saves it, and with it a second run of a
+    stage that made the vectors. A single block is used as it is. More are
+    numbered and sliced, so the driver never holds more than one.
     """
     rows = block_rows(dimension, block_bytes)
-    # Read twice below: without a cut a user's embed stage would run twice.
-    queries = cut_lineage(queries, "queries")
-    total = queries.count()
+    total = queries.count() if n_queries is None else n_queries
     if total <= rows:
         yield queries
         return
@@ -224,6 +226,7 @@ def search_in_blocks(
     queries: DataFrame,
     dimension: int,
     block_bytes: int,
+    n_queries: int | None,
     search_block: Callable[[QueryBlock, Broadcast], DataFrame],
 ) -> DataFrame:
     """Search block after block.
@@ -232,7 +235,7 @@ def search_in_blocks(
     released before the next one is taken.
     """
     context = queries.sparkSession.sparkContext
-    blocks = list(query_blocks(queries, dimension, block_bytes))
+    blocks = list(query_blocks(queries, dimension, block_bytes, n_queries))
     parts = []
     for part in blocks:
         block = take_block(part, dimension)
@@ -251,6 +254,7 @@ def exact_top_k(
     dimension: int,
     payload: tuple[str, ...] = (),
     block_bytes: int = BLOCK_BYTES,
+    n_queries: int | None = None,
 ) -> DataFrame:
     """Exact search: ``qid, score, id, payload.., rank`` for queries (``qid, k, vector``)."""
 
@@ -258,7 +262,7 @@ def exact_top_k(
         hits = score_block(index, shared, dimension, list(payload))
         return rank_hits(hits, block.max_limit)
 
-    return search_in_blocks(queries, dimension, block_bytes, search_block)
+    return search_in_blocks(queries, dimension, block_bytes, n_queries, search_block)
 
 
 def top_k_for_one(

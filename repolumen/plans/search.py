@@ -41,8 +41,7 @@ def search(
 ) -> DataFrame:
     """Top repositories per query; with ``readmes`` their content is attached."""
     asked = answerable(queries, default_limit)
-    hits = _search_vectors(embed_queries(asked, embedder), index, embedder.dimension)
-    return _with_content(hits, asked, readmes)
+    return _search(asked, embed_queries(asked, embedder), index, embedder.dimension, readmes)
 
 
 def search_hypothetical(
@@ -59,16 +58,20 @@ def search_hypothetical(
         generate_column(asked, make_generate, "query", "hypothetical_doc"), "hypothetical"
     )
     vectors = embed_queries(written, embedder, "hypothetical_doc")
-    hits = _search_vectors(vectors, index, embedder.dimension)
-    return _with_content(hits, asked, readmes).join(written.select("qid", "query", "hypothetical_doc"), "qid")
+    hits = _search(written, vectors, index, embedder.dimension, readmes)
+    return hits.join(written.select("qid", "query", "hypothetical_doc"), "qid")
 
 
-def _search_vectors(queries: DataFrame, index: DataFrame, dimension: int) -> DataFrame:
-    return exact_top_k(queries, index, dimension, payload=("repo_name",))
-
-
-def _with_content(hits: DataFrame, asked: DataFrame, readmes: DataFrame | None) -> DataFrame:
-    """Attach content; the capped limit bounds the hits by the number of queries."""
+def _search(
+    asked: DataFrame,
+    vectors: DataFrame,
+    index: DataFrame,
+    dimension: int,
+    readmes: DataFrame | None,
+) -> DataFrame:
+    """Exact hits; the capped limit bounds them by the number of queries asked."""
+    n_queries = asked.count()
+    hits = exact_top_k(vectors, index, dimension, ("repo_name",), n_queries=n_queries)
     if readmes is None:
         return hits
-    return attach_content(hits, readmes, max_hits=asked.count() * MAX_LIMIT)
+    return attach_content(hits, readmes, max_hits=n_queries * MAX_LIMIT)

@@ -77,7 +77,8 @@ def nearest_with_content(spark, sf_dir):
     """The flagship: all vectors ask for their ten nearest, content attached."""
     found = _nearest(spark, sf_dir)
     docs = I.readmes(spark, sf_dir)
-    with_text = hits.attach_content(found.where(F.col("repo_name").isNotNull()), docs)
+    bound = I.vectors(spark, sf_dir).count() * MAX_LIMIT
+    with_text = hits.attach_content(found.where(F.col("repo_name").isNotNull()), docs, bound)
     return with_text.select("qid", "rank", "id", "repo_name", F.round("score", 6).alias("score"), "content")
 
 

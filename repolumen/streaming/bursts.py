@@ -7,6 +7,8 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repolumen.functions.times import micros_of, span_of
+
 PAUSE = timedelta(milliseconds=300)
 SPAN_PAUSES = 4096
 
@@ -25,10 +27,9 @@ def collapse_bursts(
     further away is more than a pause away in any case.
     """
     pause_us = pause // timedelta(microseconds=1)
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = log.select("user_id", "ts", "event_id", "query", at.alias("_us")).withColumn(
-        "_span", F.floor(F.col("_us") / (pause_us * span_pauses)).cast("long")
-    )
+    rows = log.select(
+        "user_id", "ts", "event_id", "query", micros_of(F.col("ts")).alias("_us")
+    ).withColumn("_span", span_of(F.col("_us"), pause_us * span_pauses))
     firsts = rows.groupBy("user_id", "_span").agg(F.min("_us").alias("_after"))
     order = Window.partitionBy("user_id", "_span").orderBy("ts", "event_id")
     following = F.coalesce(F.lead("_us").over(order), F.col("_after"))

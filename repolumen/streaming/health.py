@@ -44,7 +44,10 @@ def health_history(log: DataFrame, span: str = "day") -> DataFrame:
     folded alone, chained by one row each, and then every span is walked on its
     own: a busy source is spread over its spans.
     """
-    rows = log.withColumn("_span", F.date_trunc(span, F.col("ts")))
+    # The join below needs both keys; asked for here, both of its sides share one shuffle.
+    rows = log.withColumn("_span", F.date_trunc(span, F.col("ts"))).where(
+        F.col("source").isNotNull() & F.col("_span").isNotNull()
+    )
     forward = Window.partitionBy("source", "_span").orderBy("ts", "event_id")
     recent = forward.rowsBetween(1 - HISTORY, Window.currentRow)
     placed = rows.withColumn("_n", F.row_number().over(forward)).withColumn(

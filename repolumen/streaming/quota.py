@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from repolumen.functions.text import unicode_trim
+from repolumen.functions.times import micros_of, span_of
 
 # Quota of anonymous clients and addresses outside it.
 ANON_LIMIT = 10
@@ -53,48 +54,65 @@ def classify_requests(requests: DataFrame, valid_keys: Iterable[str] = ()) -> Da
     )
     return requests.select(
         "event_id",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        micros_of(F.col("ts")).alias("ts_us"),
         client_of(F.col("forwarded_for")).alias("client"),
         kind.alias("kind"),
     )
 
 
-def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[str, int, pd.DataFrame]]:
-    """Consecutive rows of one (client, span), joined across batches."""
+Columns = dict[str, np.ndarray]
+
+
+def _runs(batches: Iterable[pd.DataFrame], *names: str) -> Iterator[tuple[str, int, Columns]]:
+    """Consecutive rows of one (client, span) as arrays, joined across batches."""
     key, pieces = None, []
+
+    def joined() -> Columns:
+        return {n: np.concatenate([p[n] for p in pieces]) for n in names}
+
     for batch in batches:
         if batch.empty:
             continue
-        ids = batch[["client", "span"]]
-        starts = np.flatnonzero((ids != ids.shift()).any(axis=1).to_numpy())
-        for start, stop in zip(starts, [*starts[1:], len(batch)]):
-            here = (ids["client"].iat[start], int(ids["span"].iat[start]))
+        clients, spans = batch["client"].to_numpy(), batch["span"].to_numpy()
+        columns = {n: batch[n].to_numpy() for n in names}
+        changes = (clients[1:] != clients[:-1]) | (spans[1:] != spans[:-1])
+        bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), len(batch)]
+        for start, stop in zip(bounds, bounds[1:]):
+            here = (clients[start], int(spans[start]))
             if here != key and pieces:
-                yield *key, pd.concat(pieces, ignore_index=True)
+                yield *key, joined()
                 pieces = []
             key = here
-            pieces.append(batch.iloc[start:stop])
+            pieces.append({n: c[start:stop] for n, c in columns.items()})
     if pieces:
-        yield *key, pd.concat(pieces, ignore_index=True)
+        yield *key, joined()
 
 
-def _batched(frames: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
-    """Small frames joined to full batches: most clients have only a few requests."""
+def _frames(parts: Iterator[Columns], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Full batches of many small parts: most clients have only a few requests."""
+
+    def joined(held: list[Columns]) -> pd.DataFrame:
+        return pd.DataFrame({n: np.concatenate([h[n] for h in held]) for n in held[0]})
+
     held, size = [], 0
-    for frame in frames:
-        held.append(frame)
-        size += len(frame)
+    for part in parts:
+        held.append(part)
+        size += len(part["client"])
         if size >= rows:
-            yield pd.concat(held, ignore_index=True)
+            yield joined(held)
             held, size = [], 0
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield joined(held)
+
 
+def _same(value: str, n: int) -> np.ndarray:
+    return np.full(n, value, dtype=object)
 
-def _summaries(batches: Iterator[pd.DataFrame], window: int, span: int) -> Iterator[pd.DataFrame]:
+
+def _summaries(batches: Iterable[pd.DataFrame], window: int, span: int) -> Iterator[Columns]:
     """Per span: which window is open at its end, for every way it may be entered."""
-    for client, number, rows in _runs(batches):
-        times = rows["ts_us"].to_numpy()
+    for client, number, rows in _runs(batches, "ts_us"):
+        times = rows["ts_us"]
         n = len(times)
         # A window coming in ends within one window length of the span's start.
         entries = np.unique(times[: np.searchsorted(times, number * span + window, "right") + 1])
@@ -105,51 +123,59 @@ def _summaries(batches: Iterator[pd.DataFrame], window: int, span: int) -> Itera
                 break
             at = np.where(following < n, following, at)
         last_of_run = np.append(at[1:] != at[:-1], True)
-        yield pd.DataFrame(
-            {
-                "client": client,
-                "span": number,
-                "entry": entries[last_of_run],
-                "end_out": times[at[last_of_run]] + window,
-                "count_out": n - at[last_of_run],
-                "rows": n,
-            }
-        )
-
-
-def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, entries = at[last_of_run], entries[last_of_run]
+        yield {
+            "client": _same(client, len(at)),
+            "span": np.full(len(at), number),
+            "entry": entries,
+            "end_out": times[at] + window,
+            "count_out": n - at,
+            "rows": np.full(len(at), n),
+        }
+
+
+def _chain(batches: Iterable[pd.DataFrame]) -> Iterator[Columns]:
     """Walk each client's spans in order: the window and count every span starts with."""
     current, end, count = None, _NEVER, 0
-    for client, number, table in _runs(batches):
+    for client, number, table in _runs(batches, "entry", "end_out", "count_out", "rows"):
         if client != current:
             current, end, count = client, _NEVER, 0
-        yield pd.DataFrame(
-            {"client": [client], "span": [number], "end_in": [end], "count_in": [count]}
-        )
-        entry = np.searchsorted(table["entry"].to_numpy(), end, "right")
-        if entry < len(table):
-            end, count = int(table["end_out"].iat[entry]), int(table["count_out"].iat[entry])
+        yield {
+            "client": _same(client, 1),
+            "span": np.array([number]),
+            "end_in": np.array([end]),
+            "count_in": np.array([count]),
+        }
+        entry = np.searchsorted(table["entry"], end, "right")
+        if entry < len(table["entry"]):
+            end, count = int(table["end_out"][entry]), int(table["count_out"][entry])
         else:
-            count += int(table["rows"].iat[0])
+            count += int(table["rows"][0])
+
 
+def _resolve(batches: Iterable[pd.DataFrame], window: int) -> Iterator[Columns]:
+    """Window end and rank inside it for every request of a span.
 
-def _resolve(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    """Window end and rank inside it for every request of a span."""
-    for _, _, rows in _runs(batches):
-        times = rows["ts_us"].to_numpy()
-        end, before = int(rows["end_in"].iat[0]), int(rows["count_in"].iat[0])
+    The first row of a span is no request: it carries the window the span starts with.
+    """
+    for client, _, rows in _runs(batches, "event_id", "ts_us", "end_in", "count_in"):
+        end, before = int(rows["end_in"][0]), int(rows["count_in"][0])
+        times, ids = rows["ts_us"][1:], rows["event_id"][1:]
         ends, ranks, start = np.empty(len(times), np.int64), np.empty(len(times), np.int64), 0
         while start < len(times):
             if times[start] > end:
                 end, before = int(times[start]) + window, 0
             stop = int(np.searchsorted(times, end, "right"))
             ends[start:stop] = end
-            ranks[start:stop] = before + np.arange(1, stop - start + 1)
+            ranks[start:stop] = np.arange(before + 1, before + 1 + stop - start)
             start = stop
-        yield pd.DataFrame(
-            {"event_id": rows["event_id"], "client": rows["client"], "ts_us": times,
-             "end_us": ends, "rank": ranks}
-        )
+        yield {
+            "event_id": ids,
+            "client": _same(client, len(times)),
+            "ts_us": times,
+            "end_us": ends,
+            "rank": ranks,
+        }
 
 
 def _verdicts(ranked: DataFrame, others: DataFrame, limit: int) -> DataFrame:
@@ -184,7 +210,7 @@ def apply_quota(
     classed = classify_requests(requests, valid_keys)
     limited = classed.where(F.col("kind") == "limited").select(
         "client",
-        F.floor(F.col("ts_us") / span).cast("long").alias("span"),
+        span_of(F.col("ts_us"), span).alias("span"),
         "ts_us",
         "event_id",
     )
@@ -193,7 +219,7 @@ def apply_quota(
         .repartition("client", "span")
         .sortWithinPartitions("client", "span", "ts_us")
         .mapInPandas(
-            lambda batches: _batched(_summaries(batches, width, span)),
+            lambda batches: _frames(_summaries(batches, width, span)),
             "client string, span long, entry long, end_out long, count_out long, rows long",
         )
     )
@@ -201,16 +227,20 @@ def apply_quota(
         summaries.repartition("client")
         .sortWithinPartitions("client", "span", "entry")
         .mapInPandas(
-            lambda batches: _batched(_chain(batches)),
+            lambda batches: _frames(_chain(batches)),
             "client string, span long, end_in long, count_in long",
         )
     )
+    # Starts travel as rows in front of their span: no join, and no span is ever split.
+    blank = [F.lit(0).cast("long").alias(c) for c in ("end_in", "count_in")]
+    first = [F.lit(v).cast("long").alias(c) for c, v in (("ts_us", _NEVER), ("event_id", -1))]
     ranked = (
-        limited.join(starts, ["client", "span"])
+        limited.select("client", "span", "ts_us", "event_id", *blank)
+        .unionByName(starts.select("client", "span", *first, "end_in", "count_in"))
         .repartition("client", "span")
         .sortWithinPartitions("client", "span", "ts_us", "event_id")
         .mapInPandas(
-            lambda batches: _batched(_resolve(batches, width)),
+            lambda batches: _frames(_resolve(batches, width)),
             "event_id long, client string, ts_us long, end_us long, rank long",
         )
     )
@@ -239,10 +269,11 @@ def stream_quota(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(batches).sort_values(["ts_us", "event_id"], ignore_index=True)
+        rows = pd.concat(batches)[["client", "ts_us", "event_id"]]
         end, count = state.get if state.exists else (_NEVER, 0)
-        rows = rows.assign(span=0, end_in=end, count_in=count)
-        (out,) = _resolve(iter([rows]), width)
+        first = pd.DataFrame({"client": [key[0]], "ts_us": [_NEVER], "event_id": [-1]})
+        rows = pd.concat([first, rows.sort_values(["ts_us", "event_id"])], ignore_index=True)
+        out = pd.concat(_frames(_resolve([rows.assign(span=0, end_in=end, count_in=count)], width)))
         state.update((int(out["end_us"].iat[-1]), int(out["rank"].iat[-1])))
         if late is not None:
             past_end = int(out["end_us"].iat[-1]) // 1000 + 1
