@@ -26,6 +26,7 @@ from repolumen.operators.scoring import (
 )
 
 TRAIN_ROWS_PER_CELL = 256
+MAX_CENTER_BYTES = 256 << 20  # centers are sent to every task
 
 
 def fit_centers(
@@ -36,7 +37,11 @@ def fit_centers(
     Centers only decide which rows are looked at together, so on a large index
     (pass its ``rows``) they are trained on a share of it.
     """
-    training = index.where(l2_norm(F.col("vector")) > 0)
+    training = index.where(F.size("vector") > 0)
+    dimension = training.select(F.size("vector").alias("n")).head()
+    if dimension and 8 * n_cells * dimension["n"] > MAX_CENTER_BYTES:
+        raise ValueError(f"{n_cells} centers are too many to send to every task")
+    training = training.where(l2_norm(F.col("vector")) > 0)
     if rows and rows > 2 * n_cells * TRAIN_ROWS_PER_CELL:
         training = training.sample(n_cells * TRAIN_ROWS_PER_CELL / rows, seed=seed)
     features = training.select(

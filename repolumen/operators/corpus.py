@@ -18,6 +18,9 @@ from repolumen.functions.text import (
     stored_name_repo,
     stored_name_repo_lenient,
 )
+from repolumen.session import cut_lineage
+
+BROADCAST_IDS = 1_000_000  # ids broadcast at most, some 60 MB
 
 
 def parse_stored_names(
@@ -127,6 +130,20 @@ def new_items(records: DataFrame, *known_ids: DataFrame) -> DataFrame:
     )
 
 
+def known_among(records: DataFrame, index_ids: DataFrame) -> DataFrame:
+    """The ids of a big index that a small batch of records can meet.
+
+    The ids of the batch are written out and counted. Up to a bound they are
+    broadcast, so the index is scanned for its ids but not shuffled; a bigger
+    batch is better off with all of them.
+    """
+    keyed = keyed_items(records).where(F.col("id").isNotNull())
+    ids = cut_lineage(keyed.select("id").distinct(), "batch-ids")
+    if ids.count() > BROADCAST_IDS:
+        return index_ids
+    return index_ids.join(F.broadcast(ids), "id", "left_semi")
+
+
 def load_report(records: DataFrame, existing_ids: DataFrame) -> DataFrame:
     """Counts of new, existing, duplicate, empty and unparsable records.
 

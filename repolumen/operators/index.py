@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolumen.functions.numbers import FORK_FACTOR, compact_count
-from repolumen.operators.corpus import without_known
+from repolumen.operators.corpus import BROADCAST_IDS, without_known
 from repolumen.session import cut_lineage
 from repolumen.sources import schemas
 from repolumen.sources.readers import child_names, path_exists
 
-BROADCAST_IDS = 1_000_000  # ids broadcast at most, some 60 MB
 INDEX_COLUMNS = schemas.VECTOR_INDEX.fieldNames()
 
 

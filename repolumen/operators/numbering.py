@@ -69,4 +69,4 @@ def with_round_robin(
     df: DataFrame, lanes: int, chunk_col: str = "chunk", lane_col: str = "lane"
 ) -> DataFrame:
     """Lane (for example an access key) of each chunk, in turn."""
-    return df.withColumn(lane_col, F.pmod(F.col(chunk_col), F.lit(lanes)).cast("int"))
+    return df.withColumn(lane_col, F.pmod(F.col(chunk_col), F.lit(lanes)).cast("long"))

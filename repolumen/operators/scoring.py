@@ -196,6 +196,7 @@ def rank_hits(hits: DataFrame, max_k: int) -> DataFrame:
         hits.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= max_k)
         .where(F.col("rank") <= F.col("k"))
+        .withColumn("rank", F.col("rank").cast("long"))
         .drop("k")
     )
 

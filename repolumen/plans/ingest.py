@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from repolumen.operators import batches
-from repolumen.operators.corpus import new_items, without_known
+from repolumen.operators.corpus import known_among, new_items, without_known
 from repolumen.operators.embedding import Embedder, embed_column, usage_totals
 from repolumen.operators.index import append_points, existing_ids, replace_points
 from repolumen.operators.numbering import dense_ids, with_chunks
@@ -13,14 +13,20 @@ from repolumen.operators.packing import JOB_ROWS
 from repolumen.session import cut_lineage
 
 
-def ingest(records: DataFrame, index_root: str, embedder: Embedder) -> DataFrame:
+def ingest(
+    records: DataFrame, index_root: str, embedder: Embedder, small_batch: bool = False
+) -> DataFrame:
     """Embed what is new and append it; items, tokens and cost of this run.
 
-    Vectors are written to the shared folder as the service returns them, so a
+    A ``small_batch`` reads its records twice to leave the ids of the index
+    where they are. Vectors are written to the shared folder as the service returns them, so a
     failed append or a second look at the totals never pays for them again.
     """
     spark = records.sparkSession
-    items = new_items(records, existing_ids(spark, index_root))
+    known = existing_ids(spark, index_root)
+    if small_batch:
+        known = known_among(records, known)
+    items = new_items(records, known)
     embedded = cut_lineage(embed_column(items, embedder), "embedded")
     append_points(spark, index_root, embedded, embedder.dimension, known_new=True)
     return usage_totals(embedded)

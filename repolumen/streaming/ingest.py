@@ -31,7 +31,7 @@ def start_ingest(
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch.select("repo_name", "content"), index_root, embedder)
+        ingest(batch.select("repo_name", "content"), index_root, embedder, small_batch=True)
 
     writer = records.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()

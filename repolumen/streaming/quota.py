@@ -3,16 +3,19 @@
 A client's window opens at its first request and lasts a fixed time; a request
 at exactly the end is still inside. The first ``limit`` requests of a window are
 allowed, blocked ones do not move it. The windows are anchored, not aligned, so
-each depends on the one before. The batch form still splits a busy client: time
-is cut into spans, each span is summarised on its own as "window end coming in ->
-window end going out", only those summaries are chained per client, and then
-all spans are resolved in parallel.
+each depends on the one before.
+
+Most clients are walked whole, many at a time. A client with very many requests
+is split: time is cut into spans, each span is summarised on its own as "window
+coming in -> window going out", only those summaries are chained, and then all
+spans are walked in parallel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from datetime import timedelta
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from repolumen.functions.text import unicode_trim
 from repolumen.functions.times import micros_of, span_of
+from repolumen.session import cut_lineage
 
 # Quota of anonymous clients and addresses outside it.
 ANON_LIMIT = 10
@@ -29,7 +33,10 @@ WINDOW = timedelta(minutes=1)
 OPEN_PATHS = ("/health", "/stats")
 UNKNOWN_CLIENT = "unknown"
 
-SPAN_WINDOWS = 64  # windows per span: a client's chained share is about 1/64 of its rows
+SPLIT_ROWS = 250_000  # requests of one client that are walked by one task at most
+SPAN_WINDOWS = 64  # windows per span: about 1/64 of a split client's rows are chained
+BROADCAST_CLIENTS = 500_000
+CHUNK_ROWS = 50_000
 _NEVER = np.iinfo(np.int64).min
 
 
@@ -60,122 +67,175 @@ def classify_requests(requests: DataFrame, valid_keys: Iterable[str] = ()) -> Da
     )
 
 
-Columns = dict[str, np.ndarray]
-
-
-def _runs(batches: Iterable[pd.DataFrame], *names: str) -> Iterator[tuple[str, int, Columns]]:
-    """Consecutive rows of one (client, span) as arrays, joined across batches."""
-    key, pieces = None, []
-
-    def joined() -> Columns:
-        return {n: np.concatenate([p[n] for p in pieces]) for n in names}
-
+def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows in pieces of many whole runs of one (client, span)."""
+    held, size, enough = [], 0, CHUNK_ROWS
     for batch in batches:
-        if batch.empty:
+        held.append(batch)
+        size += len(batch)
+        if size < enough:
             continue
-        clients, spans = batch["client"].to_numpy(), batch["span"].to_numpy()
-        columns = {n: batch[n].to_numpy() for n in names}
+        rows = pd.concat(held, ignore_index=True)
+        last = (rows["client"] == rows["client"].iat[-1]) & (rows["span"] == rows["span"].iat[-1])
+        cut = int(last.to_numpy().argmax())
+        if cut:
+            yield rows[:cut]
+        held, size = [rows[cut:]], len(rows) - cut
+        enough = max(CHUNK_ROWS, 2 * size)  # a long run is looked at again when it has doubled
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
+class _Runs:
+    """Rows of many runs, and for each the first row past the window it would open."""
+
+    def __init__(self, rows: pd.DataFrame, window: int):
+        clients, spans = rows["client"].to_numpy(), rows["span"].to_numpy()
+        self.times = rows["ts_us"].to_numpy()
         changes = (clients[1:] != clients[:-1]) | (spans[1:] != spans[:-1])
-        bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), len(batch)]
-        for start, stop in zip(bounds, bounds[1:]):
-            here = (clients[start], int(spans[start]))
-            if here != key and pieces:
-                yield *key, joined()
-                pieces = []
-            key = here
-            pieces.append({n: c[start:stop] for n, c in columns.items()})
-    if pieces:
-        yield *key, joined()
-
+        self.starts = np.append(0, np.flatnonzero(changes) + 1)
+        self.stops = np.append(self.starts[1:], len(rows))
+        self.run = np.repeat(np.arange(len(self.starts)), self.stops - self.starts)
+        # Runs laid out one after the other on a single axis, further apart than a window.
+        since = self.times - self.times.min()
+        pitch = int(since.max()) + window + 1
+        per_search = max(1, (1 << 62) // pitch)
+        self.following = np.empty(len(rows), dtype=np.int64)
+        for first in range(0, len(self.starts), per_search):
+            low = self.starts[first]
+            high = self.stops[min(first + per_search, len(self.starts)) - 1]
+            axis = (self.run[low:high] - first) * pitch + since[low:high]
+            self.following[low:high] = low + np.searchsorted(axis, axis + window, "right")
+
+    def anchors(self) -> np.ndarray:
+        """For every row the row that opened its window, if each run's first row opens one."""
+        opens = np.zeros(len(self.times), dtype=np.int64)
+        at, stops = self.starts, self.stops
+        while len(at):
+            opens[at] = at
+            at = self.following[at]
+            inside = at < stops
+            at, stops = at[inside], stops[inside]
+        return np.maximum.accumulate(opens)
+
+    def last_anchor(self, at: np.ndarray) -> np.ndarray:
+        """The row that opened the last window of its run, if ``at`` opens one."""
+        stops = self.stops[self.run[at]]
+        while True:
+            after = self.following[at]
+            moved = np.where(after < stops, after, at)
+            if (moved == at).all():
+                return at
+            at = moved
 
-def _frames(parts: Iterator[Columns], rows: int = 10_000) -> Iterator[pd.DataFrame]:
-    """Full batches of many small parts: most clients have only a few requests."""
 
-    def joined(held: list[Columns]) -> pd.DataFrame:
-        return pd.DataFrame({n: np.concatenate([h[n] for h in held]) for n in held[0]})
+def _resolve(batches: Iterable[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """Window end and rank inside it for every request.
 
-    held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += len(part["client"])
-        if size >= rows:
-            yield joined(held)
-            held, size = [], 0
-    if held:
-        yield joined(held)
+    A row that is not ``real`` stands for the window a span starts with: it lies
+    where that opened, and weighs as many requests as it had.
+    """
+    for rows in _chunks(batches):
+        anchor = _Runs(rows, window).anchors()
+        weight = rows["weight"].to_numpy()
+        total = np.cumsum(weight)
+        out = pd.DataFrame(
+            {
+                "event_id": rows["event_id"].to_numpy(),
+                "client": rows["client"].to_numpy(),
+                "end_us": rows["ts_us"].to_numpy()[anchor] + window,
+                "rank": total - total[anchor] + weight[anchor],
+            }
+        )
+        yield out[rows["real"].to_numpy()]
 
 
-def _same(value: str, n: int) -> np.ndarray:
-    return np.full(n, value, dtype=object)
+def _summaries(batches: Iterable[pd.DataFrame], window: int, span: int) -> Iterator[pd.DataFrame]:
+    """Per span: which window is open at its end, for every way it may be entered."""
+    for rows in _chunks(batches):
+        runs = _Runs(rows, window)
+        times, spans, index = runs.times, rows["span"].to_numpy(), np.arange(len(rows))
+        # A window coming in ends within one window length of the span's start, so
+        # the next one opens at a row up to there or at the first row after it.
+        early = times <= spans * span + window
+        is_start = np.zeros(len(rows), dtype=bool)
+        is_start[runs.starts] = True
+        after_early = ~early & (is_start | np.append(False, early[:-1]))
+        first_of_time = is_start | np.append(True, times[1:] != times[:-1])
+        entry = index[(early | after_early) & first_of_time]
+        last = runs.last_anchor(entry)
+        run = runs.run[entry]
+        # Of neighbours that end in the same window the last one stands for all.
+        differs = np.append((last[1:] != last[:-1]) | (run[1:] != run[:-1]), True)
+        entry, last, run = entry[differs], last[differs], run[differs]
+        yield pd.DataFrame(
+            {
+                "client": rows["client"].to_numpy()[entry],
+                "span": spans[entry],
+                "entry": times[entry],
+                "end_out": times[last] + window,
+                "count_out": runs.stops[run] - last,
+                "rows": runs.stops[run] - runs.starts[run],
+            }
+        )
 
 
-def _summaries(batches: Iterable[pd.DataFrame], window: int, span: int) -> Iterator[Columns]:
-    """Per span: which window is open at its end, for every way it may be entered."""
-    for client, number, rows in _runs(batches, "ts_us"):
-        times = rows["ts_us"]
-        n = len(times)
-        # A window coming in ends within one window length of the span's start.
-        entries = np.unique(times[: np.searchsorted(times, number * span + window, "right") + 1])
-        at = np.searchsorted(times, entries, "left")
-        while True:
-            following = np.searchsorted(times, times[at] + window, "right")
-            if (following == n).all():
-                break
-            at = np.where(following < n, following, at)
-        last_of_run = np.append(at[1:] != at[:-1], True)
-        at, entries = at[last_of_run], entries[last_of_run]
-        yield {
-            "client": _same(client, len(at)),
-            "span": np.full(len(at), number),
-            "entry": entries,
-            "end_out": times[at] + window,
-            "count_out": n - at,
-            "rows": np.full(len(at), n),
-        }
-
-
-def _chain(batches: Iterable[pd.DataFrame]) -> Iterator[Columns]:
-    """Walk each client's spans in order: the window and count every span starts with."""
+def _chain(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk each split client's spans in order: the window and count they start with."""
     current, end, count = None, _NEVER, 0
-    for client, number, table in _runs(batches, "entry", "end_out", "count_out", "rows"):
-        if client != current:
-            current, end, count = client, _NEVER, 0
-        yield {
-            "client": _same(client, 1),
-            "span": np.array([number]),
-            "end_in": np.array([end]),
-            "count_in": np.array([count]),
-        }
-        entry = np.searchsorted(table["entry"], end, "right")
-        if entry < len(table["entry"]):
-            end, count = int(table["end_out"][entry]), int(table["count_out"][entry])
-        else:
-            count += int(table["rows"][0])
-
-
-def _resolve(batches: Iterable[pd.DataFrame], window: int) -> Iterator[Columns]:
-    """Window end and rank inside it for every request of a span.
-
-    The first row of a span is no request: it carries the window the span starts with.
-    """
-    for client, _, rows in _runs(batches, "event_id", "ts_us", "end_in", "count_in"):
-        end, before = int(rows["end_in"][0]), int(rows["count_in"][0])
-        times, ids = rows["ts_us"][1:], rows["event_id"][1:]
-        ends, ranks, start = np.empty(len(times), np.int64), np.empty(len(times), np.int64), 0
-        while start < len(times):
-            if times[start] > end:
-                end, before = int(times[start]) + window, 0
-            stop = int(np.searchsorted(times, end, "right"))
-            ends[start:stop] = end
-            ranks[start:stop] = np.arange(before + 1, before + 1 + stop - start)
-            start = stop
-        yield {
-            "event_id": ids,
-            "client": _same(client, len(times)),
-            "ts_us": times,
-            "end_us": ends,
-            "rank": ranks,
-        }
+    for rows in _chunks(batches):
+        out = []
+        for (client, number), table in rows.groupby(["client", "span"], sort=False):
+            if client != current:
+                current, end, count = client, _NEVER, 0
+            if end != _NEVER:
+                out.append((client, number, end, count))
+            at = np.searchsorted(table["entry"].to_numpy(), end, "right")
+            if at < len(table):
+                end, count = int(table["end_out"].iat[at]), int(table["count_out"].iat[at])
+            else:
+                count += int(table["rows"].iat[0])
+        yield pd.DataFrame(out, columns=["client", "span", "end_in", "count_in"])
+
+
+_RANKED = "event_id long, client string, end_us long, rank long"
+_ROW = ("client", "span", "ts_us", "event_id", "weight", "real")
+
+
+def _walk(rows: DataFrame, window: int) -> DataFrame:
+    """Rank all rows; those of one (client, span) are in one task, in time order."""
+    return (
+        rows.select(*_ROW)
+        .repartition("client", "span")
+        .sortWithinPartitions("client", "span", "ts_us", "event_id")
+        .mapInPandas(lambda batches: _resolve(batches, window), _RANKED)
+    )
+
+
+def _span_starts(rows: DataFrame, window: int, span: int) -> DataFrame:
+    """The window each span of a split client starts with, as one more row of it."""
+    summaries = (
+        rows.select("client", "span", "ts_us")
+        .repartition("client", "span")
+        .sortWithinPartitions("client", "span", "ts_us")
+        .mapInPandas(
+            lambda batches: _summaries(batches, window, span),
+            "client string, span long, entry long, end_out long, count_out long, rows long",
+        )
+    )
+    chained = (
+        summaries.repartition("client")
+        .sortWithinPartitions("client", "span", "entry")
+        .mapInPandas(_chain, "client string, span long, end_in long, count_in long")
+    )
+    return chained.select(
+        "client",
+        "span",
+        (F.col("end_in") - window).alias("ts_us"),
+        F.lit(0).cast("long").alias("event_id"),
+        F.col("count_in").alias("weight"),
+        F.lit(False).alias("real"),
+    )
 
 
 def _verdicts(ranked: DataFrame, others: DataFrame, limit: int) -> DataFrame:
@@ -202,49 +262,39 @@ def apply_quota(
     limit: int = ANON_LIMIT,
     window: timedelta = WINDOW,
     valid_keys: Iterable[str] = (),
+    split_rows: int = SPLIT_ROWS,
     span_windows: int = SPAN_WINDOWS,
 ) -> DataFrame:
-    """Verdict per request: ``event_id, client, verdict, remaining, reset_at``."""
+    """Verdict per request: ``event_id, client, verdict, remaining, reset_at``.
+
+    Counts the requests per client when called, to know which ones to split.
+    """
     width = _micros(window)
     span = width * span_windows
     classed = classify_requests(requests, valid_keys)
     limited = classed.where(F.col("kind") == "limited").select(
         "client",
-        span_of(F.col("ts_us"), span).alias("span"),
         "ts_us",
         "event_id",
+        F.lit(1).cast("long").alias("weight"),
+        F.lit(True).alias("real"),
     )
-    summaries = (
-        limited.select("client", "span", "ts_us")
-        .repartition("client", "span")
-        .sortWithinPartitions("client", "span", "ts_us")
-        .mapInPandas(
-            lambda batches: _frames(_summaries(batches, width, span)),
-            "client string, span long, entry long, end_out long, count_out long, rows long",
-        )
+    others = classed.where(F.col("kind") != "limited")
+    counts = limited.groupBy("client").agg(F.count("*").alias("n"))
+    busy = cut_lineage(counts.where(F.col("n") > split_rows).select("client"), "busy-clients")
+    n_busy = busy.count()
+    whole = limited.withColumn("span", F.lit(0).cast("long"))
+    if not n_busy:
+        return _verdicts(_walk(whole, width), others, limit)
+    if n_busy <= BROADCAST_CLIENTS:
+        busy = F.broadcast(busy)
+    spans = limited.join(busy, "client", "left_semi").withColumn(
+        "span", span_of(F.col("ts_us"), span)
     )
-    starts = (
-        summaries.repartition("client")
-        .sortWithinPartitions("client", "span", "entry")
-        .mapInPandas(
-            lambda batches: _frames(_chain(batches)),
-            "client string, span long, end_in long, count_in long",
-        )
-    )
-    # Starts travel as rows in front of their span: no join, and no span is ever split.
-    blank = [F.lit(0).cast("long").alias(c) for c in ("end_in", "count_in")]
-    first = [F.lit(v).cast("long").alias(c) for c, v in (("ts_us", _NEVER), ("event_id", -1))]
-    ranked = (
-        limited.select("client", "span", "ts_us", "event_id", *blank)
-        .unionByName(starts.select("client", "span", *first, "end_in", "count_in"))
-        .repartition("client", "span")
-        .sortWithinPartitions("client", "span", "ts_us", "event_id")
-        .mapInPandas(
-            lambda batches: _frames(_resolve(batches, width)),
-            "event_id long, client string, ts_us long, end_us long, rank long",
-        )
-    )
-    return _verdicts(ranked, classed.where(F.col("kind") != "limited"), limit)
+    starts = _span_starts(spans, width, span)
+    quiet = whole.join(busy, "client", "left_anti")
+    rows = [df.select(*_ROW) for df in (quiet, spans, starts)]
+    return _verdicts(_walk(reduce(DataFrame.unionByName, rows), width), others, limit)
 
 
 def stream_quota(
@@ -269,16 +319,19 @@ def stream_quota(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(batches)[["client", "ts_us", "event_id"]]
-        end, count = state.get if state.exists else (_NEVER, 0)
-        first = pd.DataFrame({"client": [key[0]], "ts_us": [_NEVER], "event_id": [-1]})
-        rows = pd.concat([first, rows.sort_values(["ts_us", "event_id"])], ignore_index=True)
-        out = pd.concat(_frames(_resolve([rows.assign(span=0, end_in=end, count_in=count)], width)))
+        rows = pd.concat(batches)[["ts_us", "event_id"]].sort_values(["ts_us", "event_id"])
+        rows = rows.assign(client=key[0], span=0, weight=1, real=True)
+        if state.exists:
+            end, count = state.get
+            open_window = {"ts_us": end - width, "event_id": 0, "client": key[0], "span": 0,
+                           "weight": count, "real": False}
+            rows = pd.concat([pd.DataFrame([open_window]), rows], ignore_index=True)
+        out = pd.concat(_resolve([rows], width))
         state.update((int(out["end_us"].iat[-1]), int(out["rank"].iat[-1])))
         if late is not None:
             past_end = int(out["end_us"].iat[-1]) // 1000 + 1
             state.setTimeoutTimestamp(max(past_end, state.getCurrentWatermarkMs() + 1))
-        yield out[["event_id", "client", "ts_us", "end_us", "rank"]]
+        yield out
 
     classed = classify_requests(requests, valid_keys)
     limited = classed.where(F.col("kind") == "limited")
@@ -290,7 +343,7 @@ def stream_quota(
         limited.groupBy("client")
         .applyInPandasWithState(
             decide,
-            "event_id long, client string, ts_us long, end_us long, rank long",
+            _RANKED,
             "end_us long, rank long",
             "append",
             GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout,

@@ -50,6 +50,14 @@ def test_new_items_fold_copies_and_leave_out_known(spark):
     assert plan.count("Exchange hashpartitioning(id") == 1 and "Join" not in plan
 
 
+def test_small_batches_do_not_shuffle_the_index(spark, monkeypatch):
+    known = spark.createDataFrame([(uuid_of("  already there  "),), ("other",)], "id string")
+    df = corpus.known_among(records(spark, ROWS), known)
+    assert "BroadcastHashJoin" in plan_of(df) and df.count() == 1
+    monkeypatch.setattr(corpus, "BROADCAST_IDS", 2)
+    assert corpus.known_among(records(spark, ROWS), known).count() == 2
+
+
 def test_load_report_counts_every_class(spark):
     known = spark.createDataFrame([(uuid_of("  already there  "),)] * 2, "id string")
     report = corpus.load_report(records(spark, ROWS), known).head().asDict()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from repolumen.streaming import bursts, health, quota
@@ -32,21 +33,36 @@ def requests_of(spark, rows):
     )
 
 
-@pytest.mark.parametrize("span_windows", [1, 2, 64])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_batch_equals_loop(spark, span_windows, seed):
-    rng = np.random.default_rng(seed)
+@pytest.mark.parametrize(("split_rows", "span_windows"), [(10**6, 64), (500, 1), (500, 2), (500, 64), (20, 2)])
+def test_batch_equals_loop(spark, split_rows, span_windows):
+    rng = np.random.default_rng(split_rows + span_windows)
     rows = []
     for i in range(3000):
         # A third of all rows belong to one client; times repeat.
         client = "unknown" if rng.random() < 0.34 else f"10.0.0.{rng.integers(25)}"
         rows.append((i, START + timedelta(seconds=int(rng.integers(6000))), client))
     window = timedelta(seconds=60)
-    found = quota.apply_quota(requests_of(spark, rows), 10, window, span_windows=span_windows)
+    found = quota.apply_quota(
+        requests_of(spark, rows), 10, window, split_rows=split_rows, span_windows=span_windows
+    )
     got = {r["event_id"]: (r["verdict"], r["remaining"], r["reset_at"]) for r in found.collect()}
     assert got == loop_quota(rows, 10, window)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 100_000])
+@pytest.mark.parametrize("batch", [3, 50])
+def test_runs_are_never_cut(monkeypatch, chunk, batch):
+    monkeypatch.setattr(quota, "CHUNK_ROWS", chunk)
+    rng = np.random.default_rng(chunk)
+    rows = sorted((f"c{rng.integers(9)}", 0, int(rng.integers(900)) * 10**6, i) for i in range(400))
+    frame = pd.DataFrame(rows, columns=["client", "span", "ts_us", "event_id"]).assign(weight=1, real=True)
+    parts = [frame[i : i + batch] for i in range(0, len(frame), batch)]
+    out = pd.concat(quota._resolve(parts, 60 * 10**6))
+    want = loop_quota([(i, START + timedelta(microseconds=t), c) for c, _, t, i in rows], 10, timedelta(seconds=60))
+    got = {e: (r, START + timedelta(microseconds=u)) for e, r, u in zip(out["event_id"], out["rank"], out["end_us"])}
+    assert {e: (max(10 - r, 0), end) for e, (r, end) in got.items()} == {e: w[1:] for e, w in want.items()}
+
+
 def test_window_ends_after_its_last_moment(spark):
     at = [0, *range(1, 11), 60, 61]
     rows = [(i, START + timedelta(seconds=s), "c") for i, s in enumerate(at)]
