@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from repolumen.functions.hashing import content_sha1, hash_to_uuid
 from repolumen.functions.text import (
     MAX_EMBED_CHARS,
+    MIN_EMBED_CHARS,
     STRICT_BRANCHES,
-    embed_text,
-    is_embeddable,
     stored_name_branch,
     stored_name_file,
     stored_name_repo,
     stored_name_repo_lenient,
+    unicode_trim,
 )
 from repolumen.session import cut_lineage
 
@@ -53,43 +53,56 @@ def keyed_items(records: DataFrame, max_chars: int = MAX_EMBED_CHARS) -> DataFra
     that differ only in outer white space keep two ids. The class is
     ``unparsable``, ``empty`` or ``candidate``; only candidates have an id.
     """
-    content = F.col("content")
+    # Trimming and hashing read the whole text: each is its own column, used by name.
+    read = records.select(
+        "repo_name",
+        unicode_trim(F.col("content")).alias("trimmed"),
+        content_sha1(F.col("content")).alias("content_hash"),
+    )
     kind = (
         F.when(F.col("repo_name").isNull(), "unparsable")
-        .when(is_embeddable(content), "candidate")
+        .when(F.char_length("trimmed") >= MIN_EMBED_CHARS, "candidate")
         .otherwise("empty")
     )
-    classed = records.select(
-        "repo_name", kind.alias("kind"), "content", content_sha1(content).alias("content_hash")
-    )
     is_candidate = F.col("kind") == "candidate"
-    return classed.select(
+    return read.withColumn("kind", kind).select(
         F.when(is_candidate, hash_to_uuid(F.col("content_hash"))).alias("id"),
         "repo_name",
-        F.when(is_candidate, embed_text(content, max_chars)).alias("content"),
+        F.when(is_candidate, F.substring("trimmed", 1, max_chars)).alias("content"),
         "content_hash",
         "kind",
     )
 
 
-def first_per_id(items: DataFrame) -> DataFrame:
-    """One row per content id: the lowest repository name keeps it.
+def _fold_by_id(items: DataFrame) -> DataFrame:
+    """One row per id; ids with any ``known`` row are left out, the null id too.
 
-    Content and hash are the same for all rows of an id, so any value will do.
-    The partial aggregation folds copies before the shuffle, also when one
-    text makes up a large part of the corpus.
+    The test comes after the aggregation on purpose: as a filter on the id it
+    would be moved down to the scan, and read every text once more.
     """
     return (
-        items.where(F.col("id").isNotNull())
-        .groupBy("id")
+        items.groupBy("id")
         .agg(
             F.min("repo_name").alias("repo_name"),
-            F.any_value("content").alias("content"),
-            F.any_value("content_hash").alias("content_hash"),
+            F.any_value("content", True).alias("content"),
+            F.any_value("content_hash", True).alias("content_hash"),
+            F.bool_or("known").alias("known"),
         )
+        .where(~F.col("known"))
+        .drop("known")
     )
 
 
+def first_per_id(items: DataFrame) -> DataFrame:
+    """One row per content id: the lowest repository name keeps it.
+
+    Content and hash are the same for all rows of an id, so any value will do.
+    The partial aggregation folds copies before the shuffle, also when one
+    text makes up a large part of the corpus.
+    """
+    return _fold_by_id(items.withColumn("known", F.col("id").isNull()))
+
+
 def _all_ids(tables: tuple[DataFrame, ...]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.select("id") for t in tables])
 
@@ -110,24 +123,12 @@ def new_items(records: DataFrame, *known_ids: DataFrame) -> DataFrame:
     by id. An anti join would do the same, but the optimizer moves it below the
     aggregation, where copies of a frequent text are not folded yet.
     """
-    items = keyed_items(records).where(F.col("id").isNotNull()).drop("kind")
-    if not known_ids:
-        return first_per_id(items)
-    nothing = [F.lit(None).cast("string").alias(c) for c in items.columns if c != "id"]
-    known = _all_ids(known_ids).select("id", *nothing, F.lit(True).alias("known"))
-    return (
-        items.withColumn("known", F.lit(False))
-        .unionByName(known)
-        .groupBy("id")
-        .agg(
-            F.min("repo_name").alias("repo_name"),
-            F.any_value("content", True).alias("content"),
-            F.any_value("content_hash", True).alias("content_hash"),
-            F.bool_or("known").alias("known"),
-        )
-        .where(~F.col("known"))
-        .drop("known")
-    )
+    items = keyed_items(records).drop("kind").withColumn("known", F.col("id").isNull())
+    if known_ids:
+        nothing = [F.lit(None).cast("string").alias(c) for c in items.columns[1:-1]]
+        known = _all_ids(known_ids).select("id", *nothing, F.lit(True).alias("known"))
+        items = items.unionByName(known)
+    return _fold_by_id(items)
 
 
 def known_among(records: DataFrame, index_ids: DataFrame) -> DataFrame:
