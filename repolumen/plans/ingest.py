@@ -10,7 +10,7 @@ from repolumen.operators.embedding import Embedder, embed_column, usage_totals
 from repolumen.operators.index import append_points, existing_ids, replace_points
 from repolumen.operators.numbering import dense_ids, with_chunks
 from repolumen.operators.packing import JOB_ROWS
-from repolumen.session import cut_lineage
+from repolumen.session import cut_lineage, scratch_scope
 
 
 def ingest(
@@ -19,17 +19,20 @@ def ingest(
     """Embed what is new and append it; items, tokens and cost of this run.
 
     A ``small_batch`` reads its records twice to leave the ids of the index
-    where they are. Vectors are written to the shared folder as the service returns them, so a
-    failed append or a second look at the totals never pays for them again.
+    where they are. Vectors are written to the shared folder as the service
+    returns them and kept until the append is committed: a lost task or a look
+    at the totals never pays for them again.
     """
     spark = records.sparkSession
-    known = existing_ids(spark, index_root)
-    if small_batch:
-        known = known_among(records, known)
-    items = new_items(records, known)
-    embedded = cut_lineage(embed_column(items, embedder), "embedded")
-    append_points(spark, index_root, embedded, embedder.dimension, known_new=True)
-    return usage_totals(embedded)
+    with scratch_scope(spark):
+        known = existing_ids(spark, index_root)
+        if small_batch:
+            known = known_among(records, known)
+        items = new_items(records, known)
+        embedded = cut_lineage(embed_column(items, embedder), "embedded")
+        append_points(spark, index_root, embedded, embedder.dimension, known_new=True)
+        totals = usage_totals(embedded)
+        return spark.createDataFrame(totals.collect(), totals.schema)
 
 
 def plan_batches(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -14,6 +15,7 @@ from repolumen.operators import corpus, export, index, numbering, origins, packi
 from repolumen.operators.embedding import Embedder, ServiceError, embed_column, is_budget_stop
 from repolumen.operators.embedding import BudgetExhausted, usage_totals
 from repolumen.plans.ingest import ingest
+from repolumen.session import shared_dir
 from tests.conftest import plan_of
 
 
@@ -171,6 +173,8 @@ def test_ingest_twice_is_ingest_once(spark, tmp_path):
     first = ingest(records(spark, ROWS), root, embedder).head()
     assert (first["items"], first["tokens"]) == (4, 14 + 14 + 20 + 13)
     before = sorted(map(str, index.read_index(spark, root).collect()))
+    scratch = Path(shared_dir(spark)) / "repolumen"
+    assert not list(scratch.glob("embedded-*"))
     assert ingest(records(spark, ROWS), root, embedder).head()["items"] == 0
     more = ingest(records(spark, [*ROWS, ("n/n", "something new")]), root, embedder).head()
     assert more["items"] == 1
