@@ -66,10 +66,13 @@ def with_cells(index: DataFrame, centers: np.ndarray) -> DataFrame:
     return index.mapInArrow(run, schema)
 
 
-def write_cells(celled: DataFrame, path: str, files_per_cell: int = 1) -> None:
-    """Index partitioned by cell. ``files_per_cell`` spreads a crowded cell over tasks."""
-    spread = F.pmod(F.xxhash64("id"), F.lit(files_per_cell))
-    celled.repartition("cell", spread).write.option("compression", "zstd").partitionBy(
+def write_cells(celled: DataFrame, path: str) -> None:
+    """Index partitioned by cell.
+
+    Rebalancing gathers small cells and splits crowded ones by their size at run
+    time, so a cell with a third of all rows is written, and later read, by many tasks.
+    """
+    celled.hint("rebalance", F.col("cell")).write.option("compression", "zstd").partitionBy(
         "cell"
     ).parquet(path)
 

@@ -218,3 +218,20 @@ def test_late_client_is_forgotten_only_when_asked(spark):
     )
     assert quota.stream_quota(stream).isStreaming
     assert quota.stream_quota(stream, late=timedelta(hours=1)).isStreaming
+
+
+def test_scratch_tables_go_with_their_scope_but_stay_after_an_error(spark):
+    from pathlib import Path
+
+    from repolumen.session import cut_lineage, scratch_scope
+
+    with scratch_scope(spark):
+        df = cut_lineage(spark.range(3), "probe")
+        (file, *_) = df.inputFiles()
+        assert df.count() == 3
+    folder = Path(file.removeprefix("file://")).parent
+    assert not folder.exists()
+    with pytest.raises(RuntimeError), scratch_scope(spark):
+        kept = cut_lineage(spark.range(3), "probe")
+        raise RuntimeError
+    assert kept.count() == 3
