@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from repolumen import registry
 from tests.compare import connect, differences
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
@@ -19,14 +20,17 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+registry.load_all()
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, con, name):
     problem = differences(contract.queries()[name](spark, SF_DIR), con, contract.oracle_sql()[name])
     assert problem is None, problem
 
 
 def test_queries_without_sql_are_few_and_run(spark):
-    bare = set(contract.queries()) - set(contract.oracle_sql())
+    bare = set(registry.QUERIES) - set(registry.ORACLES)
     assert bare == {"q4_recall"}
     row = contract.queries()["q4_recall"](spark, SF_DIR).head()
     assert row["found_hits"] <= row["exact_hits"] and row["recall"] > 0.5
