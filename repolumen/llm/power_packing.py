@@ -22,7 +22,14 @@ from repolumen.session import cut_lineage
 
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
-PIECES = "start long, length long, ids array<int>, doc_tokens long"
+#: Columns of a piece. ``ids`` and their checksum are made on request.
+PIECES = {
+    "start": "long",
+    "length": "long",
+    "doc_tokens": "long",
+    "ids": "array<int>",
+    "ids_crc32": "long",
+}
 
 
 def binary_lengths(n: int, largest: int) -> Iterator[int]:
@@ -36,8 +43,8 @@ def binary_lengths(n: int, largest: int) -> Iterator[int]:
         rest -= piece
 
 
-class WordIds:
-    """Ids of texts by a tokenizer file, as little-endian 32-bit bytes, words remembered.
+class WordIds(dict):
+    """Word to ids by a tokenizer file, as little-endian 32-bit bytes; unknown words are worked out.
 
     Right for tokenizers that drop white space and never join across it. Pieces that
     are not remembered are given to the tokenizer's model.
@@ -48,35 +55,32 @@ class WordIds:
 
         self.model = Tokenizer.from_file(path).model
         self.vocabulary = Vocabulary(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces = self._specials()
+        self.of_pieces = self._specials()
 
     def _specials(self) -> dict[str, bytes]:
         return {s: i.to_bytes(4, "little") for s, i in self.vocabulary.specials.items()}
 
     def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+        ids = self.of_pieces.get(piece)
         if ids is None:
             found = self.model.tokenize(self.vocabulary.spelled(piece))
             ids = b"".join([token.id.to_bytes(4, "little") for token in found])
             if len(piece) <= LONG_WORD:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces = self._specials()
-                self.pieces[piece] = ids
+                if len(self.of_pieces) >= REMEMBERED:
+                    self.of_pieces = self._specials()
+                self.of_pieces[piece] = ids
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = b"".join(map(self.piece, self.vocabulary.pieces(word)))
+        if len(word) <= LONG_WORD:
+            self[word] = ids
         return ids
 
     def text(self, text: str | None) -> bytes:
-        words = text.encode().split() if text else []
-        if len(self.words) >= REMEMBERED:
-            self.words = {}
-        known = self.words
-        long: dict[bytes, bytes] = {}
-        for word in set(words).difference(known):
-            ids = b"".join(map(self.piece, self.vocabulary.pieces(word)))
-            (known if len(word) <= LONG_WORD else long)[word] = ids
-        if not long:
-            return b"".join(map(known.__getitem__, words))
-        return b"".join([long[w] if w in long else known[w] for w in words])
+        if len(self) >= REMEMBERED:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
 
 
 @functools.cache
@@ -85,27 +89,37 @@ def word_ids(path: str) -> WordIds:
 
 
 def cut_documents(
-    docs: DataFrame, tokenizer: str, last_id: int = 2, largest: int = 4096, doc_id: str = "doc_id"
+    docs: DataFrame,
+    tokenizer: str,
+    columns: Sequence[str] = ("start", "length", "ids", "doc_tokens"),
+    last_id: int = 2,
+    largest: int = 4096,
 ) -> DataFrame:
-    """``doc_id``, ``start``, ``length``, ``ids`` and ``doc_tokens`` of the binary pieces of ``text``.
+    """``doc_id`` and ``columns`` (of ``PIECES``) of the binary pieces of ``text``.
 
     ``last_id`` ends every document, so a null or empty text is one piece of one id.
-    Repeated rows are packed as often as they come; an empty table gives no pieces.
+    ``ids_crc32`` is of the little-endian unsigned 32-bit ids. Repeated rows are packed
+    as often as they come; an empty table gives no pieces.
     """
+    last = last_id.to_bytes(4, "little")
 
     def rows(key, text):
-        ids = np.frombuffer(word_ids(tokenizer).text(text) + last_id.to_bytes(4, "little"), "<i4")
+        data = word_ids(tokenizer).text(text) + last
+        n = len(data) // 4
         at = 0
-        for length in binary_lengths(len(ids), largest):
-            yield key, at, length, ids[at : at + length], len(ids)
+        for length in binary_lengths(n, largest):
+            piece = data[4 * at : 4 * (at + length)]
+            made = {"start": at, "length": length, "doc_tokens": n}
+            if "ids" in columns:
+                made["ids"] = np.frombuffer(piece, "<i4")
+            if "ids_crc32" in columns:
+                made["ids_crc32"] = zlib.crc32(piece)
+            yield key, *[made[c] for c in columns]
             at += length
 
-    fields = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, {PIECES}"
-    return exploded_text_rows(docs, [doc_id, "text"], rows, fields)
-
-
-def crc32_of_ids(ids: Sequence[int]) -> int:
-    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+    fields = [f"`doc_id` {docs.schema['doc_id'].dataType.simpleString()}"]
+    fields += [f"{c} {PIECES[c]}" for c in columns]
+    return exploded_text_rows(docs, ["doc_id", "text"], rows, ", ".join(fields))
 
 
 def in_buckets(pieces: DataFrame, *order: str) -> DataFrame:

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolumen.llm.decontaminate import find_leaks
-from repolumen.llm.power_packing import crc32_of_ids, cut_documents, in_buckets
+from repolumen.llm.power_packing import cut_documents, in_buckets
 from repolumen.llm.quality_classifier import train, with_score
 from repolumen.llm.quality_rules import with_quality
 from repolumen.llm.secret_scan import KINDS, span_list, with_secrets
 from repolumen.llm.sharding import balanced_shards
 from repolumen.llm.simhash import simhash_components
 from repolumen.llm.templates import extract_main_text
-from repolumen.llm.texts import with_text_columns
 from repolumen.llm.token_counts import with_token_counts
 from repolumen.llm.url_rules import judge_urls, rule_table
 
@@ -106,15 +105,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary pieces of all documents in buckets of equal length."""
-    pieces = cut_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
-
-    def digest(ids):
-        return [[crc32_of_ids(i) for i in ids]]
-
-    digested = with_text_columns(
-        pieces, "ids", digest, "ids_crc32 long", ["doc_id", "start", "length", "doc_tokens"]
-    )
-    return in_buckets(digested, "doc_id", "start", "ids_crc32")
+    columns = ("start", "length", "ids_crc32", "doc_tokens")
+    pieces = cut_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), columns)
+    return in_buckets(pieces, "doc_id", "start", "ids_crc32")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

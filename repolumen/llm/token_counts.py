@@ -21,14 +21,13 @@ from pyspark.sql import functions as F
 from repolumen.llm.texts import with_text_columns
 from repolumen.llm.vocabulary import LONG_WORD, REMEMBERED, Vocabulary
 
-class MergeCounter:
-    """Counts the tokens of words and texts for one vocabulary file."""
+class MergeCounter(dict):
+    """Word to number of tokens for one vocabulary file; unknown words are worked out."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.ranks = {tuple(pair): rank for rank, pair in enumerate(self.vocabulary.merges)}
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, int] = dict.fromkeys(self.vocabulary.specials, 1)
+        self.of_pieces: dict[str, int] = dict.fromkeys(self.vocabulary.specials, 1)
 
     def merge(self, symbols: list[str]) -> int:
         """Tokens that ``symbols`` become."""
@@ -58,27 +57,25 @@ class MergeCounter:
         return n - merges
 
     def piece(self, piece: str) -> int:
-        count = self.pieces.get(piece)
+        count = self.of_pieces.get(piece)
         if count is None:
             count = self.merge(self.vocabulary.symbols(piece))
             if len(piece) <= LONG_WORD:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces = dict.fromkeys(self.vocabulary.specials, 1)
-                self.pieces[piece] = count
+                if len(self.of_pieces) >= REMEMBERED:
+                    self.of_pieces = dict.fromkeys(self.vocabulary.specials, 1)
+                self.of_pieces[piece] = count
+        return count
+
+    def __missing__(self, word: bytes) -> int:
+        count = sum(map(self.piece, self.vocabulary.pieces(word)))
+        if len(word) <= LONG_WORD:
+            self[word] = count
         return count
 
     def text(self, text: str | None) -> int:
-        words = text.encode().split() if text else []
-        if len(self.words) >= REMEMBERED:
-            self.words = {}
-        known = self.words
-        long: dict[bytes, int] = {}
-        for word in set(words).difference(known):
-            count = sum(map(self.piece, self.vocabulary.pieces(word)))
-            (known if len(word) <= LONG_WORD else long)[word] = count
-        if not long:
-            return sum(map(known.__getitem__, words))
-        return sum(long[w] if w in long else known[w] for w in words)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        return sum(map(self.__getitem__, text.encode().split())) if text else 0
 
 
 @functools.cache

@@ -12,6 +12,7 @@ REMEMBERED = 500_000
 #: Longer words are worked out each time.
 LONG_WORD = 40
 _MARKS = ",.;:!?%&*$#"
+_MARKS_BYTES = _MARKS.encode()
 
 
 def byte_letters() -> list[str]:
@@ -40,11 +41,14 @@ class Vocabulary:
 
     def symbols(self, piece: str) -> list[str]:
         """The initial symbols of a piece, the last one marked as the end of the word."""
-        symbols = [self._letters[b] for b in piece.encode()]
+        symbols = list(self.spelled(piece))
         symbols[-1] += self.end
         return symbols
 
     def spelled(self, piece: str) -> str:
+        """The letters that stand for the bytes of a piece."""
+        if piece.isascii() and piece.isprintable():  # such bytes stand for themselves
+            return piece
         return "".join([self._letters[b] for b in piece.encode()])
 
     def _plain(self, text: str) -> list[str]:
@@ -54,6 +58,11 @@ class Vocabulary:
 
     def pieces(self, word: bytes) -> list[str]:
         """Pieces and special strings of a word without ASCII white space, in order."""
+        if word.isalpha():  # ASCII letters
+            return [word.lower().decode()]
+        stem = word.rstrip(_MARKS_BYTES)
+        if stem.isalpha():
+            return [stem.lower().decode(), word[len(stem) :].decode()]
         text = word.decode()
         if text.isascii() or ("Σ" not in text and unicodedata.is_normalized("NFC", text)):
             lowered = text.lower()
