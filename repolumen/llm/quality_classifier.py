@@ -27,13 +27,12 @@ SLOTS = 1 << 18
 TRAIN_ROWS = 12_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.0005
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LONG_WORD = 40
 #: Words turned into features at once: bounds the memory of a very long text.
 _PART = 200_000
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A-ZX]+"), re.compile(r"\d+")
-_RARE = re.compile(r"[^xX9]")
 
 
 def shape_of(word: str) -> str:
@@ -41,14 +40,20 @@ def shape_of(word: str) -> str:
     return _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word)))[:12]
 
 
-@functools.cache
-def _codes() -> dict[bytes, tuple[int, int]]:
-    return {}
+class Codes(dict):
+    """Word to the hashes of itself (upper half) and of its shape; unknown words are worked out."""
+
+    def __missing__(self, word: bytes) -> int:
+        digest = xxhash.xxh32_intdigest
+        code = digest(word) << 32 | digest(shape_of(word.decode()).encode(), 7)
+        if len(word) <= LONG_WORD:
+            self[word] = code
+        return code
 
 
-def _code(word: bytes) -> tuple[int, int]:
-    digest = xxhash.xxh32_intdigest
-    return digest(word), digest(shape_of(word.decode()).encode(), 7)
+@functools.cache
+def _codes() -> Codes:
+    return Codes()
 
 
 def _pair(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -66,15 +71,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     known = _codes()
     if len(known) >= REMEMBERED:
         known.clear()
-    flat: list[int] = []
-    for word in words:
-        code = known.get(word)
-        if code is None:
-            code = _code(word)
-            if len(word) <= LONG_WORD:
-                known[word] = code
-        flat += code
-    codes = np.array(flat, np.uint64).reshape(-1, 2)
+    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    codes = np.stack([codes >> np.uint64(32), codes & np.uint64((1 << 32) - 1)], axis=1)
     slots, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     seen_pairs = 0
     for at in range(0, len(codes), _PART):

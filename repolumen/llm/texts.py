@@ -11,6 +11,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 _INPUT = "_text_input"
+#: Rows that are Python objects at once: a batch of texts takes several times its bytes as strings.
+ROWS = 256
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def with_text_columns(
@@ -31,9 +39,8 @@ def with_text_columns(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            made = compute(texts)
+        for batch in _parts(batches):
+            made = compute(batch.column(len(names)).to_pylist())
             arrays = [batch.column(i).cast(arrow.field(i).type) for i in range(len(names))]
             arrays += [
                 pa.array(values, arrow.field(len(names) + i).type) for i, values in enumerate(made)
@@ -59,7 +66,7 @@ def exploded_text_rows(
         return pa.RecordBatch.from_arrays(made, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             rows: list[tuple] = []
             for values in zip(*(batch.column(i).to_pylist() for i in range(len(columns)))):
                 for row in make_rows(*values):

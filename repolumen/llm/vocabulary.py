@@ -8,7 +8,7 @@ import unicodedata
 import regex
 
 #: Values remembered by word, and by piece, in a Python worker; beyond it a memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Longer words are worked out each time.
 LONG_WORD = 40
 _MARKS = ",.;:!?%&*$#"
