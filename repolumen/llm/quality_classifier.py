@@ -27,7 +27,7 @@ SLOTS = 1 << 18
 TRAIN_ROWS = 12_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.0005
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 LONG_WORD = 40
 #: Words turned into features at once: bounds the memory of a very long text.
 _PART = 200_000

@@ -13,6 +13,16 @@ from pyspark.sql.types import StructType
 _INPUT = "_text_input"
 #: Rows that are Python objects at once: a batch of texts takes several times its bytes as strings.
 ROWS = 256
+#: Rows made at once, and bytes of an Arrow batch between Spark and Python.
+MADE_ROWS, BATCH_BYTES = 512, 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bound_batches(df: DataFrame) -> None:
+    """Batches of long texts must not fill an executor: each is held on both sides."""
+    conf = df.sparkSession.conf
+    if int(str(conf.get(_BATCH_CONF)).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,6 +57,7 @@ def with_text_columns(
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
+    _bound_batches(df)
     chosen = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{column}`").alias(_INPUT))
     return chosen.mapInArrow(run, schema)
 
@@ -71,10 +82,11 @@ def exploded_text_rows(
             for values in zip(*(batch.column(i).to_pylist() for i in range(len(columns)))):
                 for row in make_rows(*values):
                     rows.append(row)
-                    if len(rows) == 4096:
+                    if len(rows) == MADE_ROWS:
                         yield flush(rows)
                         rows = []
             if rows:
                 yield flush(rows)
 
+    _bound_batches(df)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
