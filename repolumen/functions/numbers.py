@@ -59,10 +59,15 @@ def estimated_tokens(total_chars: Column) -> Column:
     return F.round(total_chars / 4).cast("long")
 
 
-def result_limit(text: Column, default: int = DEFAULT_LIMIT, cap: int = MAX_LIMIT) -> Column:
-    """Requested number of results: leading digits of the text, default, then cap."""
+def requested_limit(text: Column, default: int = DEFAULT_LIMIT) -> Column:
+    """Requested number of results: leading digits of the text, else the default. No cap."""
     number = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("int")
-    return F.least(F.coalesce(number, F.lit(default)), F.lit(cap))
+    return F.coalesce(number, F.lit(default))
+
+
+def result_limit(text: Column, default: int = DEFAULT_LIMIT, cap: int = MAX_LIMIT) -> Column:
+    """The same for the command line, which shows ``cap`` results at most."""
+    return F.least(requested_limit(text, default), F.lit(cap))
 
 
 def fetch_wait_seconds(attempt: Column) -> Column:

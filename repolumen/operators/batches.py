@@ -107,12 +107,16 @@ def completeness(ledger: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def dispositions(ledger: DataFrame, statuses: DataFrame) -> DataFrame:
-    """What to do with every batch in the ledger on resume."""
+    """What to do with every batch in the ledger on resume.
+
+    A batch whose status is not known is asked for again, never given up: it may be
+    paid for already.
+    """
     batches = ledger.groupBy("batch_id").agg(F.count("id").alias("items"))
     status = F.col("status")
     action = (
         F.when((status == "completed") & F.col("output_file_id").isNotNull(), "download")
-        .when(status.isin("in_progress", "validating"), "poll")
+        .when(status.isNull() | status.isin("in_progress", "validating"), "poll")
         .otherwise("remove")
     )
     return batches.join(

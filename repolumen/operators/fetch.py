@@ -299,10 +299,11 @@ def format_counts(stored: DataFrame) -> DataFrame:
     ``stored`` has ``branch`` and ``filename``. Grouping sets read it once.
     """
     branches = F.col("branch").isin("main", "master", "default")
+    # The total is of all stored files, also those on other branches or with odd names.
     grouped = (
-        stored.where(branches)
-        .groupingSets([["branch", "filename"], ["branch"], []], "branch", "filename")
+        stored.groupingSets([["branch", "filename"], ["branch"], []], "branch", "filename")
         .agg(F.count("*").alias("n"), F.grouping_id("branch", "filename").alias("level"))
+        .where((F.col("level") == 3) | branches)
     )
     scope = (
         F.when(F.col("level") == 0, "branch_file")

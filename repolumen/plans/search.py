@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolumen.functions.numbers import DEFAULT_LIMIT, MAX_LIMIT, result_limit
+from repolumen.functions.numbers import DEFAULT_LIMIT, requested_limit
 from repolumen.functions.text import unicode_trim
 from repolumen.operators.embedding import Embedder, embed_column, generate_column
 from repolumen.operators.hits import attach_content
@@ -22,7 +22,7 @@ def answerable(queries: DataFrame, default_limit: int = DEFAULT_LIMIT) -> DataFr
     return queries.where(F.length(unicode_trim(F.col("query"))) > 0).select(
         F.col("qid").cast("long").alias("qid"),
         "query",
-        result_limit(text, default_limit).cast("long").alias("k"),
+        requested_limit(text, default_limit).cast("long").alias("k"),
     )
 
 
@@ -69,9 +69,10 @@ def _search(
     dimension: int,
     readmes: DataFrame | None,
 ) -> DataFrame:
-    """Exact hits; the capped limit bounds them by the number of queries asked."""
-    n_queries = asked.count()
+    """Exact hits; the limits asked for bound them together."""
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.greatest("k", F.lit(0))).alias("hits")).first()
+    n_queries = size["n"]
     hits = exact_top_k(vectors, index, dimension, ("repo_name",), n_queries=n_queries)
     if readmes is None:
         return hits
-    return attach_content(hits, readmes, max_hits=n_queries * MAX_LIMIT)
+    return attach_content(hits, readmes, max_hits=size["hits"] or 0)

@@ -112,13 +112,15 @@ def lenient_records(spark, sf_dir):
 
 @register(
     "k3_jsonl_records",
-    f"{_UNIQUE} SELECT content_hash, repo_name, content FROM uniq",
+    I.with_sql(I.READMES) + "SELECT sha1(content) AS content_hash, repo_name, content FROM readmes",
 )
 def jsonl_records(spark, sf_dir):
-    """Records as JSON lines and back."""
+    """Raw, whole records as JSON lines and back."""
     path = scratch_path(spark, "records")
-    unique = corpus.first_per_id(corpus.keyed_items(I.readmes(spark, sf_dir)))
-    writers.write_readme_records(unique.select("content_hash", "repo_name", "content"), path)
+    records = I.readmes(spark, sf_dir).select(
+        hashing.content_sha1(F.col("content")).alias("content_hash"), "repo_name", "content"
+    )
+    writers.write_readme_records(records, path)
     return readers.read_readme_records(spark, path)
 
 

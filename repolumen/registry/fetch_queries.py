@@ -238,10 +238,13 @@ def by_status(spark, sf_dir):
 @register(
     "a8_format_counts",
     I.with_sql(I.READMES)
-    + """SELECT CASE WHEN grouping(branch) = 1 THEN 'all' WHEN grouping(filename) = 1 THEN 'branch'
-           ELSE 'branch_file' END AS scope, branch, filename, count(*) AS n FROM readmes
-         WHERE branch IN ('main', 'master', 'default')
-         GROUP BY GROUPING SETS ((branch, filename), (branch), ())""",
+    + """SELECT 'all' AS scope, NULL AS branch, NULL AS filename, count(*) AS n FROM readmes
+         UNION ALL
+         SELECT 'branch', branch, NULL, count(*) FROM readmes
+         WHERE branch IN ('main', 'master', 'default') GROUP BY branch
+         UNION ALL
+         SELECT 'branch_file', branch, filename, count(*) FROM readmes
+         WHERE branch IN ('main', 'master', 'default') GROUP BY branch, filename""",
 )
 def formats(spark, sf_dir):
     """README formats with totals, most frequent first."""

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from repolumen.functions import vectors as V
 from repolumen.functions.numbers import MAX_LIMIT
-from repolumen.functions.text import embed_text, unicode_trim
 from repolumen.operators import cells, hits
 from repolumen.operators.corpus import first_per_id, keyed_items
 from repolumen.operators.embedding import embed_column
 from repolumen.operators.scoring import exact_top_k, top_k_for_one
-from repolumen.plans.search import search, search_hypothetical
+from repolumen.plans.search import answerable, search, search_hypothetical
 from repolumen.registry import register
 from repolumen.registry import inputs as I
 
@@ -78,7 +77,7 @@ def nearest_with_content(spark, sf_dir):
     found = _nearest(spark, sf_dir)
     docs = I.readmes(spark, sf_dir)
     bound = I.vectors(spark, sf_dir).count() * MAX_LIMIT
-    with_text = hits.attach_content(found.where(F.col("repo_name").isNotNull()), docs, bound)
+    with_text = hits.attach_content(found, docs, bound)
     return with_text.select("qid", "rank", "id", "repo_name", F.round("score", 6).alias("score"), "content")
 
 
@@ -94,8 +93,7 @@ def exact(spark, sf_dir):
 @register(
     "q2_search_with_content",
     f"WITH {I.POINTS}, {_HITS}, {I.READMES}, {_CONTENT} SELECT qid, rank, id, h.repo_name,"
-    " round(score, 6) AS score, content FROM hits h LEFT JOIN best USING (repo_name)"
-    " WHERE h.repo_name IS NOT NULL",
+    " round(score, 6) AS score, content FROM hits h LEFT JOIN best USING (repo_name)",
 )
 def with_content(spark, sf_dir):
     """Exact search with the content of each hit."""
@@ -241,12 +239,11 @@ def ann_recall(spark, sf_dir):
 @register(
     "q5_ranked_table",
     f"WITH {I.POINTS}, {_HITS}, {I.READMES}, {_CONTENT} SELECT qid, rank, h.repo_name AS repo,"
-    f" {I.fixed_sql('score', 2)} AS score, content FROM hits h LEFT JOIN best USING (repo_name)"
-    " WHERE h.repo_name IS NOT NULL",
+    f" {I.fixed_sql('score', 2)} AS score, content FROM hits h LEFT JOIN best USING (repo_name)",
 )
 def ranked(spark, sf_dir):
     """Q5: the result table users see."""
-    found = _nearest(spark, sf_dir).where(F.col("repo_name").isNotNull())
+    found = _nearest(spark, sf_dir)
     bound = I.vectors(spark, sf_dir).count() * MAX_LIMIT
     return hits.ranked_table(hits.attach_content(found, I.readmes(spark, sf_dir), bound))
 
@@ -255,11 +252,11 @@ def ranked(spark, sf_dir):
     "p18_shaped_hits",
     f"""{_SEARCH} SELECT qid, rank, round(score, 6) AS score, repo_name AS repo,
           'https://github.com/' || repo_name AS url, {I.fixed_sql('(score * 100)', 0)} || '%' AS percent
-        FROM hits WHERE repo_name IS NOT NULL""",
+        FROM hits""",
 )
 def shaped(spark, sf_dir):
     """Repository page and percentage of each hit."""
-    found = _nearest(spark, sf_dir).where(F.col("repo_name").isNotNull())
+    found = _nearest(spark, sf_dir)
     return _scored(hits.shape_hits(found))
 
 
@@ -323,12 +320,10 @@ def more(spark, sf_dir):
 
 @register(
     "p19_answerable",
-    f"""SELECT doc_id AS qid, substring(trim(text, {I.TRIM_SQL}), 1, 16000) AS query FROM documents
+    f"""SELECT doc_id AS qid, text AS query, 10 AS k FROM documents
         WHERE length(trim(text, {I.TRIM_SQL})) > 0""",
 )
 def not_blank(spark, sf_dir):
     """Blank queries have no results."""
     docs = I.table(spark, sf_dir, "documents")
-    return docs.where(F.length(unicode_trim(F.col("text"))) > 0).select(
-        F.col("doc_id").alias("qid"), embed_text(F.col("text")).alias("query")
-    )
+    return answerable(docs.select(F.col("doc_id").alias("qid"), F.col("text").alias("query")))

@@ -33,10 +33,13 @@ def collapse_bursts(
     firsts = rows.groupBy("user_id", "_span").agg(F.min("_us").alias("_after"))
     order = Window.partitionBy("user_id", "_span").orderBy("ts", "event_id")
     following = F.coalesce(F.lead("_us").over(order), F.col("_after"))
+    after = firsts.select(
+        F.col("user_id").alias("_user"), (F.col("_span") - 1).alias("_before"), "_after"
+    )
+    # A missing user is one user, too.
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_span") == F.col("_before"))
     return (
-        rows.join(
-            firsts.withColumn("_span", F.col("_span") - 1), ["user_id", "_span"], "left"
-        )
+        rows.join(after, same, "left")
         .withColumn("_next", following)
         .where(F.col("_next").isNull() | (F.col("_next") - F.col("_us") >= pause_us))
         .select("user_id", "ts", "event_id", "query")

@@ -156,6 +156,8 @@ def test_dispositions_and_in_flight(spark):
     statuses = spark.createDataFrame(
         [(f"b{i}", s, "f" if i == 0 else None, None, None) for i, s in enumerate(states)], schemas.BATCH_STATUS
     )
+    unknown = batches.dispositions(ledger, statuses.where("false")).collect()
+    assert {r["action"] for r in unknown} == {"poll"}
     found = {r["batch_id"]: r["action"] for r in batches.dispositions(ledger, statuses).collect()}
     assert [found[f"b{i}"] for i in range(7)] == ["download", "remove", "poll", "poll", *["remove"] * 3]
     assert {r["id"] for r in batches.in_flight_ids(ledger, statuses).collect()} == {"i0", "i2", "i3"}
