@@ -50,8 +50,8 @@ def _counts(df: DataFrame, shards: int, key: str = "shard") -> list[int]:
 def _wishes(linked: DataFrame, room: list[int], shards: int) -> DataFrame:
     """``linked`` rows that want to move, with their ``target``.
 
-    A group wants the fewest shards that can hold it, fullest first; ties are drawn by
-    the group, so groups do not all want the same one.
+    A group wants the fewest of its shards that can hold it, fullest first; ties are
+    drawn by the group, so groups do not all want the same one.
     """
     rooms = F.array(*[F.lit(r).cast("long") for r in room])
     held = linked.groupBy("group", "shard").count()
@@ -85,8 +85,9 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
 
     Shard counts differ by one at most. ``size`` is the text's bytes and one; a null
     text has none and is linked with nothing. Slots are 0, 1, .. in each shard. A
-    group larger than a shard spreads over as few as hold it. Repeated rows count
-    each; an empty table gives no rows.
+    group larger than a shard spreads over those with most of it and room. Only
+    unlinked rows make room in a round, so groups stay cut where they are a minority.
+    Repeated rows count each; an empty table gives no rows.
     """
     rows = docs.select(
         "doc_id",
