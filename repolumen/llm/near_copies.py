@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolumen.llm.graphs import components
-from repolumen.llm.simhash import _bit_counts, few, shingle_hashes, split_crowds, words_of
+from repolumen.llm.simhash import BROADCAST_KEYS, _bit_counts, few, shingle_hashes, split_crowds, words_of
 from repolumen.llm.texts import with_text_columns
 from repolumen.session import cut_lineage
 
@@ -27,6 +27,8 @@ CROWD = 100
 #: Removed ids are broadcast up to this number (16 bytes each).
 BROADCAST_IDS = 1_000_000
 _LONGEST = 4
+#: Tasks that share the pairs of a crowded key.
+SPREAD = 8
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -64,30 +66,27 @@ def _chain_rows(nodes: DataFrame, starts: Column, length: int) -> DataFrame:
     return begun.select("node", "start", value.alias("value"), ahead.alias("ahead"))
 
 
-def candidate_pairs(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame | None]:
     """Distinct ``(a, b)`` of ``nodes`` (node, segments) that agree on a segment and keep the budget ahead.
 
     Where more than ``crowd`` nodes share a chain it is made longer; at four segments
-    the nodes are paired with the lowest one only.
+    the nodes are paired with the lowest one only. That joins most of a crowd with few
+    pairs, not all of it: the rows of the crowded segments are returned as well (None
+    without any), for ``unjoined_pairs``.
     """
     rows = _chain_rows(nodes, F.explode(F.array(*[F.lit(i) for i in range(SEGMENTS)])), 1)
-    pairs = None
+    pairs, shared = None, None
     for length in range(1, _LONGEST + 1):
         calm, crowded = split_crowds(rows, ("start", "value"), crowd)
         left, right = calm.alias("l"), calm.alias("r")
-        differ = F.col("l.ahead").bitwiseXOR(F.col("r.ahead"))
-        near = (
-            (F.col("l.start") == F.col("r.start"))
-            & (F.col("l.value") == F.col("r.value"))
-            & (F.col("l.node") < F.col("r.node"))
-            & (F.bit_count(differ.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) <= budget(length + 1))
-            & (F.bit_count(differ) <= budget(length + 2))
-        )
+        near = _meet(length) & (F.col("l.node") < F.col("r.node"))
         found = left.join(right, near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
         if crowded is None:
             break
-        crowded = cut_lineage(crowded.select("node", "start", "value").distinct(), "crowded-chains")
+        crowded = cut_lineage(crowded.select("node", "start", "value", "ahead").distinct(), "crowded-chains")
+        if length == 1:
+            shared = crowded
         if length == _LONGEST:
             lowest = crowded.groupBy("start", "value").agg(F.min("node").alias("a"))
             stars = crowded.join(lowest, ["start", "value"]).where("node > a")
@@ -95,7 +94,41 @@ def candidate_pairs(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
             break
         again = crowded.select("node", "start").join(nodes, "node")
         rows = _chain_rows(again, F.col("start"), length + 1)
-    return cut_lineage(pairs.distinct(), "candidate-pairs")
+    return cut_lineage(pairs.distinct(), "candidate-pairs"), shared
+
+
+def _meet(length: int) -> Column:
+    """Rows ``l`` and ``r`` share a chain and keep the budget of the two segments that follow."""
+    differ = F.col("l.ahead").bitwiseXOR(F.col("r.ahead"))
+    return (
+        (F.col("l.start") == F.col("r.start"))
+        & (F.col("l.value") == F.col("r.value"))
+        & (F.bit_count(differ.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) <= budget(length + 1))
+        & (F.bit_count(differ) <= budget(length + 2))
+    )
+
+
+def unjoined_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct ``(a, b)`` of crowded segments that meet and are not in one component yet.
+
+    With them the components are those of all pairs, whatever the crowd bound. Keys
+    of one component only go at once; the rest of a hot key is spread over ``SPREAD`` tasks.
+    """
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut_lineage(rooted, "crowd-roots")
+    sizes = rooted.groupBy("start", "value", "root").count()
+    mixed = sizes.groupBy("start", "value").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n"))
+    open_keys = cut_lineage(mixed.where("n > 1").select("start", "value", "main"), "open-crowds")
+    side = F.broadcast(open_keys) if few(open_keys, BROADCAST_KEYS) else open_keys
+    rows = rooted.join(side, ["start", "value"])
+    # The largest component of a key has no pairs within: the others ask, all answer.
+    left = rows.where("root <> main").withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SPREAD)])))
+    right = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)))
+    apart = (F.col("l.part") == F.col("r.part")) & (F.col("l.root") != F.col("r.root"))
+    found = left.alias("l").join(right.alias("r"), _meet(1) & apart).select(
+        F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")
+    )
+    return cut_lineage(found.distinct(), "unjoined-pairs")
 
 
 def _both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
@@ -104,11 +137,34 @@ def _both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
     return pairs.join(first, "a").join(second, "b")
 
 
+def _similar(pairs: DataFrame, nodes: DataFrame, digest: DataFrame) -> DataFrame | None:
+    """The ``pairs`` within the whole distance whose texts have the similarity; None if none are within it."""
+    differing = F.aggregate(
+        F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+    )
+    close = cut_lineage(_both(pairs, nodes, "segments").where(differing <= DISTANCE).select("a", "b"), "close-pairs")
+    if close.isEmpty():
+        return None
+    asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "copy"), "node")
+    asked = cut_lineage(asked, "compared-texts")
+
+    def shingles(texts):
+        return [[np.unique(shingle_hashes(words_of(t), SHINGLE)).view(np.int64) for t in texts]]
+
+    texts = digest.join(F.broadcast(asked) if few(asked, BROADCAST_IDS) else asked, "copy")
+    hashed = with_text_columns(texts, "text", shingles, "shingles array<long>", ["node"]).dropDuplicates(["node"])
+    both = _both(close, cut_lineage(hashed, "shingles"), "shingles")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    sized = both.select("a", "b", shared.alias("n"), (F.size("of_a") + F.size("of_b")).alias("total"))
+    return cut_lineage(sized.where(F.col("n") >= SIMILARITY * (F.col("total") - F.col("n"))).select("a", "b"), "similar-pairs")
+
+
 def near_copy_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``doc_id``, ``copy`` (digest of the text) and ``root`` of every row of ``docs`` (doc_id, text).
 
     Rows of one root are connected by steps of similarity 0.8 or more. Texts without a
-    word, null ones too, are copies of each other.
+    word, null ones too, are copies of each other. ``crowd`` moves work; it changes no
+    component.
     """
 
     def compute(texts):
@@ -123,25 +179,15 @@ def near_copy_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         marked.groupBy("copy").agg(F.first("segments").alias("segments")).withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
-    pairs = candidate_pairs(nodes.select("node", "segments"), crowd)
-    differing = F.aggregate(
-        F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
-    close = cut_lineage(_both(pairs, nodes, "segments").where(differing <= DISTANCE).select("a", "b"), "close-pairs")
-    asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "copy"), "node")
-    asked = cut_lineage(asked, "compared-texts")
-
-    def shingles(texts):
-        return [[np.unique(shingle_hashes(words_of(t), SHINGLE)).view(np.int64) for t in texts]]
-
-    texts = digest.join(F.broadcast(asked) if few(asked, BROADCAST_IDS) else asked, "copy")
-    hashed = with_text_columns(texts, "text", shingles, "shingles array<long>", ["node"]).dropDuplicates(["node"])
-    both = _both(close, cut_lineage(hashed, "shingles"), "shingles")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    edges = both.select("a", "b", shared.alias("n"), (F.size("of_a") + F.size("of_b")).alias("total")).where(
-        F.col("n") >= SIMILARITY * (F.col("total") - F.col("n"))
-    )
-    roots = components(edges.select("a", "b"))
+    pairs, shared = candidate_pairs(nodes.select("node", "segments"), crowd)
+    edges = _similar(pairs, nodes, digest)
+    if edges is None:
+        edges = pairs.limit(0)
+    roots = components(edges)
+    if shared is not None:
+        more = _similar(unjoined_pairs(shared, roots), nodes, digest)
+        if more is not None:
+            roots = components(edges.unionByName(more))
     named = nodes.select("node", "copy").join(roots, "node", "left")
     classes = cut_lineage(named.select("copy", F.coalesce("root", "node").alias("root")), "copy-classes")
     return rows.join(classes, "copy", "left")

@@ -428,3 +428,26 @@ def test_pipeline_stages(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_crowds_change_no_group_of_near_copies(spark):
+    """Few and many texts on a key give the same groups, also where a crowd is not all alike."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.choice((0, 1, 3, 6))):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9999)}"
+        rows.append((i, " ".join(words)))
+
+    def groups(crowd):
+        found = near_copies.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string"), crowd).collect()
+        by_root = {}
+        for r in found:
+            by_root.setdefault(r["root"], set()).add(r["doc_id"])
+        return sorted(map(sorted, by_root.values()))
+
+    whole = groups(10**9)
+    assert len(whole) > 1
+    assert groups(3) == whole
