@@ -22,11 +22,10 @@ SEGMENTS, SEGMENT_BITS = 32, 24
 #: Bits in which a pair may differ. Near copies of similarity 0.8 differ in 51 on average.
 DISTANCE = 80
 SHINGLE, SIMILARITY = 5, 0.8
-#: Keys that more texts share get longer chains instead of pairs.
-CROWD = 100
+#: Segments that more texts share are joined by their lowest text first.
+CROWD = 8
 #: Removed ids are broadcast up to this number (16 bytes each).
 BROADCAST_IDS = 1_000_000
-_LONGEST = 4
 #: Tasks that share the pairs of a crowded key.
 SPREAD = 8
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -54,60 +53,51 @@ def _segment(i: Column | int) -> Column:
     return F.element_at("segments", (i % SEGMENTS + 1).cast("int") if isinstance(i, Column) else i % SEGMENTS + 1).cast("long")
 
 
-def _chain_rows(nodes: DataFrame, starts: Column, length: int) -> DataFrame:
-    """``node``, ``start``, ``value`` of the chain of ``length`` segments, ``ahead``: the two that follow."""
-    begun = nodes.select("node", "segments", starts.alias("start"))
+def _segment_rows(nodes: DataFrame) -> DataFrame:
+    """``node``, ``start``, ``value`` of every segment, ``ahead``: the two that follow."""
+    begun = nodes.select("node", "segments", F.explode(F.array(*[F.lit(i) for i in range(SEGMENTS)])).alias("start"))
     at = F.col("start")
-    if length <= 2:
-        value = _segment(at) if length == 1 else F.shiftleft(_segment(at), SEGMENT_BITS).bitwiseOR(_segment(at + 1))
-    else:
-        value = F.xxhash64(*[_segment(at + i) for i in range(length)])
-    ahead = F.shiftleft(_segment(at + length + 1), SEGMENT_BITS).bitwiseOR(_segment(at + length))
-    return begun.select("node", "start", value.alias("value"), ahead.alias("ahead"))
+    ahead = F.shiftleft(_segment(at + 2), SEGMENT_BITS).bitwiseOR(_segment(at + 1))
+    return begun.select("node", "start", _segment(at).alias("value"), ahead.alias("ahead"))
 
 
-def candidate_pairs(nodes: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct ``(a, b)`` of ``nodes`` (node, segments) that agree on a segment and keep the budget ahead.
+def _in_budget(one: Column, other: Column) -> Column:
+    """The chain of an equal segment and the two ahead keeps its budget at both lengths."""
+    differ = one.bitwiseXOR(other)
+    return (F.bit_count(differ.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) <= budget(2)) & (
+        F.bit_count(differ) <= budget(3)
+    )
 
-    Where more than ``crowd`` nodes share a chain it is made longer; at four segments
-    the nodes are paired with the lowest one only. That joins most of a crowd with few
-    pairs, not all of it: the rows of the crowded segments are returned as well (None
-    without any), for ``unjoined_pairs``.
-    """
-    rows = _chain_rows(nodes, F.explode(F.array(*[F.lit(i) for i in range(SEGMENTS)])), 1)
-    pairs, shared = None, None
-    for length in range(1, _LONGEST + 1):
-        calm, crowded = split_crowds(rows, ("start", "value"), crowd)
-        left, right = calm.alias("l"), calm.alias("r")
-        near = _meet(length) & (F.col("l.node") < F.col("r.node"))
-        found = left.join(right, near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if crowded is None:
-            break
-        crowded = cut_lineage(crowded.select("node", "start", "value", "ahead").distinct(), "crowded-chains")
-        if length == 1:
-            shared = crowded
-        if length == _LONGEST:
-            lowest = crowded.groupBy("start", "value").agg(F.min("node").alias("a"))
-            stars = crowded.join(lowest, ["start", "value"]).where("node > a")
-            pairs = pairs.unionByName(stars.select("a", F.col("node").alias("b")))
-            break
-        again = crowded.select("node", "start").join(nodes, "node")
-        rows = _chain_rows(again, F.col("start"), length + 1)
-    return cut_lineage(pairs.distinct(), "candidate-pairs"), shared
-
-
-def _meet(length: int) -> Column:
-    """Rows ``l`` and ``r`` share a chain and keep the budget of the two segments that follow."""
-    differ = F.col("l.ahead").bitwiseXOR(F.col("r.ahead"))
+
+def _meet() -> Column:
+    """Rows ``l`` and ``r`` share a segment and keep the budget ahead."""
     return (
         (F.col("l.start") == F.col("r.start"))
         & (F.col("l.value") == F.col("r.value"))
-        & (F.bit_count(differ.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))) <= budget(length + 1))
-        & (F.bit_count(differ) <= budget(length + 2))
+        & _in_budget(F.col("l.ahead"), F.col("r.ahead"))
     )
 
 
+def candidate_pairs(nodes: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct ``(a, b)`` of ``nodes`` (node, segments) that agree on a segment and keep the budget ahead.
+
+    Where more than ``crowd`` nodes share a segment they are paired with the lowest
+    one only. That joins most of a crowd with few pairs, not all of it: the rows of the
+    crowded segments are returned as well (None without any), for ``unjoined_pairs``.
+    """
+    calm, crowded = split_crowds(_segment_rows(nodes), ("start", "value"), crowd)
+    near = _meet() & (F.col("l.node") < F.col("r.node"))
+    pairs = calm.alias("l").join(calm.alias("r"), near).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    if crowded is not None:
+        crowded = cut_lineage(crowded.select("node", "start", "value", "ahead"), "crowded-segments")
+        lowest = crowded.groupBy("start", "value").agg(
+            F.min("node").alias("a"), F.min_by("ahead", "node").alias("ahead_of_a")
+        )
+        stars = crowded.join(lowest, ["start", "value"]).where((F.col("node") > F.col("a")) & _in_budget(F.col("ahead"), F.col("ahead_of_a")))
+        pairs = pairs.unionByName(stars.select("a", F.col("node").alias("b")))
+    return cut_lineage(pairs.distinct(), "candidate-pairs"), crowded
+
+
 def unjoined_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct ``(a, b)`` of crowded segments that meet and are not in one component yet.
 
@@ -125,7 +115,7 @@ def unjoined_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
     left = rows.where("root <> main").withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SPREAD)])))
     right = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)))
     apart = (F.col("l.part") == F.col("r.part")) & (F.col("l.root") != F.col("r.root"))
-    found = left.alias("l").join(right.alias("r"), _meet(1) & apart).select(
+    found = left.alias("l").join(right.alias("r"), _meet() & apart).select(
         F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")
     )
     return cut_lineage(found.distinct(), "unjoined-pairs")
