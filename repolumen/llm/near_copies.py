@@ -115,7 +115,9 @@ def unjoined_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
     left = rows.where("root <> main").withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SPREAD)])))
     right = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)))
     apart = (F.col("l.part") == F.col("r.part")) & (F.col("l.root") != F.col("r.root"))
-    found = left.alias("l").join(right.alias("r"), _meet() & apart).select(
+    # Two that both ask would meet twice.
+    once = (F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))
+    found = left.alias("l").join(right.alias("r"), _meet() & apart & once).select(
         F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")
     )
     return cut_lineage(found.distinct(), "unjoined-pairs")
