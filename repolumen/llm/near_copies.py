@@ -1,10 +1,15 @@
-"""One document of every group of near copies: wide SimHash, then exact similarity.
+"""One document of every group of near copies: two ways to candidates, then exact similarity.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard
-similarity of at least 0.8. A 64-bit fingerprint is too coarse for that, so this plan
-takes 768 bits of the distinct words: a ring of 32 segments. Pairs meet where one
-segment is equal; the chain that starts there must keep its proportional budget, and
-pairs within the whole distance are compared exactly.
+similarity of at least 0.8. Most pairs are met by a wide SimHash: 768 bits of the
+distinct words, a ring of 32 segments. Pairs meet where one segment is equal; the
+chain that starts there must keep its proportional budget.
+
+SimHash loses pairs that differ by a block of new words, so a prefix filter closes the
+gap, and it loses none: put the shingles of all texts in one order. If two sets of
+``n`` shingles at most reach the similarity, the first ``n // 5 + 1`` of each share a
+shingle. Rare ones come first, so few texts meet by chance. Only texts that SimHash
+has not put into one component yet are paired there, by length and position.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from repolumen.llm.texts import with_text_columns
 from repolumen.session import cut_lineage
 
 SEGMENTS, SEGMENT_BITS = 32, 24
-#: Bits in which a pair may differ. Near copies of similarity 0.8 differ in 51 on average.
+#: Bits in which a pair that SimHash meets may differ. Pairs beyond it are met by their prefixes.
 DISTANCE = 80
 SHINGLE, SIMILARITY = 5, 0.8
 #: Segments that more texts share are joined by their lowest text first.
@@ -28,6 +33,9 @@ CROWD = 8
 BROADCAST_IDS = 1_000_000
 #: Tasks that share the pairs of a crowded key.
 SPREAD = 8
+#: The order of shingles is by counts in one of so many texts, for shingles counted so often, as many as
+#: listed. It decides how many pairs meet by chance, never which similar ones do: any order is complete.
+COUNTED, LEAST_COUNT, LISTED = 16, 3, 1_000_000
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -78,12 +86,12 @@ def _meet() -> Column:
     )
 
 
-def candidate_pairs(nodes: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame | None]:
+def candidate_pairs(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Distinct ``(a, b)`` of ``nodes`` (node, segments) that agree on a segment and keep the budget ahead.
 
     Where more than ``crowd`` nodes share a segment they are paired with the lowest
-    one only. That joins most of a crowd with few pairs, not all of it: the rows of the
-    crowded segments are returned as well (None without any), for ``unjoined_pairs``.
+    one only. That joins most of a crowd with few pairs, not all of it: the rest is met
+    by prefixes.
     """
     calm, crowded = split_crowds(_segment_rows(nodes), ("start", "value"), crowd)
     near = _meet() & (F.col("l.node") < F.col("r.node"))
@@ -95,32 +103,72 @@ def candidate_pairs(nodes: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, Da
         )
         stars = crowded.join(lowest, ["start", "value"]).where((F.col("node") > F.col("a")) & _in_budget(F.col("ahead"), F.col("ahead_of_a")))
         pairs = pairs.unionByName(stars.select("a", F.col("node").alias("b")))
-    return cut_lineage(pairs.distinct(), "candidate-pairs"), crowded
+    return cut_lineage(pairs.distinct(), "candidate-pairs")
 
 
-def unjoined_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)`` of crowded segments that meet and are not in one component yet.
+def shingles_of(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(words_of(text), SHINGLE)).view(np.int64)
 
-    With them the components are those of all pairs, whatever the crowd bound. Keys
-    of one component only go at once; the rest of a hot key is spread over ``SPREAD`` tasks.
+
+def prefix_of(shingles: np.ndarray, listed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first ``n // 5 + 1`` of ``n`` distinct shingles: those not ``listed`` (sorted), then by count."""
+    if not len(shingles):
+        return shingles
+    weight = np.zeros(len(shingles), np.int64)
+    if len(listed):
+        at = np.minimum(np.searchsorted(listed, shingles), len(listed) - 1)
+        weight = np.where(listed[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, weight))][: len(shingles) // 5 + 1]
+
+
+def _counted_shingles(digest: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of the counted texts hold, sorted, and in how many."""
+    some = digest.where(F.pmod(F.xxhash64("copy"), F.lit(COUNTED)) == 0)
+
+    def compute(texts):
+        return [[shingles_of(t) for t in texts]]
+
+    rows = with_text_columns(some, "text", compute, "shingles array<long>", ["copy"]).dropDuplicates(["copy"])
+    often = rows.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= LEAST_COUNT)
+    table = often.orderBy(F.desc("count"), "shingle").limit(LISTED).toArrow()
+    shingles, counts = (table.column(c).to_numpy() for c in ("shingle", "count"))
+    order = np.argsort(shingles)
+    return shingles[order], counts[order]
+
+
+def prefix_pairs(nodes: DataFrame, digest: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct ``(a, b)`` of texts in different components that share a shingle of their prefixes.
+
+    All pairs of the similarity are among them but those within a component. A pair that
+    first meets at places ``i`` and ``j`` can share no more than what follows there.
     """
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = cut_lineage(rooted, "crowd-roots")
-    sizes = rooted.groupBy("start", "value", "root").count()
-    mixed = sizes.groupBy("start", "value").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n"))
-    open_keys = cut_lineage(mixed.where("n > 1").select("start", "value", "main"), "open-crowds")
+    listed = digest.sparkSession.sparkContext.broadcast(_counted_shingles(digest))
+
+    def compute(texts):
+        sets = [shingles_of(t) for t in texts]
+        return [[len(s) for s in sets], [prefix_of(s, *listed.value) for s in sets]]
+
+    made = with_text_columns(digest, "text", compute, "n int, prefix array<long>", ["copy"]).dropDuplicates(["copy"])
+    rooted = nodes.select("node", "copy").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    prefixes = cut_lineage(made.join(rooted, "copy").select("node", "root", "n", "prefix"), "prefixes")
+    rows = prefixes.select("node", "root", "n", F.posexplode("prefix").alias("place", "shingle"))
+    span = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met"))
+    open_keys = cut_lineage(span.where("low < high").select("shingle", (F.col("met") > CROWD).alias("crowded")), "open-shingles")
     side = F.broadcast(open_keys) if few(open_keys, BROADCAST_KEYS) else open_keys
-    rows = rooted.join(side, ["start", "value"])
-    # The largest component of a key has no pairs within: the others ask, all answer.
-    left = rows.where("root <> main").withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SPREAD)])))
-    right = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)))
-    apart = (F.col("l.part") == F.col("r.part")) & (F.col("l.root") != F.col("r.root"))
-    # Two that both ask would meet twice.
-    once = (F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))
-    found = left.alias("l").join(right.alias("r"), _meet() & apart & once).select(
-        F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")
-    )
-    return cut_lineage(found.distinct(), "unjoined-pairs")
+    rows = cut_lineage(rows.join(side, "shingle"), "open-prefixes")
+    # One side of a crowded key goes to all parts, the other to one of them.
+    everywhere = F.array(*[F.lit(i).cast("long") for i in range(SPREAD)])
+    nowhere = F.array(F.lit(0).cast("long"))
+    left = rows.withColumn("part", F.explode(F.when(F.col("crowded"), everywhere).otherwise(nowhere)))
+    right = rows.withColumn("part", F.when(F.col("crowded"), F.pmod(F.xxhash64("node"), F.lit(SPREAD))).otherwise(F.lit(0).cast("long")))
+    n, m = F.col("l.n"), F.col("r.n")
+    sizes = (5 * n >= 4 * m) & (5 * m >= 4 * n)
+    # Similarity 0.8 takes 4 / 9 of both sizes in common.
+    after = 9 * F.least(n - F.col("l.place"), m - F.col("r.place")) >= 4 * (n + m)
+    met = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.part") == F.col("r.part"))
+    apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root"))
+    found = left.alias("l").join(right.alias("r"), met & apart & sizes & after)
+    return cut_lineage(found.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "prefix-pairs")
 
 
 def _both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
@@ -129,19 +177,23 @@ def _both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
     return pairs.join(first, "a").join(second, "b")
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, digest: DataFrame) -> DataFrame | None:
-    """The ``pairs`` within the whole distance whose texts have the similarity; None if none are within it."""
+def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``pairs`` within the whole distance."""
     differing = F.aggregate(
         F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
-    close = cut_lineage(_both(pairs, nodes, "segments").where(differing <= DISTANCE).select("a", "b"), "close-pairs")
+    return cut_lineage(_both(pairs, nodes, "segments").where(differing <= DISTANCE).select("a", "b"), "close-pairs")
+
+
+def _similar(close: DataFrame, nodes: DataFrame, digest: DataFrame) -> DataFrame | None:
+    """The ``close`` pairs whose texts have the similarity; None if there are no pairs."""
     if close.isEmpty():
         return None
     asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "copy"), "node")
     asked = cut_lineage(asked, "compared-texts")
 
     def shingles(texts):
-        return [[np.unique(shingle_hashes(words_of(t), SHINGLE)).view(np.int64) for t in texts]]
+        return [[shingles_of(t) for t in texts]]
 
     texts = digest.join(F.broadcast(asked) if few(asked, BROADCAST_IDS) else asked, "copy")
     hashed = with_text_columns(texts, "text", shingles, "shingles array<long>", ["node"]).dropDuplicates(["node"])
@@ -171,15 +223,14 @@ def near_copy_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         marked.groupBy("copy").agg(F.first("segments").alias("segments")).withColumn("node", F.monotonically_increasing_id()),
         "texts",
     )
-    pairs, shared = candidate_pairs(nodes.select("node", "segments"), crowd)
-    edges = _similar(pairs, nodes, digest)
+    pairs = candidate_pairs(nodes.select("node", "segments"), crowd)
+    edges = _similar(_close(pairs, nodes), nodes, digest)
     if edges is None:
         edges = pairs.limit(0)
     roots = components(edges)
-    if shared is not None:
-        more = _similar(unjoined_pairs(shared, roots), nodes, digest)
-        if more is not None:
-            roots = components(edges.unionByName(more))
+    more = _similar(prefix_pairs(nodes, digest, roots), nodes, digest)
+    if more is not None:
+        roots = components(edges.unionByName(more))
     named = nodes.select("node", "copy").join(roots, "node", "left")
     classes = cut_lineage(named.select("copy", F.coalesce("root", "node").alias("root")), "copy-classes")
     return rows.join(classes, "copy", "left")

@@ -451,3 +451,23 @@ def test_crowds_change_no_group_of_near_copies(spark):
     whole = groups(10**9)
     assert len(whole) > 1
     assert groups(3) == whole
+
+
+def test_near_copies_by_blocks_of_words(spark):
+    """Cut, extended and short copies differ in far more bits of SimHash than edited ones."""
+    rng = random.Random(23)
+    texts = []
+    for n in (10, 12, 20, 60, 240, 1200):
+        for part in (0.81, 0.85, 0.9):
+            for end in (False, True):
+                words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+                kept = int(part * (n - 4)) + 5
+                texts += [" ".join(words), " ".join(words[-kept:] if end else words[:kept])]
+    # A passage that many texts share is no link.
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts += [passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(links) >= 30
+    kept = near_copies.drop_near_copies(documents(spark, texts)).collect()
+    assert {r["doc_id"] for r in kept} == set(roots_of(len(texts), links))
