@@ -2,14 +2,15 @@
 
 The walk of Chakraborty, Goldenberg and Koucky embeds a string so that few edits
 become few differing places: at step ``j`` it writes the current word and moves on if
-bit ``j`` of a random function of that word says so. Two strings that differ by an edit
-fall out of step and soon, by the chance moves, into step again. Every window of a
-document as long as an item is embedded; places of the embedding are sampled several
-times over, and windows that agree with an item in all places of a sample are its
-candidates. The edit distance of each candidate is then worked out exactly.
-
-An item is anchored twice, at its start and at its middle: if it holds ``k`` edits, one
-of the halves holds at most ``k / 2``.
+bit ``j`` of a random function of that word says so. What it writes within so many steps
+depends on as many words only.
+
+An item that may hold ``k`` edits is cut into ``k + 1`` pieces over its whole length. An
+edit touches one piece, so one piece at least is whole in the document, wherever the
+edits are. Each piece is an anchor: it is embedded by several walks for as many steps
+as surely stay inside it, and places of a document where all walks write the same are
+candidates. None is lost. Those with too few pairs of the item around them are passed
+over, and the edit distance of the others is worked out exactly.
 """
 
 from __future__ import annotations
@@ -30,11 +31,8 @@ from repolumen.session import cut_lineage
 
 #: Edits allowed, as a part of an item's words.
 EDITS = 0.2
-#: Places of one sample, chance that a sample agrees for a half item at the limit, and the recall aimed at.
-PLACES, AGREE, RECALL = 5, 0.15, 0.99
-SAMPLES = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE))
-#: Longest walk; longer items are embedded by their first words from each anchor.
-STEPS = 48
+#: Walks that embed a piece. More of them cover more of its words, so fewer places agree by chance.
+WALKS = 4
 #: Items of so many characters are broadcast at once; more are worked through in blocks.
 BLOCK_CHARS = 4_000_000
 _SEED = 0x5EED
@@ -64,6 +62,11 @@ def allowed_edits(n_words: int) -> int:
     return int(n_words * EDITS)
 
 
+def kept_pairs(n_words: int) -> int:
+    """Pairs of neighbouring words that an item keeps at least: an edit breaks two at most."""
+    return n_words - 1 - 2 * allowed_edits(n_words)
+
+
 def nearest_end(pattern: Sequence, text: Sequence) -> tuple[int, int]:
     """Least edit distance of ``pattern`` to any stretch of ``text``, and where the first such ends.
 
@@ -111,10 +114,12 @@ class Items:
     words: list[list[int]]
     vocabulary: dict[bytes, int]
     pairs: Marks
-    #: A row of chance bits for each sample: bit ``j`` moves the walk on from a word at step ``j``.
+    #: Hashes of the pairs of each item, sorted.
+    own_pairs: list[np.ndarray]
+    #: A row of chance bits for each walk: bit ``j`` moves the walk on from a word at step ``j``.
     moves: np.ndarray
-    #: Sample, sampled places, marks of the keys, and key to ``(item, anchor)``.
-    tables: list[tuple[int, np.ndarray, Marks, dict[int, list[tuple[int, int]]]]]
+    #: Steps, marks of the keys, and key to ``(item, anchor)``.
+    tables: list[tuple[int, Marks, dict[int, list[tuple[int, int]]]]]
     #: Sizes of items from and to, which are looked for together.
     sizes: list[tuple[int, int]]
 
@@ -137,18 +142,25 @@ def _walk(codes: np.ndarray, starts: np.ndarray, moves: np.ndarray, steps: int)
     return out
 
 
-def _sampled(written: np.ndarray, places: np.ndarray) -> np.ndarray:
-    key = np.zeros(written.shape[1], np.uint64)
+def _keys(codes: np.ndarray, starts: np.ndarray, moves: np.ndarray, lengths: Sequence[int]) -> dict[int, np.ndarray]:
+    """What all walks write from each start, as one hash for each number of steps in ``lengths``."""
+    walks = [_walk(codes, starts, own, max(lengths)).astype(np.uint64) for own in moves]
+    key, out = np.zeros(len(starts), np.uint64), {}
     with np.errstate(over="ignore"):
-        for place in places:
-            key = (key + written[place].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(31)
-    return key
+        for step in range(max(lengths)):
+            for written in walks:
+                key = (key + written[step] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(31)
+            if step + 1 in lengths:
+                out[step + 1] = key
+    return out
 
 
-def walk_steps(words: int) -> int:
-    """Steps that a walk surely stays inside ``words`` words, as one of few lengths."""
-    return max(s for s in (1, 2, 4, 6, 8, 12, 16, 24, 32, STEPS) if s <= words or s == 1)
+def pieces(words: int) -> list[tuple[int, int]]:
+    """``[from, to)`` of the pieces of an item: one more than it may hold edits."""
+    n = allowed_edits(words) + 1
+    edges = [words * i // n for i in range(n + 1)]
+    return list(zip(edges, edges[1:]))
 
 
 def prepare(items: Sequence[tuple[int, str]]) -> Items:
@@ -158,27 +170,23 @@ def prepare(items: Sequence[tuple[int, str]]) -> Items:
     coded = [[vocabulary.setdefault(x, len(vocabulary) + 1) for x in w] for _, w in split]
     pairs = [_pair_hashes(np.array(w)) for w in coded if len(w) > 1]
     random = np.random.default_rng(_SEED)
-    moves = random.integers(0, 1 << 64, (SAMPLES, len(vocabulary) + 1), np.uint64)
+    moves = random.integers(0, 1 << 64, (WALKS, len(vocabulary) + 1), np.uint64)
     # Words of no item write 0 and always move on.
     moves[:, 0] = np.uint64((1 << 64) - 1)
     groups: dict[int, list[tuple[int, int]]] = {}
     for number, words in enumerate(coded):
-        for anchor in sorted({0, len(words) // 2}):
-            groups.setdefault(walk_steps(len(words) - anchor), []).append((number, anchor))
+        for anchor, end in pieces(len(words)):
+            groups.setdefault(end - anchor, []).append((number, anchor))
     flat = np.array([c for w in coded for c in (*w, 0)] or [0], np.int64)
     begin = np.cumsum([0, *(len(w) + 1 for w in coded)])
     tables = []
-    for sample in range(SAMPLES):
-        order = random.permutation(STEPS)
-        for steps, members in sorted(groups.items()):
-            # Sampled within the steps that stay inside the item.
-            places = np.sort(order[order < steps][:PLACES])
-            starts = np.array([begin[number] + anchor for number, anchor in members])
-            keys = _sampled(_walk(flat, starts, moves[sample], int(places.max()) + 1), places)
-            table: dict[int, list[tuple[int, int]]] = {}
-            for key, member in zip(keys.tolist(), members):
-                table.setdefault(key, []).append(member)
-            tables.append((sample, places, Marks(keys), table))
+    for steps, members in sorted(groups.items()):
+        starts = np.array([begin[number] + anchor for number, anchor in members])
+        keys = _keys(flat, starts, moves, [steps])[steps]
+        table: dict[int, list[tuple[int, int]]] = {}
+        for key, member in zip(keys.tolist(), members):
+            table.setdefault(key, []).append(member)
+        tables.append((steps, Marks(keys), table))
     sizes: list[tuple[int, int]] = []
     for size in sorted({len(w) for w in coded}):
         if sizes and size <= 1.25 * sizes[-1][0]:
@@ -186,11 +194,12 @@ def prepare(items: Sequence[tuple[int, str]]) -> Items:
         else:
             sizes.append((size, size))
     known = Marks(np.concatenate(pairs) if pairs else np.empty(0, np.uint64))
-    return Items([i for i, _ in split], coded, vocabulary, known, moves, tables, sizes)
+    own_pairs = [np.unique(_pair_hashes(np.array(w))) for w in coded]
+    return Items([i for i, _ in split], coded, vocabulary, known, own_pairs, moves, tables, sizes)
 
 
 def _possible(codes: np.ndarray, items: Items) -> np.ndarray:
-    """Places where an item may start or have its middle.
+    """Places that may lie within an item.
 
     An edit breaks two pairs of neighbouring words at most, so a stretch with fewer
     known pairs than an item keeps cannot hold it.
@@ -201,32 +210,31 @@ def _possible(codes: np.ndarray, items: Items) -> np.ndarray:
     possible = np.zeros(n, bool)
     for low, high in items.sizes:
         k = allowed_edits(high)
-        least = low - 1 - 2 * allowed_edits(low)
+        least = min(map(kept_pairs, range(low, high + 1)))
         if least <= 0:
             return codes > 0
         width = high + 2 * k
         full = np.pad(reach, (width, width), mode="edge")
         # By the place where the stretch of ``width`` begins, from ``width`` places before the text on.
         enough = full[width:] - full[:-width] >= least
-        for before in (k, k + high // 2):
-            possible |= enough[width - before : width - before + n]
+        # Within an item that begins at most ``high`` places before, edits included.
+        covered = np.concatenate([[0], np.cumsum(enough, dtype=np.int64)])
+        first, last = np.arange(n), np.arange(width + 1, width + 1 + n)
+        possible |= covered[last] > covered[first]
     return possible & (codes > 0)
 
 
-def _candidates(codes: np.ndarray, items: Items) -> Iterator[tuple[int, int]]:
-    """``(item, place)``: windows that agree with an item in a whole sample; place is its start."""
+def _candidates(codes: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """``(item, place, anchor)``: places where the piece of the item that begins at ``anchor`` may begin."""
     starts = np.flatnonzero(_possible(codes, items))
     if not len(starts):
         return
-    for sample in range(SAMPLES):
-        tables = [t for t in items.tables if t[0] == sample]
-        longest = max(int(places.max()) + 1 for _, places, _, _ in tables)
-        written = _walk(codes, starts, items.moves[sample], longest)
-        for _, places, marks, table in tables:
-            keys = _sampled(written, places)
-            for i in np.flatnonzero(marks.has(keys)).tolist():
-                for number, anchor in table.get(int(keys[i]), ()):
-                    yield number, int(starts[i]) - anchor
+    found = _keys(codes, starts, items.moves, [steps for steps, _, _ in items.tables])
+    for steps, marks, table in items.tables:
+        keys = found[steps]
+        for i in np.flatnonzero(marks.has(keys)).tolist():
+            for number, anchor in table.get(int(keys[i]), ()):
+                yield number, int(starts[i]), anchor
 
 
 def find_items(texts: Sequence[str | None], items: Items) -> list[list[tuple[int, int, int, int, int]]]:
@@ -257,12 +265,11 @@ def _find_in(parts: list[np.ndarray], items: Items) -> Iterator[tuple[int, dict[
     codes = np.concatenate([x for part in parts for x in (part, gap)])
     begin = np.cumsum([0, *(len(part) + 1 for part in parts)])
     regions: dict[tuple[int, int], list[list[int]]] = {}
-    for number, place in sorted(set(_candidates(codes, items))):
-        size = len(items.words[number])
+    for number, start, anchor in sorted(set(_candidates(codes, items)), key=lambda c: (c[0], c[1] - c[2])):
+        size, place = len(items.words[number]), start - anchor
         margin = 2 * allowed_edits(size) + 1
-        # The middle of an item that begins before the text still lies in it.
-        text = int(np.searchsorted(begin, max(place + size // 2, 0), "right")) - 1
-        text = min(text, len(parts) - 1)
+        # The piece lies in the text, also where its item would begin before it.
+        text = int(np.searchsorted(begin, start, "right")) - 1
         lo = max(place - margin, int(begin[text]))
         hi = min(place + size + margin, int(begin[text + 1]) - 1)
         own = regions.setdefault((text, number), [])
@@ -272,8 +279,14 @@ def _find_in(parts: list[np.ndarray], items: Items) -> Iterator[tuple[int, dict[
             own.append([lo, hi])
     found: dict[int, dict[int, tuple[int, int, int]]] = {}
     for (text, number), own in sorted(regions.items()):
-        pattern = items.words[number]
+        pattern, pairs = items.words[number], items.own_pairs[number]
+        least = kept_pairs(len(pattern))
         for lo, hi in own:
+            if least > 0:
+                around = _pair_hashes(codes[lo:hi])
+                at = np.minimum(np.searchsorted(pairs, around), len(pairs) - 1)
+                if np.count_nonzero(pairs[at] == around) < least:
+                    continue
             region = codes[lo:hi].tolist()
             distance, end = nearest_end(pattern, region)
             best = found.get(text, {}).get(number)

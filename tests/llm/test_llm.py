@@ -188,6 +188,37 @@ def test_items_are_found_as_by_brute_force(spark):
         assert edit_distance_inside(items[i][1].split(), re.findall(r"\w+", texts[n][start:end].lower())) == distance
 
 
+def test_items_with_edits_in_one_place_are_found():
+    """Whatever words of an item are edited, up to a fifth: blocks, every fifth word, inserted words."""
+    rng = random.Random(19)
+    vocabulary = ["v%d" % i for i in range(2000)]
+    sizes = [1, 2, 4, 5, 6, 9, 10, 14, 59, 60, 100, 200, 500]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate(sizes)]
+    ready = decontaminate.prepare(items)
+    texts, holds = [], []
+    for i, item in items:
+        n, k = len(item.split()), len(item.split()) // 5
+        half = k // 2
+        ways = [
+            range(k),
+            range(n - k, n),
+            [*range(half), *range(n // 2, n // 2 + k - half)],
+            [*range(4, n, 5)][:k],
+            [*range(0, n, 5)][:k],
+            rng.sample(range(n), k),
+        ]
+        for way in ways:
+            for insert in (False, True):
+                own = [["zz", w] if insert and p in way else ["zz"] if p in way else [w] for p, w in enumerate(item.split())]
+                around = rng.choices(vocabulary, k=150)
+                texts.append(" ".join(around[:75] + sum(own, []) + around[75:]))
+                holds.append(i)
+    found = decontaminate.find_items(texts, ready)
+    assert all(i in {hit[0] for hit in hits} for i, hits in zip(holds, found))
+    words = [x.split() for _, x in items]
+    assert all(hit[1] <= len(words[hit[0]]) // 5 for hits in found for hit in hits)
+
+
 def test_leaks_of_empty_tables(spark):
     items = spark.createDataFrame([(1, "some words here")], "item_id long, text string")
     assert decontaminate.find_leaks(documents(spark, []), items).count() == 0
