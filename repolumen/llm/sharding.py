@@ -1,9 +1,11 @@
 """Shards of equal row counts that keep linked documents together, by label propagation.
 
 Documents of equal text are linked. They start in balanced shards at random, then move
-in rounds: each group picks the shard where most of it already is, members elsewhere
-ask to move there, and as many are let in as the shard has unlinked documents to give
-away. At the end unlinked documents fill what is left, so counts stay as they were.
+in rounds: each group picks the shard where most of it already is, and members elsewhere
+ask to move there. Those let in are as many as unlinked documents can make room for,
+and all that can change places with others that ask, in pairs or around cycles of
+shards. Rounds go on until nothing falls any more. At the end unlinked documents fill
+what is left, so counts stay as they were.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 
 from repolumen.session import cut_lineage
 
-SHARDS, ROUNDS = 16, 6
+SHARDS = 16
+#: Rounds without a fall of the cut before it counts as settled; ties are drawn anew in each.
+PATIENCE = 2
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
@@ -47,25 +51,26 @@ def _counts(df: DataFrame, shards: int, key: str = "shard") -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def _wishes(linked: DataFrame, room: list[int], shards: int) -> DataFrame:
+def _wishes(linked: DataFrame, fits: list[int], turn: int) -> DataFrame:
     """``linked`` rows that want to move, with their ``target``.
 
-    A group wants the fewest of its shards that can hold it, fullest first; ties are
-    drawn by the group, so groups do not all want the same one.
+    A group wants the fewest of its shards that can hold it, fullest first: a shard
+    holds ``fits`` rows of a group, or those that it has. Ties are drawn by the group in
+    each turn, so groups do not all want the same one.
     """
-    rooms = F.array(*[F.lit(r).cast("long") for r in room])
+    rooms = F.array(*[F.lit(r).cast("long") for r in fits])
     held = linked.groupBy("group", "shard").count()
     ranked = held.groupBy("group").agg(
         F.sum("count").alias("size"),
         F.sort_array(
             F.collect_list(
-                F.struct("count", F.xxhash64("group", "shard").alias("draw"), "shard")
+                F.struct("count", F.xxhash64("group", "shard", F.lit(turn)).alias("draw"), "shard")
             ),
             asc=False,
         ).alias("held"),
     )
     # Up to ``shards`` entries a group. What fits into the shards before one, each with its room.
-    fits = F.transform("held", lambda h: h["count"] + F.element_at(rooms, h["shard"] + 1))
+    fits = F.transform("held", lambda h: F.greatest(h["count"], F.element_at(rooms, h["shard"] + 1)))
     taken = F.transform(
         F.sequence(F.lit(1), F.size("held")),
         lambda i: F.aggregate(F.slice(fits, 1, i - 1), F.lit(0).cast("long"), lambda s, x: s + x),
@@ -77,16 +82,75 @@ def _wishes(linked: DataFrame, room: list[int], shards: int) -> DataFrame:
     targets = ranked.select("group", F.transform(wanted, lambda z: z["shard"]).alias("targets"))
     asking = linked.join(targets, "group").where(~F.array_contains("targets", F.col("shard")))
     pick = F.pmod(F.xxhash64("number"), F.size("targets").cast("long")).cast("int")
-    return asking.select("number", F.element_at("targets", pick + 1).alias("target"))
-
-
-def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    return asking.select("number", "shard", F.element_at("targets", pick + 1).alias("target"))
+
+
+def _cycle(left: list[list[int]]) -> list[int] | None:
+    """Shards around which each has wishes ``left`` to the next; None if there is no such cycle."""
+    done: set[int] = set()
+    for start in range(len(left)):
+        path, todo = [], [(start, 0)]
+        while todo:
+            at, nxt = todo.pop()
+            if nxt == 0:
+                if at in done:
+                    continue
+                path.append(at)
+            for to in range(nxt, len(left)):
+                if left[at][to] and to not in done:
+                    if to in path:
+                        return path[path.index(to) :]
+                    todo += [(at, to + 1), (to, 0)]
+                    break
+            else:
+                done.add(path.pop())
+    return None
+
+
+def grants(wishes: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How many of the ``wishes`` [from][to] are let in: no shard gains more than its ``room``.
+
+    Swaps first, then cycles, then moves into room, which leave room behind.
+    """
+    n = range(len(room))
+    left, room, given = [list(row) for row in wishes], list(room), [[0] * len(room) for _ in n]
+
+    def give(a: int, b: int, count: int) -> None:
+        left[a][b] -= count
+        given[a][b] += count
+
+    for a in n:
+        for b in range(a):
+            both = min(left[a][b], left[b][a])
+            give(a, b, both)
+            give(b, a, both)
+    while cycle := _cycle(left):
+        steps = list(zip(cycle, [*cycle[1:], cycle[0]]))
+        count = min(left[a][b] for a, b in steps)
+        for a, b in steps:
+            give(a, b, count)
+    # Without cycles each pass over the shards brings room one step further back.
+    moved = True
+    while moved:
+        moved = False
+        for b in n:
+            for a in n:
+                count = min(left[a][b], room[b])
+                if count > 0:
+                    give(a, b, count)
+                    room[b] -= count
+                    room[a] += count
+                    moved = True
+    return given
+
+
+def balanced_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``shard`` and ``slot`` of every row of ``docs`` (doc_id, text).
 
     Shard counts differ by one at most. ``size`` is the text's bytes and one; a null
     text has none and is linked with nothing. Slots are 0, 1, .. in each shard. A
-    group larger than a shard spreads over those with most of it and room. Only
-    unlinked rows make room in a round, so groups stay cut where they are a minority.
+    group larger than a shard spreads over those with most of it and room. Linked rows
+    change places, so unlinked ones are not needed for groups to come together.
     Repeated rows count each; an empty table gives no rows.
     """
     rows = docs.select(
@@ -104,14 +168,28 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     linked = cut_lineage(start.join(groups, "group", "left_semi"), "linked")
     free = start.join(groups, "group", "left_anti")
     capacity = _counts(start, shards)
-    for _ in range(rounds):
-        room = [c - n for c, n in zip(capacity, _counts(linked, shards))]
-        wishes = numbered_within(_wishes(linked, room, shards), "target", "number")
-        rooms = F.array(*[F.lit(r).cast("long") for r in room])
-        granted = cut_lineage(wishes.where(F.col("place") < F.element_at(rooms, F.col("target") + 1)), "granted")
-        if granted.isEmpty():
+    lowest, turn, idle = None, 0, 0
+    while idle < PATIENCE:
+        held = _counts(linked, shards)
+        room = [c - n for c, n in zip(capacity, held)]
+        asked = cut_lineage(_wishes(linked, capacity, turn), "wishes")
+        counts = [[0] * shards for _ in range(shards)]
+        for r in asked.groupBy("shard", "target").count().collect():
+            counts[r["shard"]][r["target"]] = r["count"]
+        # Rows away from where their groups want to be.
+        cut = sum(map(sum, counts))
+        idle = 0 if lowest is None or cut < lowest else idle + 1
+        lowest = cut if lowest is None else min(cut, lowest)
+        given = [n for row in grants(counts, room) for n in row]
+        turn += 1
+        if not cut:
             break
-        moved = linked.join(granted.select("number", "target"), "number", "left")
+        if not any(given):
+            continue
+        ways = asked.select("number", "target", (F.col("shard") * shards + F.col("target")).alias("way"))
+        let_in = F.array(*[F.lit(n).cast("long") for n in given])
+        granted = numbered_within(ways, "way", "number").where(F.col("place") < F.element_at(let_in, F.col("way") + 1))
+        moved = linked.join(cut_lineage(granted.select("number", "target"), "granted"), "number", "left")
         linked = cut_lineage(
             moved.withColumn("shard", F.coalesce("target", "shard")).select(*start.columns), "moved"
         )

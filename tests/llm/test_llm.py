@@ -437,6 +437,23 @@ def test_shards(spark):
     assert all(len({of[3 * g + k] for k in range(3)}) == 1 for g in range(50))
 
 
+def test_shards_without_unlinked_rows(spark):
+    """Where every row has a copy, rows change places instead of waiting for room."""
+    texts = [f"t{i // 2}" for i in range(800)]
+    rows = sharding.balanced_shards(documents(spark, texts)).collect()
+    of = {r["doc_id"]: r["shard"] for r in rows}
+    sizes = [list(of.values()).count(s) for s in range(16)]
+    assert len(of) == 800 and max(sizes) - min(sizes) <= 1
+    cut = sum(of[2 * g] != of[2 * g + 1] for g in range(400))
+    print("pairs cut", cut)
+    assert cut <= 40
+
+
+def test_grants_keep_room():
+    assert sharding.grants([[0, 3, 0], [1, 0, 2], [2, 0, 0]], [0, 0, 0]) == [[0, 3, 0], [1, 0, 2], [2, 0, 0]]
+    assert sharding.grants([[0, 5, 0], [0, 0, 4], [0, 0, 0]], [0, 0, 3]) == [[0, 3, 0], [0, 0, 3], [0, 0, 0]]
+
+
 # --- pipeline -------------------------------------------------------------------
 
 
