@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolumen.llm.decontaminate import find_leaks
+from repolumen.llm.exact_dedup import exact_duplicates
 from repolumen.llm.power_packing import cut_documents, in_buckets
 from repolumen.llm.quality_classifier import train, with_score
 from repolumen.llm.quality_rules import with_quality
 from repolumen.llm.secret_scan import KINDS, span_list, with_secrets
 from repolumen.llm.sharding import balanced_shards
 from repolumen.llm.simhash import simhash_components
+from repolumen.llm.spelling import spelling_variants
 from repolumen.llm.templates import extract_main_text
 from repolumen.llm.token_counts import with_token_counts
 from repolumen.llm.url_rules import judge_urls, rule_table
+from repolumen.llm.whitening import whiten
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -131,6 +134,31 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every document, by equal normalised texts."""
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH hashed AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM hashed WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word of all documents."""
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector along the 16 leading components."""
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` one after the other."""
     import corpus_pipeline
@@ -151,7 +179,10 @@ QUERIES = {
         op8_quality_classifier,
         op9_token_counts,
         op10_sharding,
+        op11_exact_dedup,
+        op12_spelling_variants,
+        op13_whitening,
         pipeline,
     )
 }
-ORACLES = {"op5_url_filter": OP5_SQL}
+ORACLES = {"op5_url_filter": OP5_SQL, "op11_exact_dedup": OP11_SQL}
