@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from repolumen.operators import batches
-from repolumen.operators.corpus import known_among, new_items, without_known
+from repolumen.operators.corpus import keyed_items, new_items, without_known
 from repolumen.operators.embedding import Embedder, embed_column, usage_totals
-from repolumen.operators.index import append_points, existing_ids, replace_points
+from repolumen.operators.index import append_points, ensure_index, existing_ids, known_ids, replace_points
 from repolumen.operators.numbering import dense_ids, with_chunks
 from repolumen.operators.packing import JOB_ROWS
 from repolumen.session import cut_lineage, scratch_scope
@@ -18,19 +18,22 @@ def ingest(
 ) -> DataFrame:
     """Embed what is new and append it; items, tokens and cost of this run.
 
-    A ``small_batch`` reads its records twice to leave the ids of the index
-    where they are. Vectors are written to the shared folder as the service
-    returns them and kept until the append is committed: a lost task or a look
-    at the totals never pays for them again.
+    A ``small_batch`` reads its records twice: first for their ids, so that of the
+    index only the buckets they hit are read. Vectors are written to the shared
+    folder as the service returns them and kept until the append is committed: a
+    lost task or a look at the totals never pays for them again.
     """
     spark = records.sparkSession
+    base = ensure_index(spark, index_root)
     with scratch_scope(spark):
-        known = existing_ids(spark, index_root)
         if small_batch:
-            known = known_among(records, known)
+            ids = keyed_items(records).where("id is not null").select("id").distinct()
+            known = known_ids(spark, index_root, cut_lineage(ids, "batch-ids"), base)
+        else:
+            known = existing_ids(spark, index_root, base)
         items = new_items(records, known)
         embedded = cut_lineage(embed_column(items, embedder), "embedded")
-        append_points(spark, index_root, embedded, embedder.dimension, known_new=True)
+        append_points(spark, index_root, embedded, embedder.dimension, new_since=base)
         totals = usage_totals(embedded)
         return spark.createDataFrame(totals.collect(), totals.schema)
 

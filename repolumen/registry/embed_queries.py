@@ -201,26 +201,66 @@ def ingest_twice(spark, sf_dir):
 def replace(spark, sf_dir):
     """An index, then the same ids again with other vectors."""
     root = scratch_path(spark, "index")
+    points = _points(spark, sf_dir, "old")
+    index.append_points(spark, root, points, I.VECTOR_DIM)
+    index.replace_points(spark, root, _turned(points.where("label < 5"), "new"), I.VECTOR_DIM)
+    first = F.round(F.col("vector")[0].cast("double"), 6).alias("first")
+    return index.read_index(spark, root).select("id", "repo_name", "content_hash", first)
+
+
+def _points(spark, sf_dir, name):
     vec = F.col("id").cast("string")
-    points = I.vectors(spark, sf_dir).select(
+    return I.vectors(spark, sf_dir).select(
         F.concat(F.lit("v"), vec).alias("id"),
         "vector",
-        F.lit("old").alias("repo_name"),
+        F.lit(name).alias("repo_name"),
         F.concat(F.lit("h"), vec).alias("content_hash"),
         "label",
     )
-    index.append_points(spark, root, points, I.VECTOR_DIM)
-    newer = points.where("label < 5").select(
-        "id",
-        F.transform("vector", lambda x: -x).alias("vector"),
-        F.lit("new").alias("repo_name"),
-        "content_hash",
-    )
-    index.replace_points(spark, root, newer, I.VECTOR_DIM)
+
+
+def _turned(points, name):
+    opposite = F.transform("vector", lambda x: -x).alias("vector")
+    return points.select("id", opposite, F.lit(name).alias("repo_name"), "content_hash")
+
+
+@register(
+    "k5_segments",
+    """SELECT 'v' || vec_id AS id, CASE WHEN label = 9 THEN 'late' WHEN label < 2 THEN 'newest'
+         WHEN label < 5 THEN 'new' ELSE 'old' END AS repo_name, 'h' || vec_id AS content_hash,
+         round(CASE WHEN label < 5 OR label = 9 THEN -1 ELSE 1 END * CAST(embedding[1] AS DOUBLE), 6) AS first
+       FROM embeddings""",
+)
+def segments(spark, sf_dir):
+    """K5, K8: upserts over upserts, compacted and split into more buckets on the way."""
+    root, dim = scratch_path(spark, "index"), I.VECTOR_DIM
+    points = _points(spark, sf_dir, "old")
+    index.ensure_index(spark, root, buckets=4)
+    index.append_points(spark, root, points.where("label <> 7"), dim)
+    index.replace_points(spark, root, _turned(points.where("label < 5"), "new"), dim)
+    index.compact(spark, root, most_segments=1)
+    index.replace_points(spark, root, _turned(points.where("label < 2"), "newest"), dim)
+    index.append_points(spark, root, points, dim)
+    rows = points.count()
+    index.compact(spark, root, bucket_rows=max(1, rows // 7))
+    index.replace_points(spark, root, _turned(points.where("label = 9"), "late"), dim)
     first = F.round(F.col("vector")[0].cast("double"), 6).alias("first")
     return index.read_index(spark, root).select("id", "repo_name", "content_hash", first)
 
 
+@register(
+    "m1_known_ids",
+    "SELECT 'v' || vec_id AS id FROM embeddings WHERE vec_id % 2 = 0 AND label IN (3, 6)",
+)
+def known(spark, sf_dir):
+    """M1: which ids of a batch the index holds, by the buckets they hit."""
+    root = scratch_path(spark, "index")
+    points = _points(spark, sf_dir, "r")
+    even = F.substring("id", 2, 20).cast("long") % 2 == 0
+    index.append_points(spark, root, points.where(even), I.VECTOR_DIM)
+    return index.known_ids(spark, root, points.where("label in (3, 6)").select("id"))
+
+
 @register(
     "a13_index_stats",
     f"""SELECT n AS repos, {I.compact_count_sql("n")} AS repos_text, n * 5 AS with_forks,

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from repolumen.operators.origins import recent, slice_rows
 from repolumen.sources import schemas
+from repolumen.sources.files import path_exists
 
 
 def read_origins(spark: SparkSession, path: str) -> DataFrame:
@@ -87,23 +88,6 @@ def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.length(F.btrim("value")) > 0)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(
-        hadoop_path
-    )
-
-
-def child_names(spark: SparkSession, path: str) -> list[str]:
-    """Names directly below a folder, empty if it does not exist."""
-    if not path_exists(spark, path):
-        return []
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path))
-
-
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A table that may not have been written yet."""
     if not path_exists(spark, path):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
 from repolumen.operators.embedding import Embedder
+from repolumen.operators.index import BUCKET_ROWS, MOST_SEGMENTS, IndexConflict, compact
 from repolumen.plans.ingest import ingest
 from repolumen.sources import schemas
 
@@ -35,3 +36,32 @@ def start_ingest(
 
     writer = records.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
+def start_compaction(
+    spark: SparkSession,
+    index_root: str,
+    checkpoint: str,
+    once: bool = True,
+    most_segments: int = MOST_SEGMENTS,
+    bucket_rows: int = BUCKET_ROWS,
+) -> StreamingQuery:
+    """Compact crowded buckets whenever the index got new manifests.
+
+    Runs beside the ingest stream. If the index is split by someone else meanwhile, this
+    turn's work is left out; the next manifest calls for it again.
+    """
+    manifests = spark.readStream.option("pathGlobFilter", "*.json").option("wholetext", True)
+
+    def one_turn(batch: DataFrame, batch_id: int) -> None:
+        try:
+            compact(spark, index_root, most_segments=most_segments, bucket_rows=bucket_rows)
+        except IndexConflict:
+            pass
+
+    writer = (
+        manifests.text(f"{index_root}/manifest")
+        .writeStream.foreachBatch(one_turn)
+        .option("checkpointLocation", checkpoint)
+    )
+    return writer.trigger(availableNow=True).start() if once else writer.start()

@@ -204,11 +204,127 @@ def test_upsert_replaces_and_append_does_not(spark, tmp_path):
     assert index.read_index(spark, root).count() == 3
 
 
-def test_unfinished_version_is_not_read(spark, tmp_path):
+def files_of(root):
+    return {str(p): p.stat().st_mtime_ns for p in Path(root).rglob("*") if p.is_file()}
+
+
+def many_points(spark, low, high, name="old"):
+    return point(spark, [(f"id-{i}", [float(i), 1.0], name) for i in range(low, high)])
+
+
+def names_by_id(spark, root):
+    rows = index.read_index(spark, root).collect()
+    found = {r["id"]: r["repo_name"] for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+def test_readers_write_nothing_and_need_no_markers(spark, tmp_path):
+    root = str(tmp_path / "index")
+    assert index.read_index(spark, root).count() == 0 == index.existing_ids(spark, root).count()
+    assert not Path(root).exists()
+    marker = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set(marker, "false")
+    try:
+        index.append_points(spark, root, many_points(spark, 0, 40), 2)
+        index.append_points(spark, root, many_points(spark, 20, 60), 2)
+    finally:
+        conf.unset(marker)
+    assert not [p for p in files_of(root) if p.endswith("_SUCCESS")]
+    before = files_of(root)
+    assert len(names_by_id(spark, root)) == 60
+    assert files_of(root) == before
+
+
+def test_uncommitted_segment_is_not_read(spark, tmp_path):
+    root = str(tmp_path / "index")
+    base = index.append_points(spark, root, many_points(spark, 0, 10), 2)
+    index._write_segment(spark, root, many_points(spark, 5, 30, "lost"), index.REPLACE, base.buckets, 9)
+    assert names_by_id(spark, root) == {f"id-{i}": "old" for i in range(10)}
+    assert index.vacuum(spark, root) == 0 and index.vacuum(spark, root, older_than_hours=0) == 1
+    assert len(names_by_id(spark, root)) == 10
+
+
+def test_upsert_writes_its_own_rows_only(spark, tmp_path):
+    root = str(tmp_path / "index")
+    index.ensure_index(spark, root, buckets=8)
+    index.append_points(spark, root, many_points(spark, 0, 2000), 2)
+    before = files_of(root)
+    index.replace_points(spark, root, many_points(spark, 100, 120, "new"), 2)
+    index.replace_points(spark, root, many_points(spark, 110, 130, "newer"), 2)
+    after = files_of(root)
+    assert before.items() <= after.items()
+    added = sum(Path(p).stat().st_size for p in after.keys() - before.keys() if p.endswith(".parquet"))
+    assert spark.read.parquet(f"{root}/segments").count() == 2040 and added < 100_000
+    wanted = {f"id-{i}": "newer" if 110 <= i < 130 else "new" if 100 <= i < 110 else "old" for i in range(2000)}
+    assert names_by_id(spark, root) == wanted
+    some = index.read_index(spark, root, buckets=[1, 5])
+    assert {r["id"] for r in some.collect()} == {
+        r["id"] for r in index.read_index(spark, root).where(index.bucket_of(8).isin(1, 5)).collect()
+    }
+    assert index.existing_ids(spark, root).count() == 2000
+
+
+def test_compaction_drops_covered_rows_of_crowded_buckets_only(spark, tmp_path):
+    root = str(tmp_path / "index")
+    index.ensure_index(spark, root, buckets=4)
+    index.append_points(spark, root, many_points(spark, 0, 400), 2)
+    own = {b: [r["id"] for r in index.read_index(spark, root, buckets=[b]).collect()] for b in range(4)}
+    newer = [(i, [0.0, 0.0], "new") for i in own[2][:30]]
+    index.replace_points(spark, root, point(spark, newer), 2)
+    before = names_by_id(spark, root)
+    made = index.compact(spark, root)
+    assert {s.kind: set(s.rows) for s in made.segments} == {index.BASE: {2}, index.APPEND: {0, 1, 3}}
+    assert sum(made.bucket_rows().values()) == 400 and names_by_id(spark, root) == before
+    assert index.compact(spark, root) == made
+    split = index.compact(spark, root, bucket_rows=30)
+    assert split.buckets == 16 and len(split.segments) == 1 and names_by_id(spark, root) == before
+    index.replace_points(spark, root, point(spark, [(own[1][0], [5.0, 5.0], "last")]), 2)
+    assert names_by_id(spark, root) == {**before, own[1][0]: "last"}
+
+
+def test_writers_that_meet(spark, tmp_path):
     root = str(tmp_path / "index")
-    index.append_points(spark, root, point(spark, [("a", [1.0, 0], "x")]), 2)
-    (tmp_path / "index" / "v=2").mkdir()
-    assert index.read_index(spark, root).count() == 1
+    index.ensure_index(spark, root, buckets=2)
+    base = index.append_points(spark, root, many_points(spark, 0, 20), 2)
+    index.append_points(spark, root, many_points(spark, 20, 40), 2)
+    with pytest.raises(index.IndexConflict):
+        index.append_points(spark, root, many_points(spark, 20, 50), 2, new_since=base)
+    # A compaction in between changes no row: the write goes on from it.
+    base = index.current_manifest(spark, root)
+    index.compact(spark, root, most_segments=1)
+    index.append_points(spark, root, many_points(spark, 40, 50), 2, new_since=base)
+    # An upsert that comes while a compaction runs stays on top of what was compacted.
+    write = index._write_segment
+    def slow(*args):
+        segment = write(*args)
+        if args[3] == index.BASE:
+            index._write_segment = write
+            index.replace_points(spark, root, many_points(spark, 3, 5, "new"), 2)
+        return segment
+    index._write_segment = slow
+    try:
+        index.compact(spark, root, most_segments=1)
+    finally:
+        index._write_segment = write
+    wanted = {f"id-{i}": "new" if i in (3, 4) else "old" for i in range(50)}
+    assert names_by_id(spark, root) == wanted
+
+
+def test_a_batch_reads_as_much_of_a_large_index_as_of_a_small_one(spark, tmp_path):
+    read = []
+    for rows in (1000, 8000):
+        root = str(tmp_path / f"index-{rows}")
+        index.append_points(spark, root, many_points(spark, 0, rows), 2)
+        manifest = index.compact(spark, root, bucket_rows=50)
+        ids = spark.createDataFrame([("id-7",), ("id-8",), ("nobody",)], "id string")
+        assert {r["id"] for r in index.known_ids(spark, root, ids).collect()} == {"id-7", "id-8"}
+        stored = index._stored_rows(spark, root, manifest.segments, set(index.hit_buckets(ids, manifest.buckets)))
+        files = {r["f"] for r in stored.select(F.input_file_name().alias("f")).distinct().collect()}
+        read.append(sum(Path(f.removeprefix("file://")).stat().st_size for f in files))
+        assert manifest.buckets >= rows // 50
+    assert read[1] < 1.5 * read[0]
 
 
 def test_embed_calls_are_bounded_and_keys_take_turns(spark):

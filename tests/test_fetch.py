@@ -169,7 +169,7 @@ def test_format_counts(spark):
     rows = [("default", "README.md"), ("default", "README.md"), ("main", "a.rst"), ("HEAD", "README.md")]
     found = [tuple(r) for r in fetch.format_counts(spark.createDataFrame(rows, "branch string, filename string")).collect()]
     assert found == [
-        ("all", None, None, 3),
+        ("all", None, None, 4),
         ("branch", "default", None, 2),
         ("branch", "main", None, 1),
         ("branch_file", "default", "README.md", 2),

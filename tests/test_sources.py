@@ -237,3 +237,19 @@ def test_scratch_tables_go_with_their_scope_but_stay_after_an_error(spark):
         kept = cut_lineage(spark.range(3), "probe")
         raise RuntimeError
     assert kept.count() == 3
+
+
+def test_compaction_stream_follows_the_ingest_stream(spark, tmp_path):
+    from repolumen.operators import index
+    from repolumen.streaming.ingest import start_compaction
+
+    root, state = str(tmp_path / "index"), str(tmp_path / "state")
+    schema = "id string, vector array<float>, repo_name string, content_hash string"
+    for i in range(4):
+        points = spark.createDataFrame([(f"{i}-{j}", [1.0], "r", "h") for j in range(50)], schema)
+        index.append_points(spark, root, points, 1)
+    start_compaction(spark, root, state, most_segments=2).awaitTermination()
+    made = index.current_manifest(spark, root)
+    assert [s.kind for s in made.segments] == [index.BASE] and index.read_index(spark, root).count() == 200
+    start_compaction(spark, root, state, most_segments=2).awaitTermination()
+    assert index.current_manifest(spark, root) == made
