@@ -29,13 +29,17 @@ DISTANCE = 80
 SHINGLE, SIMILARITY = 5, 0.8
 #: Segments that more texts share are joined by their lowest text first.
 CROWD = 8
-#: Removed ids are broadcast up to this number (16 bytes each).
-BROADCAST_IDS = 1_000_000
+#: Texts to compare and removed ids are broadcast up to this number (about 100 bytes each).
+BROADCAST_IDS = 200_000
 #: Tasks that share the pairs of a crowded key.
 SPREAD = 8
+#: Rounds in which each text is compared with its best partner, before all pairs that are still apart are.
+ROUNDS = 2
 #: The order of shingles is by counts in one of so many texts, for shingles counted so often, as many as
 #: listed. It decides how many pairs meet by chance, never which similar ones do: any order is complete.
 COUNTED, LEAST_COUNT, LISTED = 16, 3, 1_000_000
+#: Bits of the mark of a set: each shingle sets one. Marks of similar sets differ in few bits, whatever the hash.
+MARK_BITS = 1024
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -121,6 +125,13 @@ def prefix_of(shingles: np.ndarray, listed: np.ndarray, counts: np.ndarray) -> n
     return shingles[np.lexsort((shingles, weight))][: len(shingles) // 5 + 1]
 
 
+def mark_of(shingles: np.ndarray) -> np.ndarray:
+    """Bits set by the shingles, as longs. Each bit in which two marks differ tells of a shingle that one set lacks."""
+    bits = np.zeros(MARK_BITS, np.uint8)
+    bits[shingles.view(np.uint64) % np.uint64(MARK_BITS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _counted_shingles(digest: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many of the counted texts hold, sorted, and in how many."""
     some = digest.where(F.pmod(F.xxhash64("copy"), F.lit(COUNTED)) == 0)
@@ -137,38 +148,62 @@ def _counted_shingles(digest: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_pairs(nodes: DataFrame, digest: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)`` of texts in different components that share a shingle of their prefixes.
+    """Distinct ``(a, b, score)`` of texts in different components whose prefixes share enough shingles.
 
-    All pairs of the similarity are among them but those within a component. A pair that
-    first meets at places ``i`` and ``j`` can share no more than what follows there.
+    All pairs of the similarity are among them but those within a component. Two texts
+    of ``n`` and ``m`` shingles need ``4 / 9`` of ``n + m`` in common. In one order, what
+    they share before, at and after a shared shingle is bounded by its two places; what
+    they share in all, by what their prefixes share and what stands behind those.
     """
     listed = digest.sparkSession.sparkContext.broadcast(_counted_shingles(digest))
 
     def compute(texts):
         sets = [shingles_of(t) for t in texts]
-        return [[len(s) for s in sets], [prefix_of(s, *listed.value) for s in sets]]
+        return [[len(s) for s in sets], [prefix_of(s, *listed.value) for s in sets], [mark_of(s) for s in sets]]
 
-    made = with_text_columns(digest, "text", compute, "n int, prefix array<long>", ["copy"]).dropDuplicates(["copy"])
+    made = with_text_columns(digest, "text", compute, "n int, prefix array<long>, mark array<long>", ["copy"])
+    made = made.dropDuplicates(["copy"])
     rooted = nodes.select("node", "copy").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    prefixes = cut_lineage(made.join(rooted, "copy").select("node", "root", "n", "prefix"), "prefixes")
+    prefixes = cut_lineage(made.join(rooted, "copy").select("node", "root", "n", "prefix", "mark"), "prefixes")
     rows = prefixes.select("node", "root", "n", F.posexplode("prefix").alias("place", "shingle"))
     span = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("met"))
     open_keys = cut_lineage(span.where("low < high").select("shingle", (F.col("met") > CROWD).alias("crowded")), "open-shingles")
     side = F.broadcast(open_keys) if few(open_keys, BROADCAST_KEYS) else open_keys
     rows = cut_lineage(rows.join(side, "shingle"), "open-prefixes")
+    # Where many texts meet, their marks come along and pass over most that are not similar.
+    marks = prefixes.select("node", "mark").join(rows.where("crowded").select("node").distinct(), "node")
+    crowded = rows.where("crowded").join(marks, "node")
+    rows = crowded.unionByName(rows.where("not crowded").withColumn("mark", F.lit(None).cast("array<long>")))
     # One side of a crowded key goes to all parts, the other to one of them.
     everywhere = F.array(*[F.lit(i).cast("long") for i in range(SPREAD)])
     nowhere = F.array(F.lit(0).cast("long"))
     left = rows.withColumn("part", F.explode(F.when(F.col("crowded"), everywhere).otherwise(nowhere)))
     right = rows.withColumn("part", F.when(F.col("crowded"), F.pmod(F.xxhash64("node"), F.lit(SPREAD))).otherwise(F.lit(0).cast("long")))
-    n, m = F.col("l.n"), F.col("r.n")
+    n, m, i, j = F.col("l.n"), F.col("r.n"), F.col("l.place"), F.col("r.place")
     sizes = (5 * n >= 4 * m) & (5 * m >= 4 * n)
-    # Similarity 0.8 takes 4 / 9 of both sizes in common.
-    after = 9 * F.least(n - F.col("l.place"), m - F.col("r.place")) >= 4 * (n + m)
+    around = 9 * (F.least(i, j) + F.least(n - i, m - j)) >= 4 * (n + m)
     met = (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.part") == F.col("r.part"))
     apart = (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root"))
-    found = left.alias("l").join(right.alias("r"), met & apart & sizes & after)
-    return cut_lineage(found.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "prefix-pairs")
+    # Similarity 0.8 leaves a ninth of both sizes to differ.
+    differing = F.aggregate(
+        F.zip_with("l.mark", "r.mark", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
+    )
+    alike = F.col("l.mark").isNull() | (9 * differing <= n + m)
+    found = left.alias("l").join(right.alias("r"), met & apart & sizes & around & alike)
+    shared = found.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b"), n.alias("n"), m.alias("m")).agg(
+        F.count("*").alias("shared"),
+        (n - F.min(i)).alias("a_from_first"),
+        (m - F.min(j)).alias("b_from_first"),
+        (n - F.max(i) - 1).alias("a_after_last"),
+        (m - F.max(j) - 1).alias("b_after_last"),
+    )
+    n, m = F.col("n"), F.col("m")
+    behind = F.greatest(n - F.floor(n / 5) - 1, m - F.floor(m / 5) - 1)
+    most = F.least(
+        F.col("shared") + F.least(behind, "a_after_last", "b_after_last"), F.col("a_from_first"), F.col("b_from_first")
+    )
+    near = shared.where(9 * most >= 4 * (n + m)).select("a", "b", (F.col("shared") / (n + m)).alias("score"))
+    return cut_lineage(near, "prefix-pairs")
 
 
 def _both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
@@ -178,18 +213,17 @@ def _both(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The ``pairs`` within the whole distance."""
+    """The ``pairs`` within the whole distance; the nearer, the higher their ``score``."""
     differing = F.aggregate(
         F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
-    return cut_lineage(_both(pairs, nodes, "segments").where(differing <= DISTANCE).select("a", "b"), "close-pairs")
+    near = _both(pairs, nodes, "segments").select("a", "b", (-differing).cast("double").alias("score"))
+    return cut_lineage(near.where(F.col("score") >= -DISTANCE), "close-pairs")
 
 
-def _similar(close: DataFrame, nodes: DataFrame, digest: DataFrame) -> DataFrame | None:
-    """The ``close`` pairs whose texts have the similarity; None if there are no pairs."""
-    if close.isEmpty():
-        return None
-    asked = close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "copy"), "node")
+def _shingle_table(pairs: DataFrame, nodes: DataFrame, digest: DataFrame) -> DataFrame:
+    """``node``, ``shingles`` of the texts that ``pairs`` name, each hashed and written once."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "copy"), "node")
     asked = cut_lineage(asked, "compared-texts")
 
     def shingles(texts):
@@ -197,12 +231,51 @@ def _similar(close: DataFrame, nodes: DataFrame, digest: DataFrame) -> DataFrame
 
     texts = digest.join(F.broadcast(asked) if few(asked, BROADCAST_IDS) else asked, "copy")
     hashed = with_text_columns(texts, "text", shingles, "shingles array<long>", ["node"]).dropDuplicates(["node"])
-    both = _both(close, cut_lineage(hashed, "shingles"), "shingles")
+    return cut_lineage(hashed, "shingles")
+
+
+def _similar(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """The ``pairs`` whose texts have the similarity."""
+    both = _both(pairs, shingles, "shingles")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     sized = both.select("a", "b", shared.alias("n"), (F.size("of_a") + F.size("of_b")).alias("total"))
     return cut_lineage(sized.where(F.col("n") >= SIMILARITY * (F.col("total") - F.col("n"))).select("a", "b"), "similar-pairs")
 
 
+def _best_partners(pairs: DataFrame) -> DataFrame:
+    """For every text of ``pairs`` the pair with its best partner."""
+    turned = pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "score")
+    ends = turned.unionByName(pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "score"))
+    best = ends.groupBy("node").agg(F.max_by("other", F.struct("score", "other")).alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _joined(pairs: DataFrame, nodes: DataFrame, digest: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges`` and those of the similar ``pairs`` that the components of all similar ones need.
+
+    In every round each text is compared with its best partner left. Copies so join
+    quickly, and pairs that came into one component need no comparison. What is still
+    apart after some rounds is compared pair by pair: nothing is left out.
+    """
+    if pairs.isEmpty():
+        return edges
+    shingles, left = _shingle_table(pairs, nodes, digest), pairs
+    for _ in range(ROUNDS):
+        best = cut_lineage(_best_partners(left), "best-partners")
+        found = _similar(best, shingles)
+        edges = edges.unionByName(found)
+        left = left.join(best, ["a", "b"], "left_anti")
+        if not found.isEmpty():
+            roots = components(edges)
+            for end in ("a", "b"):
+                left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            left = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        left = cut_lineage(left.select("a", "b", "score"), "pairs-apart")
+        if left.isEmpty():
+            return edges
+    return edges.unionByName(_similar(left.select("a", "b"), shingles))
+
+
 def near_copy_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """``doc_id``, ``copy`` (digest of the text) and ``root`` of every row of ``docs`` (doc_id, text).
 
@@ -224,13 +297,9 @@ def near_copy_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
         "texts",
     )
     pairs = candidate_pairs(nodes.select("node", "segments"), crowd)
-    edges = _similar(_close(pairs, nodes), nodes, digest)
-    if edges is None:
-        edges = pairs.limit(0)
+    edges = _joined(_close(pairs, nodes), nodes, digest, pairs.select("a", "b").limit(0))
     roots = components(edges)
-    more = _similar(prefix_pairs(nodes, digest, roots), nodes, digest)
-    if more is not None:
-        roots = components(edges.unionByName(more))
+    roots = components(_joined(prefix_pairs(nodes, digest, roots), nodes, digest, edges))
     named = nodes.select("node", "copy").join(roots, "node", "left")
     classes = cut_lineage(named.select("copy", F.coalesce("root", "node").alias("root")), "copy-classes")
     return rows.join(classes, "copy", "left")
@@ -253,17 +322,21 @@ def drop_near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     twice = groups.groupBy("doc_id", "copy").count().where("count > 1").drop("count")
     twice = cut_lineage(twice, "repeated-rows")
     bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"^[\x20\x09-\x0D]+$", "")
-    named = docs.withColumns({"_copy": F.md5(bare)})
+    mark, taken = "_copy", {c.lower() for c in docs.columns}
+    while mark in taken:
+        mark += "_"
+    named = docs.withColumn(mark, F.md5(bare))
 
     def of(side: DataFrame) -> tuple[DataFrame, Column]:
-        renamed = side.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_of"))
+        renamed = side.select(F.col("doc_id").alias("kept_id"), F.col("copy").alias("kept_copy")).alias("side")
         small = few(side, BROADCAST_IDS)
-        return F.broadcast(renamed) if small else renamed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_of"))
+        same = F.col("d.doc_id").eqNullSafe(F.col("side.kept_id")) & (F.col(f"d.{mark}") == F.col("side.kept_copy"))
+        return F.broadcast(renamed) if small else renamed, same
 
     side, same = of(lost)
-    left = named.join(side, same, "left_anti")
+    left = named.alias("d").join(side, same, "left_anti")
     if not twice.isEmpty():
         side, same = of(twice)
-        repeated = left.join(side, same, "left_semi").dropDuplicates(["doc_id", "_copy"])
-        left = left.join(side, same, "left_anti").unionByName(repeated)
+        repeated = left.alias("d").join(side, same, "left_semi").dropDuplicates(["doc_id", mark])
+        left = left.alias("d").join(side, same, "left_anti").unionByName(repeated)
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
