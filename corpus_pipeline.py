@@ -39,11 +39,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows without an id cannot be named and are kept."""
+    """Documents that hold no benchmark item. The text decides, whatever id a row has or shares."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaking = cut_lineage(find_leaks(docs, items).select("doc_id").distinct(), "leaking")
+    texts = docs.select(F.sha2("text", 256).alias("doc_id"), "text")
+    leaking = find_leaks(texts, items).select(F.col("doc_id").alias("leaking_text")).distinct()
+    leaking = cut_lineage(leaking, "leaking")
     side = F.broadcast(leaking) if few(leaking, BROADCAST_IDS) else leaking
-    return _documents(docs.join(side, "doc_id", "left_anti"))
+    return _documents(docs.join(side, F.sha2(docs["text"], 256) == side["leaking_text"], "left_anti"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
