@@ -5,50 +5,76 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repolumen.functions.vectors import l2_norm
-from repolumen.operators.scoring import (
-    BLOCK_BYTES,
-    QueryBlock,
-    rank_hits,
-    score_block,
-    search_in_blocks,
-    unit_rows,
-    vector_matrix,
-)
-
-TRAIN_ROWS_PER_CELL = 256
+from repolumen.operators.scoring import PART_BYTES, rank_hits, score_cells, unit_rows, vector_matrix
+from repolumen.session import cut_lineage
+
 MAX_CENTER_BYTES = 256 << 20  # centers are sent to every task
 
 
-def fit_centers(
-    index: DataFrame, n_cells: int, seed: int = 7, max_iter: int = 10, rows: int | None = None
-) -> np.ndarray:
-    """Unit centers of the cells, by Spark's k-means with cosine distance.
+def _first_centers(index: DataFrame, n_cells: int, dimension: int) -> np.ndarray:
+    """The rows of the lowest hashes, whose vector is not zero."""
+    usable = index.where(F.exists("vector", lambda x: x != 0))
+    rows = usable.select(F.xxhash64("id").alias("h"), "id", "vector").orderBy("h", "id").limit(n_cells)
+    return unit_rows(np.array([row["vector"] for row in rows.collect()], dtype=float).reshape(-1, dimension))
+
+
+def _means(celled: DataFrame, dimension: int) -> dict[int, np.ndarray]:
+    """The unit mean of the unit vectors of every cell; each task sums up its own rows first."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            units, cell = unit_rows(vector_matrix(batch["vector"], dimension)), batch["cell"].to_numpy()
+            order = np.argsort(cell, kind="stable")
+            first = np.flatnonzero(np.diff(cell[order], prepend=-1)) if len(cell) else []
+            for c, total in zip(cell[order][first].tolist(), np.add.reduceat(units[order], first) if len(first) else []):
+                sums[c] = sums[c] + total if c in sums else total
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))],
+            ["cell", "total"],
+        )
 
-    Centers only decide which rows are looked at together, so on a large index
-    (pass its ``rows``) they are trained on a share of it.
+    parts = celled.select("vector", "cell").mapInArrow(partial, "cell int, total array<double>")
+    places = parts.select("cell", F.posexplode("total").alias("at", "part"))
+    sums = places.groupBy("cell", "at").agg(F.sum("part").alias("x"))
+    rows = sums.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("mean"))
+    return {r["cell"]: unit_rows(np.array([[p["x"] for p in r["mean"]]]))[0] for r in rows.collect()}
+
+
+def fit_centers(index: DataFrame, n_cells: int, max_iter: int = 10) -> np.ndarray:
+    """Unit centers of the cells: rounds of k-means by cosine over all rows.
+
+    Every round is one pass in which tasks assign and add up their rows; the driver
+    sees the centers only. A cell that loses all rows keeps its center.
     """
-    training = index.where(F.size("vector") > 0)
-    dimension = training.select(F.size("vector").alias("n")).head()
-    if dimension and 8 * n_cells * dimension["n"] > MAX_CENTER_BYTES:
+    head = index.select(F.size("vector").alias("n")).where("n > 0").head()
+    if head is None:
+        raise ValueError("an index without vectors has no cells")
+    dimension = head["n"]
+    if 8 * n_cells * dimension > MAX_CENTER_BYTES:
         raise ValueError(f"{n_cells} centers are too many to send to every task")
-    training = training.where(l2_norm(F.col("vector")) > 0)
-    if rows and rows > 2 * n_cells * TRAIN_ROWS_PER_CELL:
-        training = training.sample(n_cells * TRAIN_ROWS_PER_CELL / rows, seed=seed)
-    features = training.select(
-        array_to_vector(F.col("vector").cast("array<double>")).alias("features")
-    )
-    model = KMeans(k=n_cells, distanceMeasure="cosine", seed=seed, maxIter=max_iter).fit(features)
-    return unit_rows(np.array(model.clusterCenters()))
+    centers = _first_centers(index, n_cells, dimension)
+    for _ in range(max_iter):
+        moved = centers.copy()
+        for cell, mean in _means(with_cells(index, centers), dimension).items():
+            if mean.any():
+                moved[cell] = mean
+        settled, centers = np.abs(moved - centers).max() < 1e-6, moved
+        if settled:
+            break
+    return centers
+
+
+def centers_of(celled: DataFrame) -> np.ndarray:
+    """Unit centers of an index that has a ``cell`` already: the means of its cells, by ascending cell."""
+    dimension = celled.select(F.size("vector").alias("n")).head()["n"]
+    means = _means(celled.withColumn("cell", F.col("cell").cast("int")), dimension)
+    return np.array([means[cell] for cell in sorted(means)])
 
 
 def with_cells(index: DataFrame, centers: np.ndarray) -> DataFrame:
@@ -77,13 +103,21 @@ def write_cells(celled: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def probed_cells(block: QueryBlock, centers: np.ndarray, probes: int) -> dict[int, np.ndarray]:
-    """Queries of the block by each cell among their ``probes`` nearest."""
-    nearest = np.argsort(-(block.units @ centers.T), axis=1, kind="stable")[:, :probes]
-    pairs = pd.DataFrame(
-        {"cell": nearest.ravel(), "q": np.repeat(np.arange(len(nearest)), nearest.shape[1])}
-    )
-    return {int(c): g.to_numpy() for c, g in pairs.groupby("cell")["q"]}
+def probed_cells(queries: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
+    """A row of the queries (``qid, k, vector``) for each of their ``probes`` nearest cells."""
+    dimension, many = centers.shape[1], min(probes, len(centers))
+    shared = queries.sparkSession.sparkContext.broadcast(centers)
+    chosen = queries.select("qid", "k", "vector")
+    schema = T.StructType([*chosen.schema.fields, T.StructField("cell", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = unit_rows(vector_matrix(batch["vector"], dimension))
+            nearest = np.argsort(-(units @ shared.value.T), axis=1, kind="stable")[:, :many]
+            again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), many)))
+            yield again.append_column("cell", pa.array(nearest.ravel().astype(np.int32)))
+
+    return chosen.mapInArrow(run, schema)
 
 
 def cell_top_k(
@@ -92,29 +126,31 @@ def cell_top_k(
     centers: np.ndarray,
     probes: int,
     payload: tuple[str, ...] = (),
-    block_bytes: int = BLOCK_BYTES,
-    n_queries: int | None = None,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Top-k over the ``probes`` nearest cells of each query.
 
-    Only probed cells are read (partition pruning when stored by cell). A
-    crowded cell is scanned by many tasks, like any large file. Probing all
+    Only probed cells are read (partition pruning when stored by cell). A crowded cell is
+    cut into parts that a task can hold, and its queries go to all of them. Probing all
     cells gives the exact result.
     """
-    dimension = centers.shape[1]
-
-    def search_block(block: QueryBlock, shared: Broadcast) -> DataFrame:
-        asking = probed_cells(block, centers, probes)
-        nobody = np.empty(0, dtype=np.int64)
-        rows = celled_index
-        if len(asking) < len(centers):
-            rows = rows.where(F.col("cell").isin(sorted(asking)))
-        hits = score_block(
-            rows, shared, dimension, list(payload), lambda cell: asking.get(cell, nobody)
-        )
-        return rank_hits(hits, block.max_limit)
-
-    return search_in_blocks(queries, dimension, block_bytes, n_queries, search_block)
+    dimension, spark = centers.shape[1], queries.sparkSession
+    asked = cut_lineage(probed_cells(queries, centers, probes), "probes")
+    wanted = asked.groupBy("cell").agg(F.max("k").alias("k")).collect()
+    max_k = max((row["k"] for row in wanted), default=0)
+    rows = celled_index.where(F.col("cell").isin([row["cell"] for row in wanted]))
+    # A row for each center at most; numbers the parts of all cells.
+    part_rows, parts, cells = max(1, part_bytes // (8 * dimension)), [], 0
+    for row in rows.groupBy("cell").count().collect():
+        pieces = -(-row["count"] // part_rows)
+        parts.append((row["cell"], cells, pieces))
+        cells += pieces
+    table = F.broadcast(spark.createDataFrame(parts, "cell int, first long, pieces long"))
+    piece = F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces"))
+    held = rows.join(table, "cell").withColumn("cell", piece)
+    every = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("pieces") - 1))
+    asking = asked.join(table, "cell").withColumn("cell", every)
+    return rank_hits(score_cells(held, asking, dimension, list(payload), max(1, cells)), max_k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Exact and cell-wise top-k by cosine.
+"""Exact top-k by cosine.
 
-Queries are the small side: a block of them, bounded in bytes, travels to every
-task once. Index rows are never shuffled; each task keeps only its best k rows
-per query, so what leaves it does not depend on how many rows it read.
+A few queries are a small side of checked size: they travel to every task once and
+index rows stay where they are. Many queries meet the index in a grid: the index is
+cut into parts that a task can hold, every query goes to every part, and a task
+streams the queries past its part. Either way a task keeps only the best k rows per
+query, so what leaves it does not depend on how many rows it read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repolumen.functions.vectors import cosine
-from repolumen.operators.numbering import dense_ids
-from repolumen.session import cut_lineage
 
-BLOCK_BYTES = 64 << 20  # vectors of one query block, in double precision
+BLOCK_BYTES = 64 << 20  # vectors of broadcast queries, in double precision
+FEW_QUERIES = 256  # so many may always be broadcast
+SMALL_SHARE = 16  # more only if the index has so many times their number of rows
+PART_BYTES = 128 << 20  # vectors of an index part held by a task, in double precision
+LEAST_PART = 256  # rows of an index part at least, where all could be spread further
 SCORE_CELLS = 1 << 22  # scores held at once by a task (32 MB)
-COMPACT_ROWS = 1 << 18  # candidates held before they are cut back to k per query
+COMPACT_ROWS = 1 << 18  # candidates held before they are cut back to k per query, at least
 
 
 @dataclass(frozen=True)
@@ -60,9 +64,8 @@ def block_rows(dimension: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, block_bytes // (8 * dimension))
 
 
-def take_block(queries: DataFrame, dimension: int) -> QueryBlock:
-    """Bring one block to the driver. The caller has bounded its rows."""
-    table = queries.select("qid", "k", "vector").toArrow()
+def as_block(table: pa.Table, dimension: int) -> QueryBlock:
+    """A block of the rows ``qid, k, vector``."""
     if table.num_rows == 0:
         return QueryBlock(np.empty(0), np.empty(0, dtype=np.int64), np.empty((0, dimension)))
     return QueryBlock(
@@ -81,7 +84,7 @@ class BestRows:
         self.k = block.max_limit
         self.floor = np.full(len(block.qids), -np.inf)  # k-th best score so far
         self.parts: list[pd.DataFrame] = []
-        self.held = 0
+        self.held, self.bound = 0, COMPACT_ROWS
 
     def add(self, scores: np.ndarray, rows: pa.Table, queries: np.ndarray) -> None:
         """Scores of ``queries`` (positions in the block) against the table rows."""
@@ -97,8 +100,10 @@ class BestRows:
         part["_score"] = scores[at_query, at_row]
         self.parts.append(part)
         self.held += len(part)
-        if self.held > COMPACT_ROWS:
+        if self.held > self.bound:
             self.compact()
+            # What must be held may be near the bound: wait until it has doubled.
+            self.bound = max(COMPACT_ROWS, 2 * self.held)
 
     def compact(self) -> pd.DataFrame:
         if not self.parts:
@@ -129,35 +134,20 @@ class BestRows:
         )
 
 
-# cell -> positions of the queries that look at its rows
-Pick = Callable[[int], np.ndarray]
+def _hit_schemas(index: DataFrame, columns: list[str]) -> tuple[T.StructType, pa.Schema]:
+    """Schema of local hits, for Spark and for Arrow."""
+    fields = [T.StructField(n, t) for n, t in (("qid", T.LongType()), ("k", T.LongType()), ("score", T.DoubleType()))]
+    out = T.StructType([*fields, *(index.schema[c] for c in columns)])
+    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.DoubleType(): pa.float64()}
+    return out, pa.schema([(f.name, kinds[f.dataType]) for f in out])
 
 
 def score_block(
-    index: DataFrame,
-    shared: Broadcast,
-    dimension: int,
-    payload: list[str],
-    pick: Pick | None = None,
+    index: DataFrame, shared: Broadcast, dimension: int, payload: list[str]
 ) -> DataFrame:
-    """Local top-k of every task for the broadcast :class:`QueryBlock`.
-
-    With ``pick``, rows carry a ``cell`` that selects the queries they count for.
-    """
+    """Local top-k of every task for the broadcast :class:`QueryBlock`."""
     columns = ["id", *payload]
-    out = T.StructType(
-        [
-            T.StructField("qid", T.LongType()),
-            T.StructField("k", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-            *[index.schema[c] for c in columns],
-        ]
-    )
-    arrow_types = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
-    arrow_out = pa.schema(
-        [("qid", pa.int64()), ("k", pa.int64()), ("score", pa.float64())]
-        + [(c, arrow_types[index.schema[c].dataType]) for c in columns]
-    )
+    out, arrow_out = _hit_schemas(index, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = shared.value
@@ -169,20 +159,64 @@ def score_block(
             for start in range(0, table.num_rows, step):
                 rows = table.slice(start, step)
                 units = unit_rows(vector_matrix(rows["vector"], dimension))
-                names = rows.select(columns)
-                if pick is None:
-                    best.add(mine.units @ units.T, names, everyone)
-                    continue
-                cells = rows["cell"].to_numpy()
-                for cell in np.unique(cells):
-                    asking, at = pick(int(cell)), np.flatnonzero(cells == cell)
-                    if len(asking):
-                        best.add(mine.units[asking] @ units[at].T, names.take(pa.array(at)), asking)
+                best.add(mine.units @ units.T, rows.select(columns), everyone)
         if len(everyone):
             yield best.result(arrow_out)
 
-    needed = [*columns, "vector"] + (["cell"] if pick is not None else [])
-    return index.select(*needed).mapInArrow(run, out)
+    return index.select(*columns, "vector").mapInArrow(run, out)
+
+
+def score_cells(
+    index: DataFrame, queries: DataFrame, dimension: int, payload: list[str], cells: int
+) -> DataFrame:
+    """Local top-k of every cell: index rows of a ``cell`` against the queries of that cell.
+
+    Both sides meet in one shuffle by cell, index rows first. A task holds the index
+    rows of one cell, which the caller has bounded, and streams the queries past them.
+    """
+    columns = ["id", *payload]
+    out, arrow_out = _hit_schemas(index, columns)
+    kind = T.ArrayType(T.FloatType()) if index.schema["vector"].dataType == queries.schema["vector"].dataType == T.ArrayType(T.FloatType()) else T.ArrayType(T.DoubleType())
+    nothing = F.lit(None)
+    at, vector = F.col("cell").cast("long").alias("cell"), F.col("vector").cast(kind).alias("vector")
+    held = index.select(at, F.lit(0).alias("side"), nothing.cast("long").alias("qid"), nothing.cast("long").alias("k"), *columns, vector)
+    asked = queries.select(
+        at, F.lit(1).alias("side"), F.col("qid").cast("long").alias("qid"), F.col("k").cast("long").alias("k"),
+        *[nothing.cast(index.schema[c].dataType).alias(c) for c in columns], vector,
+    )
+    met = held.unionByName(asked).repartition(cells, "cell").sortWithinPartitions("cell", "side")
+
+    def answered(piece: pa.Table, names: pa.Table, units: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, SCORE_CELLS // len(units))
+        for start in range(0, piece.num_rows, step):
+            block = as_block(piece.slice(start, step), dimension)
+            best = BestRows(block, columns)
+            best.add(block.units @ units.T, names, np.arange(len(block.qids)))
+            yield best.result(arrow_out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, ready = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            cell, side = table["cell"].to_numpy(), table["side"].to_numpy()
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(side) != 0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, table.num_rows]):
+                piece = table.slice(start, end - start)
+                if end == start:
+                    continue
+                if cell[start] != current:
+                    current, rows, ready = cell[start], [], None
+                if side[start] == 0:
+                    rows.append(piece.select([*columns, "vector"]))
+                    continue
+                if ready is None and rows:
+                    whole = pa.concat_tables(rows)
+                    ready = whole.select(columns).combine_chunks(), unit_rows(vector_matrix(whole["vector"], dimension))
+                    rows = []
+                if ready is not None:
+                    yield from answered(piece, *ready)
+
+    return met.mapInArrow(run, out)
 
 
 def rank_hits(hits: DataFrame, max_k: int) -> DataFrame:
@@ -201,52 +235,21 @@ def rank_hits(hits: DataFrame, max_k: int) -> DataFrame:
     )
 
 
-def query_blocks(
-    queries: DataFrame,
-    dimension: int,
-    block_bytes: int = BLOCK_BYTES,
-    n_queries: int | None = None,
-) -> Iterator[DataFrame]:
-    """Split the queries (``qid``, ``k``, ``vector``) into blocks of bounded size.
+def in_grid(
+    queries: DataFrame, index: DataFrame, dimension: int, n_queries: int, n_rows: int, part_bytes: int = PART_BYTES
+) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with the ``cell`` in which they meet, and the number of cells.
 
-    Their count decides; ``n_queries`` saves it, and with it a second run of a
-    stage that made the vectors. A single block is used as it is. More are
-    numbered and sliced, so the driver never holds more than one.
+    The index is cut into parts by id, each within ``part_bytes``; queries go to every
+    part. A small index has too few parts for all tasks: then queries are cut as well.
     """
-    rows = block_rows(dimension, block_bytes)
-    total = queries.count() if n_queries is None else n_queries
-    if total <= rows:
-        yield queries
-        return
-    numbered = dense_ids(queries, "qid", id_col="_n")
-    for start in range(0, total, rows):
-        yield numbered.where((F.col("_n") > start) & (F.col("_n") <= start + rows)).drop("_n")
-
-
-def search_in_blocks(
-    queries: DataFrame,
-    dimension: int,
-    block_bytes: int,
-    n_queries: int | None,
-    search_block: Callable[[QueryBlock, Broadcast], DataFrame],
-) -> DataFrame:
-    """Search block after block.
-
-    With several blocks, the hits of each are written out and its broadcast is
-    released before the next one is taken.
-    """
-    context = queries.sparkSession.sparkContext
-    blocks = list(query_blocks(queries, dimension, block_bytes, n_queries))
-    parts = []
-    for part in blocks:
-        block = take_block(part, dimension)
-        shared = context.broadcast(block)
-        hits = search_block(block, shared)
-        if len(blocks) == 1:
-            return hits
-        parts.append(cut_lineage(hits, "hits"))
-        shared.destroy()
-    return reduce(DataFrame.unionByName, parts)
+    tasks = 2 * queries.sparkSession.sparkContext.defaultParallelism
+    parts = max(math.ceil(8 * dimension * n_rows / part_bytes), min(tasks, math.ceil(n_rows / LEAST_PART)), 1)
+    groups = max(1, min(tasks // parts, math.ceil(n_queries / LEAST_PART)))
+    part, group = F.pmod(F.xxhash64("id"), F.lit(parts)), F.pmod(F.xxhash64("qid"), F.lit(groups))
+    to_groups = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: part * groups + g))
+    to_parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: p * groups + group))
+    return queries.withColumn("cell", to_parts), index.withColumn("cell", to_groups), parts * groups
 
 
 def exact_top_k(
@@ -256,14 +259,26 @@ def exact_top_k(
     payload: tuple[str, ...] = (),
     block_bytes: int = BLOCK_BYTES,
     n_queries: int | None = None,
+    max_k: int | None = None,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Exact search: ``qid, score, id, payload.., rank`` for queries (``qid, k, vector``)."""
+    """Exact search: ``qid, score, id, payload.., rank`` for queries (``qid, k, vector``).
 
-    def search_block(block: QueryBlock, shared: Broadcast) -> DataFrame:
-        hits = score_block(index, shared, dimension, list(payload))
-        return rank_hits(hits, block.max_limit)
-
-    return search_in_blocks(queries, dimension, block_bytes, n_queries, search_block)
+    ``n_queries`` and ``max_k``, the largest ``k``, save a look at the queries, and with
+    it a second run of a stage that made the vectors. For many queries the rows of the
+    index are counted: give a stored one.
+    """
+    if n_queries is None or max_k is None:
+        size = queries.agg(F.count("*").alias("n"), F.max("k").alias("k")).first()
+        n_queries, max_k = size["n"], size["k"] or 0
+    fit = n_queries <= block_rows(dimension, block_bytes)
+    n_rows = 0 if fit and n_queries <= FEW_QUERIES else index.count()
+    if fit and (n_queries <= FEW_QUERIES or n_queries * SMALL_SHARE <= n_rows):
+        block = as_block(queries.select("qid", "k", "vector").toArrow(), dimension)
+        shared = queries.sparkSession.sparkContext.broadcast(block)
+        return rank_hits(score_block(index, shared, dimension, list(payload)), block.max_limit)
+    asked, held, cells = in_grid(queries, index, dimension, n_queries, n_rows, part_bytes)
+    return rank_hits(score_cells(held, asked, dimension, list(payload), cells), max_k)
 
 
 def top_k_for_one(

@@ -70,9 +70,9 @@ def _search(
     readmes: DataFrame | None,
 ) -> DataFrame:
     """Exact hits; the limits asked for bound them together."""
-    size = asked.agg(F.count("*").alias("n"), F.sum(F.greatest("k", F.lit(0))).alias("hits")).first()
-    n_queries = size["n"]
-    hits = exact_top_k(vectors, index, dimension, ("repo_name",), n_queries=n_queries)
+    wanted = F.greatest("k", F.lit(0))
+    size = asked.agg(F.count("*").alias("n"), F.sum(wanted).alias("hits"), F.max(wanted).alias("k")).first()
+    hits = exact_top_k(vectors, index, dimension, ("repo_name",), n_queries=size["n"], max_k=size["k"] or 0)
     if readmes is None:
         return hits
     return attach_content(hits, readmes, max_hits=size["hits"] or 0)
