@@ -7,8 +7,10 @@ each depends on the one before.
 
 Most clients are walked whole, many at a time. A client with very many requests
 is split: time is cut into spans, each span is summarised on its own as "window
-coming in -> window going out", only those summaries are chained, and then all
-spans are walked in parallel.
+coming in -> window going out". Such summaries compose: those of neighbouring spans
+become one, level by level, until few are left. From the top down every level then
+learns with which window its spans begin, and at last all spans are walked in
+parallel. No task chains more than a bounded number of spans.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ OPEN_PATHS = ("/health", "/stats")
 UNKNOWN_CLIENT = "unknown"
 
 SPLIT_ROWS = 250_000  # requests of one client that are walked by one task at most
-SPAN_WINDOWS = 64  # windows per span: about 1/64 of a split client's rows are chained
+SPAN_WINDOWS = 64  # windows per span
+FAN = 64  # spans whose summaries become one on the next level
 BROADCAST_CLIENTS = 500_000
 CHUNK_ROWS = 50_000
 _NEVER = np.iinfo(np.int64).min
@@ -67,8 +70,8 @@ def classify_requests(requests: DataFrame, valid_keys: Iterable[str] = ()) -> Da
     )
 
 
-def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted rows in pieces of many whole runs of one (client, span)."""
+def _chunks(batches: Iterable[pd.DataFrame], key: str = "span") -> Iterator[pd.DataFrame]:
+    """Sorted rows in pieces of many whole runs of one (client, ``key``)."""
     held, size, enough = [], 0, CHUNK_ROWS
     for batch in batches:
         held.append(batch)
@@ -76,7 +79,7 @@ def _chunks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if size < enough:
             continue
         rows = pd.concat(held, ignore_index=True)
-        last = (rows["client"] == rows["client"].iat[-1]) & (rows["span"] == rows["span"].iat[-1])
+        last = (rows["client"] == rows["client"].iat[-1]) & (rows[key] == rows[key].iat[-1])
         cut = int(last.to_numpy().argmax())
         if cut:
             yield rows[:cut]
@@ -180,21 +183,57 @@ def _summaries(batches: Iterable[pd.DataFrame], window: int, span: int) -> Itera
         )
 
 
-def _chain(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk each split client's spans in order: the window and count they start with."""
-    current, end, count = None, _NEVER, 0
-    for rows in _chunks(batches):
+def _tables(rows: pd.DataFrame) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """``span`` and the columns of its summary, for sorted rows of one client."""
+    columns = [rows[c].to_numpy() for c in ("entry", "end_out", "count_out", "rows")]
+    spans = rows["span"].to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(spans)) + 1).tolist(), len(spans)]
+    for start, end in zip(cuts, cuts[1:]):
+        yield int(spans[start]), tuple(c[start:end] for c in columns)
+
+
+def _pass(table: tuple[np.ndarray, ...], end: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows open after a span, for windows ``end`` with ``count`` requests open before it."""
+    entry, end_out, count_out, rows = table
+    at = np.searchsorted(entry, end, "right")
+    opens, at = at < len(entry), np.minimum(at, len(entry) - 1)
+    return np.where(opens, end_out[at], end), np.where(opens, count_out[at], count + rows[0])
+
+
+def _composed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One summary for all spans of each (client, ``up``), of the same form."""
+    for rows in _chunks(batches, "up"):
+        out = []
+        for (client, up), own in rows.groupby(["client", "up"], sort=False):
+            (_, (entry, end, count, n)), *later = _tables(own)
+            total = int(n[0]) + sum(int(t[3][0]) for _, t in later)
+            if later:
+                # A window that covers the first span ends before the second: its first row opens the next.
+                entry = np.append(entry, later[0][1][0][0])
+                end, count = np.append(end, _NEVER), np.append(count, 0)
+            for _, table in later:
+                end, count = _pass(table, end, count)
+            differs = np.append((end[1:] != end[:-1]) | (count[1:] != count[:-1]), True)
+            out.append(
+                pd.DataFrame({"client": client, "span": up, "entry": entry[differs], "end_out": end[differs],
+                              "count_out": count[differs], "rows": total})
+            )
+        yield pd.concat(out)
+
+
+def _started(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The window each span of a (client, ``up``) starts with, from that with which ``up`` does."""
+    for rows in _chunks(batches, "up"):
         out = []
-        for (client, number), table in rows.groupby(["client", "span"], sort=False):
-            if client != current:
-                current, end, count = client, _NEVER, 0
-            if end != _NEVER:
-                out.append((client, number, end, count))
-            at = np.searchsorted(table["entry"].to_numpy(), end, "right")
-            if at < len(table):
-                end, count = int(table["end_out"].iat[at]), int(table["count_out"].iat[at])
-            else:
-                count += int(table["rows"].iat[0])
+        for (client, _), own in rows.groupby(["client", "up"], sort=False):
+            first = own["end_in"].iat[0]
+            known = not pd.isna(first)
+            end = np.array([int(first) if known else _NEVER])
+            count = np.array([int(own["count_in"].iat[0]) if known else 0])
+            for span, table in _tables(own):
+                if end[0] != _NEVER:
+                    out.append((client, span, int(end[0]), int(count[0])))
+                end, count = _pass(table, end, count)
         yield pd.DataFrame(out, columns=["client", "span", "end_in", "count_in"])
 
 
@@ -212,23 +251,46 @@ def _walk(rows: DataFrame, window: int) -> DataFrame:
     )
 
 
+_SUMMARY = "client string, span long, entry long, end_out long, count_out long, rows long"
+_START = "client string, span long, end_in long, count_in long"
+
+
+def _levels(summaries: DataFrame) -> list[DataFrame]:
+    """The summaries, then those of ever more spans, until no client has many."""
+    levels = [cut_lineage(summaries, "span-summaries")]
+    while True:
+        reach = levels[-1].groupBy("client").agg((F.max("span") - F.min("span")).alias("n"))
+        if (reach.agg(F.max("n")).first()[0] or 0) <= FAN:
+            return levels
+        upper = (
+            levels[-1]
+            .withColumn("up", span_of(F.col("span"), FAN))
+            .repartition("client", "up")
+            .sortWithinPartitions("client", "up", "span", "entry")
+            .mapInPandas(_composed, _SUMMARY)
+        )
+        levels.append(cut_lineage(upper, "span-summaries"))
+
+
 def _span_starts(rows: DataFrame, window: int, span: int) -> DataFrame:
     """The window each span of a split client starts with, as one more row of it."""
     summaries = (
         rows.select("client", "span", "ts_us")
         .repartition("client", "span")
         .sortWithinPartitions("client", "span", "ts_us")
-        .mapInPandas(
-            lambda batches: _summaries(batches, window, span),
-            "client string, span long, entry long, end_out long, count_out long, rows long",
-        )
-    )
-    chained = (
-        summaries.repartition("client")
-        .sortWithinPartitions("client", "span", "entry")
-        .mapInPandas(_chain, "client string, span long, end_in long, count_in long")
+        .mapInPandas(lambda batches: _summaries(batches, window, span), _SUMMARY)
     )
-    return chained.select(
+    *lower, top = _levels(summaries)
+    nothing = F.lit(None).cast("long")
+    begun = top.withColumns({"up": F.lit(0).cast("long"), "end_in": nothing, "count_in": nothing})
+    while True:
+        ordered = begun.repartition("client", "up").sortWithinPartitions("client", "up", "span", "entry")
+        starts = ordered.mapInPandas(_started, _START)
+        if not lower:
+            break
+        above = cut_lineage(starts, "span-starts").withColumnRenamed("span", "up")
+        begun = lower.pop().withColumn("up", span_of(F.col("span"), FAN)).join(above, ["client", "up"], "left")
+    return starts.select(
         "client",
         "span",
         (F.col("end_in") - window).alias("ts_us"),

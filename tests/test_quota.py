@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from repolumen.streaming import bursts, health, quota
 
@@ -33,8 +34,11 @@ def requests_of(spark, rows):
     )
 
 
-@pytest.mark.parametrize(("split_rows", "span_windows"), [(10**6, 64), (500, 1), (500, 2), (500, 64), (20, 2)])
-def test_batch_equals_loop(spark, split_rows, span_windows):
+@pytest.mark.parametrize(
+    ("split_rows", "span_windows", "fan"), [(10**6, 64, 64), (500, 1, 64), (500, 2, 3), (500, 64, 64), (20, 1, 2), (20, 2, 4)]
+)
+def test_batch_equals_loop(spark, monkeypatch, split_rows, span_windows, fan):
+    monkeypatch.setattr(quota, "FAN", fan)
     rng = np.random.default_rng(split_rows + span_windows)
     rows = []
     for i in range(3000):
@@ -126,7 +130,37 @@ def test_health_equals_loop(spark):
     for source, _, event_id, ms in rows:
         state[source] = state.get(source, 1000.0) * 0.8 + ms * 0.2
         want[event_id] = state[source]
-    history = {r["event_id"]: r["health_ms"] for r in health.health_history(df, "hour").collect()}
+    history = {r["event_id"]: r["health_ms"] for r in health.health_history(df).collect()}
     assert history == pytest.approx(want, abs=1e-8)
     now = {r["source"]: r["health_ms"] for r in health.current_health(df).collect()}
     assert now == pytest.approx(state, abs=1e-8)
+
+
+def test_summaries_of_a_busy_client_compose(spark, monkeypatch):
+    """Gaps, covered spans and bursts of a single client, over several levels of summaries."""
+    monkeypatch.setattr(quota, "FAN", 2)
+    rng = np.random.default_rng(11)
+    at = np.concatenate([rng.integers(0, 3000, 700), rng.integers(9000, 9100, 200), 60 * np.arange(100, 140), rng.integers(20_000, 40_000, 300)])
+    rows = [(i, START + timedelta(seconds=int(s)), "hot") for i, s in enumerate(at)]
+    found = quota.apply_quota(requests_of(spark, rows), 3, timedelta(seconds=60), split_rows=10, span_windows=1)
+    got = {r["event_id"]: (r["verdict"], r["remaining"], r["reset_at"]) for r in found.collect()}
+    assert got == loop_quota(rows, 3, timedelta(seconds=60))
+
+
+def test_health_of_one_busy_source_is_spread_over_tasks(spark):
+    rows = spark.range(100_000).select(
+        F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise("only").alias("source"),
+        F.timestamp_seconds(F.col("id") % 70_000).cast("timestamp_ntz").alias("ts"),
+        F.col("id").alias("event_id"),
+        (F.xxhash64("id") % 5000 + 5000).cast("double").alias("ms"),
+    )
+    folds = health._local_folds(rows).groupBy("source", "part").count().collect()
+    assert len([r for r in folds if r["source"] == "only"]) >= 3
+    state, want = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r["ts"], r["event_id"])):
+        state[r["source"]] = state.get(r["source"], 1000.0) * 0.8 + r["ms"] * (1 - 0.8)
+        want[r["event_id"]] = state[r["source"]]
+    found = {r["event_id"]: r["health_ms"] for r in health.health_history(rows).collect()}
+    assert len(found) == 100_000 and max(abs(found[i] - x) for i, x in want.items()) < 1e-8
+    now = {r["source"]: r["health_ms"] for r in health.current_health(rows).collect()}
+    assert now == pytest.approx(state, abs=1e-8)
