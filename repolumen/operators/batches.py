@@ -40,10 +40,12 @@ def parse_results(lines: DataFrame) -> DataFrame:
     """
     row = F.from_json("value", BATCH_RESULT_ROW, {"mode": "FAILFAST"})
     parsed = lines.withColumn("row", row)
+    batch = ["batch_id"] if "batch_id" in lines.columns else []
     vector = F.get(F.col("row.response.data"), F.lit(0))["embedding"]
     raw = F.coalesce(F.get_json_object("value", "$.response"), F.get_json_object("value", "$"))
     return parsed.select(
         "line_no",
+        *batch,
         F.col("row.custom_id").alias("id"),
         vector.alias("vector"),
         F.when(vector.isNotNull(), F.coalesce("row.response.usage.prompt_tokens", F.lit(0)))
@@ -64,14 +66,18 @@ def good_results(results: DataFrame) -> DataFrame:
 
 def points_of(results: DataFrame, items: DataFrame) -> DataFrame:
     """Index points of known items; results of unknown ids are dropped."""
-    return good_results(results).join(
-        items.select("id", "repo_name", "content_hash").dropDuplicates(["id"]), "id"
-    )
+    return good_results(results).join(_one_per_id(items), "id")
+
+
+def _one_per_id(items: DataFrame) -> DataFrame:
+    """The item of the lowest repository name of every id."""
+    lowest = F.min(F.struct("repo_name", "content_hash")).alias("item")
+    return items.groupBy("id").agg(lowest).select("id", "item.repo_name", "item.content_hash")
 
 
 def failures(results: DataFrame, items: DataFrame) -> DataFrame:
     """Failed rows with the repository they belong to, or the bare id."""
-    named = items.select("id", "repo_name").dropDuplicates(["id"])
+    named = items.groupBy("id").agg(F.min("repo_name").alias("repo_name"))
     return (
         results.where(F.col("vector").isNull())
         .join(named, "id", "left")
@@ -92,10 +98,14 @@ def result_totals(
 
 
 def completeness(ledger: DataFrame, results: DataFrame) -> DataFrame:
-    """Upserted share per batch and whether the batch may leave the ledger."""
-    done_ids = results.where(F.col("vector").isNotNull()).select("id").distinct()
+    """Upserted share per batch and whether the batch may leave the ledger.
+
+    Where results tell their ``batch_id``, an item counts only if its own batch answered it.
+    """
+    keys = ["batch_id", "id"] if "batch_id" in results.columns else ["id"]
+    done_ids = results.where(F.col("vector").isNotNull()).select(*keys).distinct()
     joined = ledger.select("batch_id", "id").join(
-        done_ids.withColumn("done", F.lit(True)), "id", "left"
+        done_ids.withColumn("done", F.lit(True)), keys, "left"
     )
     per_batch = joined.groupBy("batch_id").agg(
         F.count("id").alias("items"), F.count("done").alias("upserted")

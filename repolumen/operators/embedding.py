@@ -76,12 +76,16 @@ class Embedder:
         return matrix, int(tokens or 0)
 
 
-def embed_column(df: DataFrame, embedder: Embedder, text_col: str = "content") -> DataFrame:
+def embed_column(
+    df: DataFrame, embedder: Embedder, text_col: str = "content", pending_on_stop: bool = False
+) -> DataFrame:
     """Replace a text column by ``vector`` and the ``tokens`` and ``cost`` of its call.
 
     Calls are packed from neighbouring rows of a task, so no row is shuffled.
     Tokens and cost stand on the first row of a call and are 0 on the others:
-    sums over any rows written are exact.
+    sums over any rows written are exact. :class:`BudgetExhausted` fails the job; with
+    ``pending_on_stop`` the task makes no more calls, what it has bought stays, and
+    rows not embedded come back with a null vector.
     """
     kept = [f for f in df.schema.fields if f.name != text_col]
     schema = T.StructType(
@@ -98,6 +102,7 @@ def embed_column(df: DataFrame, embedder: Embedder, text_col: str = "content") -
         context = TaskContext.get()
         turn = context.partitionId() if context else 0
         services = [embedder.connect(key) for key in embedder.keys]
+        stopped = False
         for batch in batches:
             texts = batch[text_col].tolist()
             sizes = [len(t) for t in texts]
@@ -106,9 +111,17 @@ def embed_column(df: DataFrame, embedder: Embedder, text_col: str = "content") -
                     continue
                 service = services[turn % len(services)]
                 turn += 1
-                matrix, tokens = embedder.call(service, texts[start:stop])
+                vectors, tokens = [None] * (stop - start), 0
+                if not stopped:
+                    try:
+                        matrix, tokens = embedder.call(service, texts[start:stop])
+                        vectors = list(matrix)
+                    except BudgetExhausted:
+                        if not pending_on_stop:
+                            raise
+                        stopped = True
                 out = batch.iloc[start:stop][names].copy()
-                out["vector"] = list(matrix)
+                out["vector"] = vectors
                 out["tokens"] = [tokens] + [0] * (stop - start - 1)
                 out["cost"] = out["tokens"] / 1_000_000 * embedder.usd_per_million
                 yield out

@@ -38,7 +38,8 @@ def attach_content(
         stored.select("repo_name", order.alias("order"), "content")
         .join(wanted, "repo_name", "left_semi")
         .groupBy("repo_name")
-        .agg(F.min_by("content", "order").alias("content"))
+        # Two texts of one branch: the hash decides, alike in every run.
+        .agg(F.min_by("content", F.struct("order", F.xxhash64("content"))).alias("content"))
     )
     return hits.join(best, "repo_name", "left")
 

@@ -277,7 +277,7 @@ def append_points(
     manifest already (:func:`repolumen.operators.corpus.new_items`). Else the points
     are written to the shared folder once, and compared with the buckets they hit.
     """
-    base = new_since or ensure_index(spark, root)
+    base = ensure_index(spark, root) if new_since is None else new_since
     fresh = checked_points(points, dimension)
     with scratch_scope(spark):
         if new_since is None:

@@ -48,6 +48,17 @@ def id_slice(numbered: DataFrame, offset: int, limit: int | None, id_col: str =
     return found if limit is None else found.where(F.col(id_col) <= offset + limit)
 
 
+def paged(
+    numbered: DataFrame, offset: int, limit: int | None, batch_size: int, id_col: str = "id"
+) -> DataFrame:
+    """The rows of :func:`id_slice` with the zero-based ``batch`` of ``batch_size`` they fall in.
+
+    Every batch of a paging loop at once: workers take batches, no rows are read again.
+    """
+    batch = F.floor((F.col(id_col) - 1 - offset) / batch_size).cast("long")
+    return id_slice(numbered, offset, limit, id_col).withColumn("batch", batch)
+
+
 def hash_share(df: DataFrame, key: str, shares: int, share: int) -> DataFrame:
     """One of ``shares`` disjoint parts when only disjointness matters, not order."""
     return df.where(F.pmod(F.xxhash64(key), F.lit(shares)) == share)

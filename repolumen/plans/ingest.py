@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from repolumen.operators import batches
 from repolumen.operators.corpus import keyed_items, new_items, without_known
@@ -13,15 +16,25 @@ from repolumen.operators.packing import JOB_ROWS
 from repolumen.session import cut_lineage, scratch_scope
 
 
+#: Items that are embedded and committed together.
+COMMIT_ROWS = 200_000
+
+
 def ingest(
-    records: DataFrame, index_root: str, embedder: Embedder, small_batch: bool = False
+    records: DataFrame,
+    index_root: str,
+    embedder: Embedder,
+    small_batch: bool = False,
+    commit_rows: int = COMMIT_ROWS,
 ) -> DataFrame:
-    """Embed what is new and append it; items, tokens and cost of this run.
+    """Embed what is new and append it; items, tokens and cost of this run, and items ``pending``.
 
     A ``small_batch`` reads its records twice: first for their ids, so that of the
-    index only the buckets they hit are read. Vectors are written to the shared
-    folder as the service returns them and kept until the append is committed: a
-    lost task or a look at the totals never pays for them again.
+    index only the buckets they hit are read. Items are written out and embedded in
+    parts of about ``commit_rows``. The vectors of a part are written as the service
+    returns them, then appended to the index in one commit: paid work is lost neither
+    with a task nor with what comes after. When the service's budget is used up, the
+    part's vectors are committed and the rest is pending; the next run finds it new.
     """
     spark = records.sparkSession
     base = ensure_index(spark, index_root)
@@ -32,10 +45,26 @@ def ingest(
         else:
             known = existing_ids(spark, index_root, base)
         items = new_items(records, known)
-        embedded = cut_lineage(embed_column(items, embedder), "embedded")
-        append_points(spark, index_root, embedded, embedder.dimension, new_since=base)
-        totals = usage_totals(embedded)
-        return spark.createDataFrame(totals.collect(), totals.schema)
+        parts, total = [items], None
+        if not small_batch:
+            items = cut_lineage(items, "new-items")
+            total = items.count()
+            count = max(1, math.ceil(total / commit_rows))
+            part = F.pmod(F.xxhash64("id"), F.lit(count))
+            parts = [items.where(part == i) if count > 1 else items for i in range(count)]
+        done = []
+        for part in parts:
+            embedded = cut_lineage(embed_column(part, embedder, pending_on_stop=True), "embedded")
+            bought = embedded.where("vector is not null")
+            base = append_points(spark, index_root, bought, embedder.dimension, new_since=base)
+            done.append((*usage_totals(bought).first(), embedded.count()))
+            if done[-1][0] < done[-1][3]:
+                break
+        count, tokens, cost, seen = (sum(values) for values in zip(*done))
+        pending = (seen if total is None else total) - count
+        return spark.createDataFrame(
+            [(count, tokens, float(cost), pending)], "items long, tokens long, cost double, pending long"
+        )
 
 
 def plan_batches(

@@ -67,8 +67,11 @@ def _result_lines(spark, sf_dir):
         .otherwise(F.to_json(F.struct(*head, F.struct(data.alias("data"), usage.alias("usage")).alias("response"))))
     )
     blank = F.when(F.col("label") == 0, F.lit("\n  ")).otherwise(F.lit(""))
-    # One file, as a service returns it: its line order is what "last wins" means.
-    turns.orderBy("turn", "id").select(F.concat(line, blank).alias("value")).coalesce(1).write.text(path)
+    # Many files for every batch; names, then places in a file, are the order in which "last wins".
+    batch = F.concat(F.lit("batch-"), F.col("label").cast("string"))
+    rows = turns.select("turn", "id", batch.alias("batch_id"), F.concat(line, blank).alias("value"))
+    ordered = rows.repartitionByRange(8, "turn", "id").sortWithinPartitions("batch_id", "turn", "id")
+    ordered.select("value", "batch_id").write.partitionBy("batch_id").text(path)
     return readers.read_result_lines(spark, path)
 
 
@@ -357,12 +360,17 @@ def batch_totals(spark, sf_dir):
     f"""WITH {_LINES} SELECT batch_id, items, upserted, round(upserted / items, 6) AS rate,
           upserted / items >= 0.99 OR items < 50 AS finished
         FROM (SELECT batch_id, count(*) AS items, count(g.id) AS upserted FROM ledger l
-              LEFT JOIN (SELECT DISTINCT 'v' || vec_id AS id FROM good) g ON l.id = g.id
-              GROUP BY batch_id)""",
+              LEFT JOIN (SELECT DISTINCT 'v' || vec_id AS id, 'batch-' || CASE WHEN label = 7
+                AND vec_id % 2 = 0 THEN 9 ELSE label END AS answered FROM good) g
+              ON l.id = g.id AND l.batch_id = g.answered GROUP BY batch_id)""",
 )
 def complete(spark, sf_dir):
-    """A11."""
-    found = batches.completeness(_ledger(spark, sf_dir), _results(spark, sf_dir))
+    """Half of the items of one batch are answered in another one, which does not count."""
+    even = F.substring("id", 2, 20).cast("long") % 2 == 0
+    stray = (F.col("batch_id") == "batch-7") & even
+    results = _results(spark, sf_dir)
+    results = results.withColumn("batch_id", F.when(stray, "batch-9").otherwise(F.col("batch_id")))
+    found = batches.completeness(_ledger(spark, sf_dir), results)
     return found.withColumn("rate", F.round("rate", 6))
 
 

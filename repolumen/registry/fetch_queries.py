@@ -10,7 +10,7 @@ from repolumen.operators import fetch
 from repolumen.registry import register
 from repolumen.registry import inputs as I
 from repolumen.session import scratch_path
-from repolumen.sources import schemas, writers
+from repolumen.sources import readers, schemas, writers
 
 _OUTCOMES = I.with_sql(I.RESULTS, I.OUTCOMES)
 _WORK = """work AS (
@@ -49,17 +49,19 @@ def work_list(spark, sf_dir):
     I.with_sql(I.VISITS, _WORK)
     + """SELECT DISTINCT repo_name, replace(repo_name, '/', '_') AS file_key FROM work
          WHERE repo_name IS NOT NULL AND replace(repo_name, '/', '_') NOT IN (
-           SELECT 'user' || user_id || '_repo' || user_id FROM events WHERE event_type = 'error'
-           UNION SELECT 'user' || user_id || '_repo' || user_id FROM events WHERE value > 250)""",
+           SELECT 'user' || user_id || '_repo' || user_id FROM events
+             WHERE event_type = 'error' AND user_id % 4 = 1
+           UNION SELECT 'user' || user_id || '_repo' || user_id FROM events
+             WHERE value > 250 AND user_id % 4 = 2)""",
 )
 def to_fetch(spark, sf_dir):
     """Repositories without outcome or stored file."""
     events = I.table(spark, sf_dir, "events")
     user = F.col("user_id").cast("string")
-    failed = events.where(F.col("event_type") == "error").select(
+    failed = events.where("event_type = 'error' AND user_id % 4 = 1").select(
         F.concat(F.lit("user"), user, F.lit("/repo"), user).alias("repo_name")
     )
-    names = events.where(F.col("value") > 250).select(
+    names = events.where("value > 250 AND user_id % 4 = 2").select(
         F.concat(F.lit("user"), user, F.lit("_repo"), user, F.lit("_HEAD_README.md")).alias("name")
     )
     finished = fetch.finished_keys(failed, names)
@@ -68,6 +70,18 @@ def to_fetch(spark, sf_dir):
     )
 
 
+@register("s7_stored_readmes", I.with_sql(I.STORED) + "SELECT name, content FROM stored")
+def stored_readmes(spark, sf_dir):
+    """A file for every document, read back whole under its name."""
+    path = scratch_path(spark, "stored")
+    files = I.stored(spark, sf_dir).select("name", F.col("content").alias("value"))
+    files.repartition("name").write.partitionBy("name").text(path)
+    found = readers.read_stored_readmes(spark, path, folders=True)
+    # The text writer ends every row with a line break.
+    text = F.expr("substring(content, 1, char_length(content) - 1)")
+    return found.select("name", text.alias("content"))
+
+
 @register(
     "s10_finished_files",
     I.with_sql(I.STORED)

@@ -10,8 +10,8 @@ from repolumen.operators import numbering, origins
 from repolumen.plans import crawl
 from repolumen.registry import register
 from repolumen.registry import inputs as I
-from repolumen.session import cut_lineage, scratch_path
-from repolumen.sources import readers, writers
+from repolumen.session import scratch_path
+from repolumen.sources import readers, schemas, writers
 
 MIN_DATE = "2024-01-15"
 LOOKBACK_DAYS = 10
@@ -254,17 +254,14 @@ def keyset_page(spark, sf_dir):
     return numbering.keyset_page(_numbered(spark, sf_dir), 100, 50).select("id", "url")
 
 
-@register("t2_all_pages", "SELECT url, count(*) AS n FROM pages GROUP BY url")
+@register(
+    "t2_all_pages",
+    f"{_NUMBERED} SELECT id, url, CAST(floor((id - 31) / 40) AS BIGINT) AS batch"
+    " FROM numbered WHERE id > 30 AND id <= 30 + 150",
+)
 def all_pages(spark, sf_dir):
-    """Every batch of the paging loop, as partitions of one job."""
-    shares = [
-        numbering.hash_share(I.table(spark, sf_dir, "pages").select("url"), "url", 4, share)
-        for share in range(4)
-    ]
-    merged = shares[0]
-    for share in shares[1:]:
-        merged = merged.unionByName(share)
-    return merged.groupBy("url").agg(F.count("*").alias("n"))
+    """Every batch of 40 of a paging loop with limit and offset."""
+    return numbering.paged(_numbered(spark, sf_dir), 30, 150, 40).select("id", "url", "batch")
 
 
 @register(
@@ -281,4 +278,8 @@ def progress(spark, sf_dir):
         F.col("event_id").alias("last_id"),
         F.col("ts").alias("saved_at"),
     )
-    return latest_progress(cut_lineage(saved, "progress"), "table_name", "last_id", "saved_at")
+    path = scratch_path(spark, "progress")
+    for step in range(3):
+        writers.append_progress(saved.where(F.col("last_id") % 3 == step), path)
+    kept = spark.read.schema(schemas.PROGRESS).parquet(path)
+    return latest_progress(kept, "table_name", "last_id", "saved_at")

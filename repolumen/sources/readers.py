@@ -55,14 +55,18 @@ def count_rows(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
-def read_stored_readmes(spark: SparkSession, path: str) -> DataFrame:
+def read_stored_readmes(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
     """Directory of one-document files: whole file as ``content``, its name as ``name``.
 
-    Hidden names are left out. An import format only: one file per document is
-    too many files for a large corpus.
+    With ``folders``, a document is the file in a folder ``name=<its name>``, as Spark
+    writes them. Hidden names are left out. An import format only: one file per
+    document is too many files for a large corpus.
     """
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    name = F.col("_metadata.file_name")
+    if folders:
+        name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/name=([^/]+)/[^/]+$", 1))
+    return files.select(name.alias("name"), F.col("value").alias("content"))
 
 
 def read_readme_records(spark: SparkSession, path: str, dated: bool = False) -> DataFrame:
@@ -74,16 +78,19 @@ def read_readme_records(spark: SparkSession, path: str, dated: bool = False) ->
 def read_result_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of embedding result files with their order; blank lines are left out.
 
-    ``line_no`` grows with the position inside one file: first by the offset of
-    the split, then by the row inside it.
+    ``line_no`` grows from file to file by name, inside a file by the offset of the
+    split, and inside that by row: however files are cut into tasks, one line is the
+    last. Folders ``batch_id=<id>`` give a column ``batch_id``.
     """
-    lines = spark.read.text(path).select(
+    files = spark.read.text(path)
+    lines = files.select(
         F.col("_metadata.file_name").alias("file_name"),
         F.struct(
+            F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("split_start"),
             F.monotonically_increasing_id().alias("row"),
         ).alias("line_no"),
-        "value",
+        *files.columns,
     )
     return lines.where(F.length(F.btrim("value")) > 0)
 

@@ -182,6 +182,34 @@ def test_ingest_twice_is_ingest_once(spark, tmp_path):
     assert len(after) == 5 and set(before) < set(after)
 
 
+def test_a_used_up_budget_keeps_what_was_bought(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def connect(key):
+        def call(texts):
+            if not (tmp_path / "funds").exists() and len(list(calls.iterdir())) >= 2:
+                raise BudgetExhausted("add funds")
+            for t in texts:
+                (calls / t.split()[0]).write_text("")
+            return [[float(len(t))] for t in texts], len(texts)
+        return call
+
+    root, rows = str(tmp_path / "index"), [(f"o/{i}", f"text{i} of some length") for i in range(12)]
+    embedder = Embedder(connect, dimension=1, max_rows=1)
+    first = ingest(records(spark, rows).coalesce(1), root, embedder, commit_rows=3).head()
+    kept = index.read_index(spark, root).count()
+    assert first["items"] == kept == len(list(calls.iterdir())) and 0 < kept < 12
+    assert first["pending"] == 12 - kept
+    (tmp_path / "funds").write_text("")
+    for file in calls.iterdir():
+        file.unlink()
+    second = ingest(records(spark, rows), root, embedder, commit_rows=3).head()
+    assert (second["items"], second["pending"]) == (12 - kept, 0)
+    assert len(list(calls.iterdir())) == 12 - kept and index.read_index(spark, root).count() == 12
+    assert index.current_manifest(spark, root).writes > 2
+
+
 def point(spark, rows):
     return spark.createDataFrame(
         [(i, [float(x) for x in v], r, "h" + i) for i, v, r in rows],
