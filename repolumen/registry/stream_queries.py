@@ -57,10 +57,14 @@ walk AS (
   FROM walk w JOIN rows r ON r.source = w.source AND r.n = w.n + 1) """
 
 
+_RANGE_FILES = 4
+
+
 def _as_stream(df, name, parts=3):
     """The rows as a file stream, in time order over a few micro-batches.
 
-    One write per time range, oldest first: a file stream takes files by age.
+    One write of several files per time range, oldest first: a file stream takes files
+    by age, and each micro-batch as many as a range has.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -69,8 +73,8 @@ def _as_stream(df, name, parts=3):
     for low, high in zip([None, *bounds], [*bounds, None]):
         part = df if low is None else df.where(at >= low)
         part = part if high is None else part.where(at < high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+        part.repartition(_RANGE_FILES).write.mode("append").parquet(path)
+    reader = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", _RANGE_FILES)
     return reader.parquet(path)
 
 
