@@ -2,15 +2,17 @@
 
 The walk of Chakraborty, Goldenberg and Koucky embeds a string so that few edits
 become few differing places: at step ``j`` it writes the current word and moves on if
-bit ``j`` of a random function of that word says so. What it writes within so many steps
-depends on as many words only.
-
-An item that may hold ``k`` edits is cut into ``k + 1`` pieces over its whole length. An
-edit touches one piece, so one piece at least is whole in the document, wherever the
-edits are. Each piece is an anchor: it is embedded by several walks for as many steps
-as surely stay inside it, and places of a document where all walks write the same are
-candidates. None is lost. Those with too few pairs of the item around them are passed
-over, and the edit distance of the others is worked out exactly.
+bit ``j`` of a random function of that word says so. Edit distance so becomes Hamming
+distance, and that is searched by sampling: a repetition looks at a few steps of one
+walk, and windows that write the same there are candidates.
+
+A walk is embedded from anchors along the whole item, over the window of what follows,
+so edits that gather in one part leave the windows of other parts alone. How many
+repetitions an item gets follows from the recall wanted, the part of steps in which
+windows agree when all edits allowed are spent, and the steps of a sample. Only places of
+a document that have enough pairs of neighbouring words of items around them are
+embedded: an edit breaks two pairs at most, so that filter loses nothing. Of candidates
+the edit distance is worked out exactly.
 """
 
 from __future__ import annotations
@@ -31,8 +33,19 @@ from repolumen.session import cut_lineage
 
 #: Edits allowed, as a part of an item's words.
 EDITS = 0.2
-#: Walks that embed a piece. More of them cover more of its words, so fewer places agree by chance.
-WALKS = 4
+#: Part of the items with all edits allowed that the sampled repetitions of one item must meet.
+RECALL = 0.9999
+#: Part of the steps in which the windows of an item and its edited copy agree at least, in the mean over
+#: anchors, when a fifth of the words is replaced, left out or added all over the item.
+AGREEMENT = 0.4
+#: Steps that a repetition looks at.
+SAMPLED = 3
+#: Independent walks; repetitions take turns between them.
+WALKS = 16
+#: Anchors of an item, about, words between them, words of a window at least, and steps of a walk at most.
+ANCHORS, ANCHOR_WORDS, LEAST_WINDOW, MOST_STEPS = 6, 8, 8, 64
+#: Places of a document embedded at once.
+_PLACES = 8192
 #: Items of so many characters are broadcast at once; more are worked through in blocks.
 BLOCK_CHARS = 4_000_000
 _SEED = 0x5EED
@@ -118,8 +131,8 @@ class Items:
     own_pairs: list[np.ndarray]
     #: A row of chance bits for each walk: bit ``j`` moves the walk on from a word at step ``j``.
     moves: np.ndarray
-    #: Steps, marks of the keys, and key to ``(item, anchor)``.
-    tables: list[tuple[int, Marks, dict[int, list[tuple[int, int]]]]]
+    #: Steps of a walk, repetitions, marks of the keys, and key to ``(item, anchor)``.
+    tables: list[tuple[int, int, Marks, dict[int, list[tuple[int, int]]]]]
     #: Sizes of items from and to, which are looked for together.
     sizes: list[tuple[int, int]]
 
@@ -142,25 +155,50 @@ def _walk(codes: np.ndarray, starts: np.ndarray, moves: np.ndarray, steps: int)
     return out
 
 
-def _keys(codes: np.ndarray, starts: np.ndarray, moves: np.ndarray, lengths: Sequence[int]) -> dict[int, np.ndarray]:
-    """What all walks write from each start, as one hash for each number of steps in ``lengths``."""
-    walks = [_walk(codes, starts, own, max(lengths)).astype(np.uint64) for own in moves]
-    key, out = np.zeros(len(starts), np.uint64), {}
+def _samples(steps: int, repetitions: int) -> np.ndarray:
+    """The steps that each repetition looks at: a row of ``SAMPLED`` for each, the same on every machine."""
+    random = np.random.default_rng([_SEED, steps])
+    rows = [np.sort(random.permutation(steps)[:SAMPLED]) for _ in range(repetitions)]
+    return np.array(rows, np.int64).reshape(repetitions, -1)
+
+
+def _walks(codes: np.ndarray, starts: np.ndarray, moves: np.ndarray, steps: int) -> list[np.ndarray]:
+    """What each walk writes from each start; a shorter walk is the beginning of a longer one."""
+    return [_walk(codes, starts, own, steps).astype(np.uint64) for own in moves]
+
+
+def _keys(walks: list[np.ndarray], steps: int, repetitions: int) -> Iterator[np.ndarray]:
+    """What the sampled ones of so many steps write, as one hash for each repetition."""
     with np.errstate(over="ignore"):
-        for step in range(max(lengths)):
-            for written in walks:
-                key = (key + written[step] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        for number, sample in enumerate(_samples(steps, repetitions)):
+            walk = walks[number % len(walks)]
+            key = np.full(walk.shape[1], number * 1_000_003 + steps, np.uint64)
+            for step in sample.tolist():
+                key = (key + walk[step] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(31)
-            if step + 1 in lengths:
-                out[step + 1] = key
-    return out
+            yield key
+
+
+def anchors(words: int) -> list[int]:
+    """Where windows of an item begin, as long as a window of some words is left; closer in short items."""
+    apart = min(ANCHOR_WORDS, max(2, words // ANCHORS))
+    return [0, *range(apart, words - LEAST_WINDOW + 1, apart)]
+
+
+def walk_steps(words: int) -> int:
+    """Steps of the walk over a window of so many words: a power of two, so that windows share samples.
+
+    A walk moves on at every second step in the mean, and mostly stays inside the window.
+    """
+    return min(MOST_STEPS, 1 << max(1, words * 3 // 2).bit_length() - 1)
 
 
-def pieces(words: int) -> list[tuple[int, int]]:
-    """``[from, to)`` of the pieces of an item: one more than it may hold edits."""
-    n = allowed_edits(words) + 1
-    edges = [words * i // n for i in range(n + 1)]
-    return list(zip(edges, edges[1:]))
+def repetitions(words: int) -> int:
+    """Repetitions for each anchor of an item, so that all together reach the recall."""
+    if allowed_edits(words) == 0:
+        return 1
+    chance = AGREEMENT ** min(SAMPLED, walk_steps(words))
+    return max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - chance) / len(anchors(words))))
 
 
 def prepare(items: Sequence[tuple[int, str]]) -> Items:
@@ -175,18 +213,20 @@ def prepare(items: Sequence[tuple[int, str]]) -> Items:
     moves[:, 0] = np.uint64((1 << 64) - 1)
     groups: dict[int, list[tuple[int, int]]] = {}
     for number, words in enumerate(coded):
-        for anchor, end in pieces(len(words)):
-            groups.setdefault(end - anchor, []).append((number, anchor))
-    flat = np.array([c for w in coded for c in (*w, 0)] or [0], np.int64)
-    begin = np.cumsum([0, *(len(w) + 1 for w in coded)])
+        for anchor in anchors(len(words)):
+            groups.setdefault(walk_steps(len(words) - anchor), []).append((number, anchor))
+    # Behind an item a walk writes nothing, as behind a document.
+    flat = np.array([c for w in coded for c in (*w, *[0] * MOST_STEPS)] or [0], np.int64)
+    begin = np.cumsum([0, *(len(w) + MOST_STEPS for w in coded)])
     tables = []
     for steps, members in sorted(groups.items()):
+        rounds = np.array([repetitions(len(coded[number])) for number, _ in members])
         starts = np.array([begin[number] + anchor for number, anchor in members])
-        keys = _keys(flat, starts, moves, [steps])[steps]
         table: dict[int, list[tuple[int, int]]] = {}
-        for key, member in zip(keys.tolist(), members):
-            table.setdefault(key, []).append(member)
-        tables.append((steps, Marks(keys), table))
+        for number, keys in enumerate(_keys(_walks(flat, starts, moves, steps), steps, rounds.max())):
+            for i in np.flatnonzero(rounds > number).tolist():
+                table.setdefault(int(keys[i]), []).append(members[i])
+        tables.append((steps, int(rounds.max()), Marks(np.array(list(table), np.uint64)), table))
     sizes: list[tuple[int, int]] = []
     for size in sorted({len(w) for w in coded}):
         if sizes and size <= 1.25 * sizes[-1][0]:
@@ -224,17 +264,21 @@ def _possible(codes: np.ndarray, items: Items) -> np.ndarray:
     return possible & (codes > 0)
 
 
-def _candidates(codes: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
-    """``(item, place, anchor)``: places where the piece of the item that begins at ``anchor`` may begin."""
-    starts = np.flatnonzero(_possible(codes, items))
-    if not len(starts):
-        return
-    found = _keys(codes, starts, items.moves, [steps for steps, _, _ in items.tables])
-    for steps, marks, table in items.tables:
-        keys = found[steps]
-        for i in np.flatnonzero(marks.has(keys)).tolist():
-            for number, anchor in table.get(int(keys[i]), ()):
-                yield number, int(starts[i]), anchor
+def _candidates(codes: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ``(item, place, anchor)``: places where the window of the item from ``anchor`` on may begin."""
+    places = np.flatnonzero(_possible(codes, items))
+    found: list[tuple[int, int, int]] = []
+    for first in range(0, len(places), _PLACES):
+        starts = places[first : first + _PLACES]
+        walks = _walks(codes, starts, items.moves, max(steps for steps, _, _, _ in items.tables))
+        for steps, rounds, marks, table in items.tables:
+            for keys in _keys(walks, steps, rounds):
+                at = np.flatnonzero(marks.has(keys))
+                for start, key in zip(starts[at].tolist(), keys[at].tolist()):
+                    for number, anchor in table.get(key, ()):
+                        found.append((number, start, anchor))
+    rows = np.unique(np.array(found, np.int64).reshape(-1, 3), axis=0)
+    return rows[:, 0], rows[:, 1], rows[:, 2]
 
 
 def find_items(texts: Sequence[str | None], items: Items) -> list[list[tuple[int, int, int, int, int]]]:
@@ -264,21 +308,25 @@ def _find_in(parts: list[np.ndarray], items: Items) -> Iterator[tuple[int, dict[
     gap = np.zeros(1, np.int64)
     codes = np.concatenate([x for part in parts for x in (part, gap)])
     begin = np.cumsum([0, *(len(part) + 1 for part in parts)])
-    regions: dict[tuple[int, int], list[list[int]]] = {}
-    for number, start, anchor in sorted(set(_candidates(codes, items)), key=lambda c: (c[0], c[1] - c[2])):
-        size, place = len(items.words[number]), start - anchor
-        margin = 2 * allowed_edits(size) + 1
-        # The piece lies in the text, also where its item would begin before it.
-        text = int(np.searchsorted(begin, start, "right")) - 1
-        lo = max(place - margin, int(begin[text]))
-        hi = min(place + size + margin, int(begin[text + 1]) - 1)
-        own = regions.setdefault((text, number), [])
-        if own and lo <= own[-1][1]:
-            own[-1][1] = max(own[-1][1], hi)
-        elif lo < hi:
-            own.append([lo, hi])
+    regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    number, start, anchor = _candidates(codes, items)
+    sizes = np.array([len(w) for w in items.words])[number]
+    margin = 2 * (sizes * EDITS).astype(np.int64) + 1
+    # The window lies in the text, also where its item would begin before it.
+    text = np.searchsorted(begin, start, "right") - 1
+    lo = np.maximum(start - anchor - margin, begin[text])
+    hi = np.minimum(start - anchor + sizes + margin, begin[text + 1] - 1)
+    order = np.lexsort((lo, number, text))
+    order = order[lo[order] < hi[order]]
+    text, number, lo, hi = text[order], number[order], lo[order], hi[order]
+    # Stretches of one item in one text that meet are one; ends ascend with beginnings.
+    apart = (text[1:] != text[:-1]) | (number[1:] != number[:-1]) | (lo[1:] > hi[:-1])
+    first = np.flatnonzero(np.append(True, apart)[: len(text)])
+    last = np.append(first[1:], len(text)) - 1
+    for i, j in zip(first.tolist(), last.tolist()):
+        regions.setdefault((int(text[i]), int(number[i])), []).append((int(lo[i]), int(hi[j])))
     found: dict[int, dict[int, tuple[int, int, int]]] = {}
-    for (text, number), own in sorted(regions.items()):
+    for (text, number), own in regions.items():
         pattern, pairs = items.words[number], items.own_pairs[number]
         least = kept_pairs(len(pattern))
         for lo, hi in own:
@@ -324,7 +372,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS
 
     A row for each row of ``docs`` (doc_id, text) and item (item_id, text) whose words
     lie in the text with at most a fifth of them edited, at the nearest stretch (code
-    points). Items of equal text are one, named by the smallest id; items without a
+    points). Unedited items are always met, edited ones with the recall ``RECALL`` by
+    design. Repeated rows come back repeated; other columns are not looked at. Items of equal text are one, named by the smallest id; items without a
     word, or without an id, and null or empty texts match nothing.
     """
     found = None
