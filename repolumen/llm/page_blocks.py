@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,8 +17,9 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _DIGITS = re.compile(r"\d+")
 
-#: Elements whose content is not text of the page.
+#: Elements whose content is not text of the page, and those of them that hold elements of their own name.
 RAW = frozenset("script style noscript template svg iframe select textarea title object canvas video audio".split())
+NESTED = frozenset("svg object canvas video audio template noscript select".split())
 #: Elements that make up the path of a block.
 CONTAINERS = frozenset(
     "html head body div section article main nav header footer aside form ul ol dl table figure details"
@@ -38,6 +41,14 @@ ASIDE_WORDS = frozenset(
     " pagination pager search contentinfo complementary dialog paywall".split()
 )
 OUTER_ASIDE_WORDS = frozenset(["header", "masthead", "topbar"])
+#: Words that may stand beside them in a name. Inside the article a name with any other word tells of its subject.
+LAYOUT_WORDS = frozenset(
+    "area articles author bar block body bottom box btn button buttons card cards center code col column container"
+    " content count desktop entry fixed flex form full grid group head heading icon icons inline inner input item items"
+    " label large layout left link links list main mobile module mpu new news outer page pages panel post posts primary"
+    " right row section sections slot small space sticky stories story tab text thread title to tools top unit us"
+    " view wide wrap wrapper with".split()
+)
 #: The few of them that an article element itself must not carry.
 ARTICLE_WORDS = frozenset("ad ads advert advertisement promo sponsored related comment comments reply replies".split())
 
@@ -62,6 +73,7 @@ class Block:
 def _events(page: str) -> Iterator[tuple[str, str, str]]:
     """``(kind, name, rest)``: open and close tags with attributes, and raw text."""
     at, n = 0, len(page)
+    nested: dict[str, dict[int, int]] = {}
     while at < n:
         start = page.find("<", at)
         if start < 0:
@@ -102,7 +114,12 @@ def _events(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
             continue
         yield "open", name, page[tag.end() : end]
-        if name in RAW:
+        if name in NESTED:
+            if page[end - 1] != "/":
+                if name not in nested:
+                    nested[name] = _nested_ends(page, name)
+                at = nested[name].get(start, at)
+        elif name in RAW:
             closing = re.compile(f"</{name}", re.I).search(page, at)
             if not closing:
                 return
@@ -110,13 +127,30 @@ def _events(page: str) -> Iterator[tuple[str, str, str]]:
             at = n if end < 0 else end + 1
 
 
-def _words(attributes: str) -> tuple[set[str], bool, str]:
-    """Words of class, id and role; whether the element is hidden; a label without numbers."""
-    words, hidden, label = set(), False, ""
+def _nested_ends(page: str, name: str) -> dict[int, int]:
+    """Where the elements of ``name`` end, by where they open; those that are never closed are left out."""
+    ends, opened = {}, []
+    for tag in _nested_tags(name).finditer(page):
+        if tag[1]:
+            if opened:
+                ends[opened.pop()] = tag.end()
+        elif not tag[2]:
+            opened.append(tag.start())
+    return ends
+
+
+@functools.cache
+def _nested_tags(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])[^>]*?(/?)>", re.I)
+
+
+def _words(attributes: str) -> tuple[list[list[str]], bool, str]:
+    """Words of each name in class, id and role; whether the element is hidden; a label without numbers."""
+    names, hidden, label = [], False, ""
     for match in _ATTRIBUTE.finditer(attributes):
         name, value = match[1].lower(), (match[2] or "").strip("\"'")
         if name in ("class", "id", "role"):
-            words.update(w.lower() for w in _NAME.findall(value))
+            names += [[w.lower() for w in _NAME.findall(part)] for part in value.split()]
             label += "." + _DIGITS.sub("0", value)
         elif name == "hidden":
             hidden = True
@@ -124,18 +158,26 @@ def _words(attributes: str) -> tuple[set[str], bool, str]:
             hidden |= value.lower() == "true"
         else:
             hidden |= "display:none" in value.replace(" ", "").lower()
-    return words, hidden, label
+    return names, hidden, label
+
+
+def _names_aside(words: list[str]) -> bool:
+    """Inside the article a whole name must tell of an aside: ``share-buttons`` does, ``share-of-market`` not."""
+    return any(w in ASIDE_WORDS for w in words) and all(w in ASIDE_WORDS or w in LAYOUT_WORDS or len(w) < 2 for w in words)
 
 
 def _enter(parent: Place, name: str, attributes: str) -> Place:
-    words, hidden, label = _words(attributes) if attributes else (set(), False, "")
-    main = parent.main or name in ("article", "main") or "main" in words & {"main"} and name in ("div", "section")
+    names, hidden, label = _words(attributes) if attributes else ([], False, "")
+    words = {w for own in names for w in own}
+    main = parent.main or name in ("article", "main") or "main" in words and name in ("div", "section")
     if name in ("html", "body", "main"):
         marked = False
     elif name == "article":
         marked = bool(words & ARTICLE_WORDS)
+    elif parent.main:
+        marked = any(map(_names_aside, names))
     else:
-        marked = bool(words & ASIDE_WORDS) or not parent.main and bool(words & OUTER_ASIDE_WORDS)
+        marked = bool(words & (ASIDE_WORDS | OUTER_ASIDE_WORDS))
     aside = parent.aside or hidden or marked or name in ASIDE or not parent.main and name in OUTER_ASIDE
     key = f"{parent.path}/{name}{label}".encode()
     return Place(name, xxhash.xxh64_intdigest(key) >> 1, aside, main)
@@ -148,6 +190,7 @@ def page_blocks(page: str | None) -> tuple[list[Block], list[Place]]:
     """Blocks outside of asides in page order, and every container in the order it opens."""
     blocks: list[Block] = []
     stack, opened = [ROOT], [ROOT]
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
     links, in_link = 0, False
 
@@ -176,8 +219,12 @@ def page_blocks(page: str | None) -> tuple[list[Block], list[Place]]:
             if kind == "open":
                 stack.append(_enter(stack[-1], name, rest))
                 opened.append(stack[-1])
-            elif any(place.name == name for place in stack):
-                while stack.pop().name != name:
-                    pass
+                open_names[name] += 1
+            elif open_names[name]:
+                while True:
+                    left = stack.pop().name
+                    open_names[left] -= 1
+                    if left == name:
+                        break
     end_block()
     return blocks, opened

@@ -8,6 +8,7 @@ import json
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -291,6 +292,25 @@ def test_page_scan_is_linear_and_total():
         page_blocks.page_blocks(page)
 
 
+def test_raw_elements_and_names_inside_the_article():
+    def texts(page):
+        return [block.text for block in page_blocks.page_blocks(page)[0]]
+
+    assert texts('<article><p>a</p><svg class="i"/><p>b</p></article>') == ["a", "b"]
+    assert texts("<article>a<svg><g><svg>x</svg></g>y</svg>b<canvas>z</canvas></article>") == ["ab"]
+    assert texts("<article><p>a</p><object><p>b</p></article>") == ["a", "b"]
+    assert texts('<article><div id="share-of-market">a</div><div class="search-results">b</div></article>') == ["a", "b"]
+    assert texts('<article><p>a</p><div class="share-buttons">b</div><div class="box ad">c</div></article>') == ["a"]
+
+
+def test_stray_tags_and_keyword_runs_take_linear_time():
+    start = time.process_time()
+    page_blocks.page_blocks("<div>" * 30_000 + "</section>" * 30_000)
+    page_blocks.page_blocks("<svg>" * 30_000)
+    secret_scan.find_secrets("eyJ" * 100_000)
+    assert time.process_time() - start < 20
+
+
 # --- op5 ------------------------------------------------------------------------
 
 
