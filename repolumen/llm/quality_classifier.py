@@ -143,11 +143,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     """Weights by slot, learnt from at most ``rows`` labelled documents.
 
     Rows with a crc32 of the id divisible by 5, without a label of 0 or 1, or without
-    a document are not used. No rows: all weights are 0, every score one half.
+    a document are not used. Repeated ids count once, by their lowest label and text;
+    other columns are not looked at. No rows: all weights are 0, every score one half.
     """
     sample = cut_lineage(sample_of(labels, rows), "label-sample")
-    # Bounded by ``rows``.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # Bounded by ``rows``: of several texts of one id the first is learnt from.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = labelled.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def vectors(texts):
         made = [features(t) for t in texts]

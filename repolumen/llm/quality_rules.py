@@ -134,12 +134,15 @@ def with_quality(docs: DataFrame, keep: Sequence[str] | None = None) -> DataFram
     def compute(texts):
         return list(zip(*map(measure, texts))) if texts else [[]] * 8
 
-    named = with_text_columns(docs.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "text", compute, FIELDS, [*(docs.columns if keep is None else keep), "_bytes"])
+    size = "_bytes"
+    while size in docs.columns:
+        size += "_"
+    named = with_text_columns(docs.withColumn(size, F.coalesce(F.octet_length("text"), F.lit(0))), "text", compute, FIELDS, [*(docs.columns if keep is None else keep), size])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     within = F.lit(False)
     for low, band in zip((0, *(b.below for b in BANDS)), BANDS):
         within = within | (
-            (F.col("_bytes") >= low) & (F.col("_bytes") < band.below) & F.col("whole_ratio").between(band.least, band.most)
+            (F.col(size) >= low) & (F.col(size) < band.below) & F.col("whole_ratio").between(band.least, band.most)
         )
     chunks_ok = F.col("n_bad_chunks") <= F.col("n_chunks") * BAD_CHUNKS
-    return named.withColumns({"base_failed": failed, "kept": ~failed & within & chunks_ok}).drop("_bytes")
+    return named.withColumns({"base_failed": failed, "kept": ~failed & within & chunks_ok}).drop(size)

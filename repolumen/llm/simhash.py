@@ -168,11 +168,9 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, crowd: int = CROWD) ->
         calm, crowded = split_crowds(rows, ("kind", "value"), crowd)
         left, right = calm.alias("l"), calm.alias("r")
         differ = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-        in_budget = functools.reduce(
-            Column.__and__,
-            [_chain_within(differ, F.col("l.start"), distance, upto) for upto in range(length + 1, n)],
-            F.bit_count(differ) <= distance,
-        )
+        # Ever longer chains prune; the whole fingerprints are compared where all of them held.
+        chains = [_chain_within(differ, F.col("l.start"), distance, upto) for upto in range(length + 1, n)]
+        in_budget = functools.reduce(Column.__and__, [*chains, F.bit_count(differ) <= distance])
         same = (F.col("l.kind") == F.col("r.kind")) & (F.col("l.value") == F.col("r.value"))
         pairs = left.join(right, same & (F.col("l.fp") < F.col("r.fp")) & in_budget)
         found = pairs.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))

@@ -105,12 +105,11 @@ def judge_urls(
     best = hits.groupBy("of_host", "of_path").agg(
         F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("best")
     )
-    return judged.join(
-        best, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left"
-    ).select(
-        *[F.col(f"`{c}`") for c in spare],
-        "host",
-        "path",
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.action", F.lit(otherwise)).alias("verdict"),
+    same = (F.col("page.host") == F.col("found.of_host")) & (F.col("page.path") == F.col("found.of_path"))
+    return judged.alias("page").join(best.alias("found"), same, "left").select(
+        *[F.col(f"page.`{c}`") for c in spare],
+        "page.host",
+        "page.path",
+        F.col("found.best.rule").alias("rule"),
+        F.coalesce("found.best.action", F.lit(otherwise)).alias("verdict"),
     )

@@ -539,3 +539,31 @@ def test_near_copies_by_blocks_of_words(spark):
     assert len(links) >= 30
     kept = near_copies.drop_near_copies(documents(spark, texts)).collect()
     assert {r["doc_id"] for r in kept} == set(roots_of(len(texts), links))
+
+
+# --- names and repeated rows -----------------------------------------------------
+
+
+def test_columns_with_clashing_names(spark):
+    pages = spark.createDataFrame([("http://a.org/x", "h", 1, 2)], "url string, of_host string, of_path int, best int")
+    found = url_rules.judge_urls(pages, url_rules.rule_table(spark, [("org/", "allow")])).head()
+    assert (found["of_host"], found["of_path"], found["best"], found["rule"]) == ("h", 1, 2, "org/")
+    docs = documents(spark, ["a b " * 50]).withColumn("_bytes", F.lit("kept")).withColumn("_copy", F.lit("too"))
+    assert quality_rules.with_quality(docs).head()["_bytes"] == "kept"
+    assert near_copies.drop_near_copies(docs).head()["_copy"] == "too"
+
+
+def test_repeated_ids_are_learnt_from_once(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    texts = [f"word{i % 2} and more {i}" for i in range(40)]
+    once = quality_classifier.train(documents(spark, texts), labels)
+    twice = quality_classifier.train(documents(spark, texts * 3, [*range(40)] * 3), labels)
+    assert (once == twice).all()
+
+
+def test_leaks_are_decided_by_text(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = documents(spark, [item, f"x {item} y", "clean words only", None], [None, 5, 5, None])
+    left = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, ""), (5, "clean words only")]
