@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repolumen.session import cut_lineage
+
 README_PATH = "readme.md"
 
 
@@ -34,12 +37,26 @@ def last_commits(commits: DataFrame) -> DataFrame:
     )
 
 
+def with_place(df: DataFrame) -> DataFrame:
+    """``df`` with ``place``: where each row stands in its Parquet files.
+
+    What is not read from Parquet files has no such place; it is written out once.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return df.select("*", place.alias("place"))
+    except AnalysisException:
+        row = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+        return cut_lineage(df.withColumn("place", row), "placed-rows")
+
+
 def export_readmes(files: DataFrame, contents: DataFrame, commits: DataFrame) -> DataFrame:
     """One record per distinct README, newest commit first, unknown commits last.
 
-    Everything narrow is folded before content joins in: (blob, repository)
-    pairs, then one row per blob. A blob shared by very many repositories so
-    meets its content once. Sorting also by hash splits runs of equal dates.
+    Everything narrow is folded before content joins in: (blob, repository) pairs, one
+    row per blob, and of the rows that hold a blob's text the first place. Only then
+    are texts looked at: the row at that place passes a hash join, and no text is sorted
+    or folded on the way. Sorting also by hash splits runs of equal dates.
     """
     pairs = root_readmes(files).select("id", "repo_name").distinct()
     per_blob = (
@@ -47,14 +64,17 @@ def export_readmes(files: DataFrame, contents: DataFrame, commits: DataFrame) ->
         .groupBy("id")
         .agg(F.min("repo_name").alias("repo_name"), F.max("last_commit").alias("last_commit"))
     )
-    texts = (
-        text_contents(contents)
-        .select("id", "content")
+    texts = with_place(text_contents(contents).select("id", "content"))
+    places = (
+        texts.select("id", "place.file", "place.row")
         .groupBy("id")
-        .agg(F.min("content").alias("content"))
+        # Any row of a file will do: rows of one blob have one text.
+        .agg(F.min("file").alias("file"), F.min_by("row", "file").alias("row"))
     )
+    chosen = per_blob.join(places, "id").hint("shuffle_hash")
+    found = texts.select("id", F.col("place.file").alias("file"), F.col("place.row").alias("row"), "content")
     return (
-        per_blob.join(texts, "id")
+        found.join(chosen, ["id", "file", "row"])
         .select(F.col("id").alias("content_hash"), "repo_name", "content", "last_commit")
         .orderBy(F.desc_nulls_last("last_commit"), "content_hash")
     )

@@ -136,7 +136,8 @@ class BestRows:
 
 def _hit_schemas(index: DataFrame, columns: list[str]) -> tuple[T.StructType, pa.Schema]:
     """Schema of local hits, for Spark and for Arrow."""
-    fields = [T.StructField(n, t) for n, t in (("qid", T.LongType()), ("k", T.LongType()), ("score", T.DoubleType()))]
+    # Never null: a join on ``qid`` must not filter one use of the hits and so score twice.
+    fields = [T.StructField(n, t, False) for n, t in (("qid", T.LongType()), ("k", T.LongType()), ("score", T.DoubleType()))]
     out = T.StructType([*fields, *(index.schema[c] for c in columns)])
     kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string(), T.DoubleType(): pa.float64()}
     return out, pa.schema([(f.name, kinds[f.dataType]) for f in out])

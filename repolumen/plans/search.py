@@ -47,16 +47,24 @@ def search(
 def search_hypothetical(
     queries: DataFrame,
     index: DataFrame,
-    make_generate: Callable[[], Callable[[str], str]],
+    generated: DataFrame | Callable[[], Callable[[str], str]],
     embedder: Embedder,
     readmes: DataFrame | None = None,
     default_limit: int = DEFAULT_LIMIT,
 ) -> DataFrame:
-    """Search with the vector of a document written for the query; returns it too."""
+    """Search with the vector of a document written for the query; returns it too.
+
+    ``generated`` is a table of documents (``qid, hypothetical_doc``) written before, or
+    makes a generator, which is called for every query. Queries without a document
+    have no results.
+    """
     asked = answerable(queries, default_limit)
-    written = cut_lineage(
-        generate_column(asked, make_generate, "query", "hypothetical_doc"), "hypothetical"
-    )
+    if isinstance(generated, DataFrame):
+        documents = generated.where("hypothetical_doc is not null").select("qid", "hypothetical_doc")
+        written = asked.join(documents, "qid")
+    else:
+        written = generate_column(asked, generated, "query", "hypothetical_doc")
+    written = cut_lineage(written, "hypothetical")
     vectors = embed_queries(written, embedder, "hypothetical_doc")
     hits = _search(written, vectors, index, embedder.dimension, readmes)
     return hits.join(written.select("qid", "query", "hypothetical_doc"), "qid")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -39,9 +40,13 @@ scored AS (
   FROM asked q, idx i),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER
   (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 10)"""
-_GENERATED = "'A repository about ' || text || ' It is documented.'"
 _TEXT_SEARCH = "WITH " + _TEXT.format(letters=I.letters_sql("text"), text="text")
-_HYDE_SEARCH = "WITH " + _TEXT.format(letters=I.letters_sql(f"({_GENERATED})"), text=_GENERATED)
+# The first user turn of a conversation asks, the assistant's first answer is the document written for it.
+_TALKS = f"""talks AS (SELECT conv_id AS qid, arg_min(text, turn) FILTER (role = 'user') AS query,
+    arg_min(text, turn) FILTER (role = 'assistant') AS doc FROM conversations GROUP BY conv_id),
+asked AS MATERIALIZED (SELECT qid, doc, {I.letters_sql("doc")} AS vector FROM talks
+  WHERE length(trim(query)) > 0 AND doc IS NOT NULL)"""
+_HYDE_SEARCH = "WITH " + re.sub(r"asked AS MATERIALIZED \(.*?> 0\)", lambda _: _TALKS, _TEXT, flags=re.S)
 _CONTENT = """best AS (SELECT repo_name, content FROM readmes
   WHERE branch IN ('HEAD', 'master', 'main') AND filename = 'README.md')"""
 _INFO = """info AS (SELECT source || '/' || doc_id AS repo_name, lang AS language,
@@ -213,11 +218,16 @@ def text_search(spark, sf_dir):
           LEFT JOIN best USING (repo_name)""",
 )
 def hypothetical(spark, sf_dir):
-    """Search by a generated document, content attached."""
+    """Search by the answers of conversations, content attached."""
+    turns = I.table(spark, sf_dir, "conversations")
+    first = lambda role: F.min_by("text", F.when(F.col("role") == role, F.col("turn")))
+    talks = turns.groupBy(F.col("conv_id").alias("qid")).agg(
+        first("user").alias("query"), first("assistant").alias("hypothetical_doc")
+    )
     found = search_hypothetical(
-        _text_queries(spark, sf_dir),
+        talks.select("qid", "query"),
         _text_index(spark, sf_dir),
-        lambda: lambda query: f"A repository about {query} It is documented.",
+        talks.select("qid", "hypothetical_doc"),
         I.letter_embedder(),
         I.readmes(spark, sf_dir),
     )

@@ -137,6 +137,21 @@ def test_export_equals_the_naive_join(spark):
     assert "NestedLoop" not in plan_of(df)
 
 
+def test_export_neither_sorts_nor_folds_texts(spark, tmp_path):
+    rows = [(f"b{i % 50}", f"text {i % 50}", False) for i in range(200)]
+    spark.createDataFrame(rows, "id string, content string, binary boolean").repartition(3).write.parquet(str(tmp_path / "c"))
+    contents = spark.read.parquet(str(tmp_path / "c"))
+    assert "place" in export.with_place(contents).columns
+    files = spark.createDataFrame([(f"b{i}", f"r{i}", "README.md") for i in range(0, 60, 2)], "id string, repo_name string, path string")
+    commits = spark.createDataFrame([], "repo_name array<string>, committer struct<date:struct<seconds:long>>")
+    df = export.export_readmes(files, contents, commits)
+    assert sorted((r["content_hash"], r["content"]) for r in df.collect()) == sorted((f"b{i}", f"text {i}") for i in range(0, 50, 2))
+    # Below the last sort, which is asked for, nothing but the join touches texts.
+    below = plan_of(df).split("rangepartitioning", 1)[1]
+    assert not [line for line in below.splitlines() if "Aggregate" in line and "content" in line]
+    assert "SortMergeJoin [id" not in below or "content" not in below.split("SortMergeJoin [id", 1)[0]
+
+
 def test_look_back_cutoff_comes_from_all_hosts(spark):
     visits = spark.sql(
         "SELECT origin, CAST(date AS TIMESTAMP_NTZ) AS date FROM VALUES"
