@@ -108,6 +108,38 @@ def candidate_urls(
     )
 
 
+def fetch_from_archive(
+    repos: DataFrame,
+    archive: DataFrame,
+    names: Sequence[str] = README_NAMES,
+    branches: Sequence[str] = WIDE_BRANCHES,
+    prefix: str = RAW_PREFIX,
+) -> DataFrame:
+    """One README per repository out of a stored crawl (``url``, ``body``; each URL once).
+
+    The first candidate that the archive holds wins, none is a 404. Addresses are
+    matched without the bodies; only those that won are then looked up. Columns are those
+    of :func:`fetch_readmes`; nothing is requested, so no time is taken.
+    """
+    wanted = repos.select("repo_name").distinct()
+    there = candidate_urls(wanted, names, branches, prefix).join(
+        archive.select("url").distinct(), "url", "left_semi"
+    )
+    first = there.groupBy("repo_name").agg(
+        F.min_by(F.struct("url", "branch", "filename"), "priority").alias("hit")
+    )
+    named = wanted.join(first.select("repo_name", "hit.*"), "repo_name", "left")
+    bodies = archive.select("url", F.col("body").alias("content"))
+    return named.join(bodies, "url", "left").select(
+        "repo_name",
+        "content",
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("branch", "filename")],
+        F.when(F.col("url").isNotNull(), 200).otherwise(404).cast("int").alias("status"),
+        F.lit(len(names)).cast("int").alias("candidates_tried"),
+        F.lit(0).cast("long").alias("fetch_ms"),
+    )
+
+
 def resolve_attempts(attempts: DataFrame) -> DataFrame:
     """One result per repository out of its logged attempts.
 

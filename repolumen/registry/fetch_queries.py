@@ -126,6 +126,29 @@ def resolved(spark, sf_dir):
     return fetch.resolve_attempts(I.attempts(spark, sf_dir))
 
 
+@register(
+    "s13_archive",
+    I.with_sql(I.READMES)
+    + """SELECT repo_name, CASE WHEN found THEN content END AS content, CASE WHEN found THEN branch ELSE '' END
+           AS branch, CASE WHEN found THEN filename ELSE '' END AS filename,
+           CAST(CASE WHEN found THEN 200 ELSE 404 END AS INT) AS status, CAST(12 AS INT) AS candidates_tried
+         FROM (SELECT *, branch IN ('main', 'master') AND lang <> 'es' AS found
+               FROM readmes JOIN (SELECT source || '/' || doc_id AS repo_name, lang FROM documents) USING (repo_name))""",
+)
+def archived(spark, sf_dir):
+    """Candidate addresses of all repositories looked up in a stored crawl."""
+    stored = I.readmes(spark, sf_dir)
+    langs = I.table(spark, sf_dir, "documents").select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("repo_name"), "lang"
+    )
+    address = F.concat(F.lit(fetch.RAW_PREFIX), F.concat_ws("/", "repo_name", "branch", "filename"))
+    archive = stored.join(langs.where("lang <> 'es'"), "repo_name").select(
+        address.alias("url"), F.col("content").alias("body")
+    )
+    found = fetch.fetch_from_archive(stored, archive)
+    return found.drop("fetch_ms")
+
+
 @register(
     "s13_fetch",
     I.with_sql(I.READMES)

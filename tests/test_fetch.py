@@ -175,3 +175,16 @@ def test_format_counts(spark):
         ("branch_file", "default", "README.md", 2),
         ("branch_file", "main", "a.rst", 1),
     ]
+
+
+def test_fetch_from_a_stored_crawl(spark):
+    repos = spark.createDataFrame([("o/a",), ("o/b",), ("o/c",), ("o/a",)], "repo_name string")
+    raw = fetch.RAW_PREFIX
+    rows = [(f"{raw}o/a/master/README.md", "second"), (f"{raw}o/a/main/README.md", "first"), (f"{raw}o/b/main/readme.md", None),
+            (f"{raw}o/z/main/README.md", "nobody")]
+    archive = spark.createDataFrame(rows, "url string, body string")
+    found = {r["repo_name"]: tuple(r)[1:] for r in fetch.fetch_from_archive(repos, archive, fetch.README_NAMES[:2]).collect()}
+    assert found["o/a"] == ("first", "main", "README.md", 200, 2, 0)
+    assert found["o/b"][3] in (200, 404) and found["o/c"] == (None, "", "", 404, 2, 0)
+    kinds = {r["repo_name"]: r["outcome"] for r in fetch.classify_outcomes(fetch.fetch_from_archive(repos, archive), 1).collect()}
+    assert kinds["o/c"] == "error"
