@@ -17,13 +17,15 @@ def dense_ids(
 
     The rows are range-partitioned and sorted, each with its place inside its
     partition, and written once to the shared folder. One counter per partition
-    then shifts the places. The order columns should be unique (ids are): equal
-    keys share a partition. Runs the write when called.
+    then shifts the places. Rows of equal order keys are told apart by where they come
+    from, so a key that very many rows share is spread over partitions as well. Runs
+    the write when called.
     """
-    keys = [F.col(c) for c in order_by]
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    keys = [*[F.col(c) for c in order_by], F.col("_from")]
+    traced = df.withColumn("_from", F.monotonically_increasing_id())
+    ranged = traced.repartitionByRange(partitions, *keys) if partitions else traced.repartitionByRange(*keys)
     placed = cut_lineage(
-        ranged.sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()),
+        ranged.sortWithinPartitions(*keys).drop("_from").withColumn("_place", F.monotonically_increasing_id()),
         "dense-ids",
     )
     part = F.shiftright("_place", _ROW_BITS)

@@ -152,6 +152,14 @@ def test_export_neither_sorts_nor_folds_texts(spark, tmp_path):
     assert "SortMergeJoin [id" not in below or "content" not in below.split("SortMergeJoin [id", 1)[0]
 
 
+def test_equal_keys_are_numbered_by_many_tasks(spark):
+    rows = spark.range(0, 20_000, 1, 4).select(F.lit("same").alias("key"), F.col("id").alias("n"))
+    numbered = numbering.dense_ids(rows, "key", partitions=8)
+    assert sorted(r["id"] for r in numbered.collect()) == list(range(1, 20_001))
+    sizes = numbered.groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) >= 6 and max(r["count"] for r in sizes) < 6000
+
+
 def test_look_back_cutoff_comes_from_all_hosts(spark):
     visits = spark.sql(
         "SELECT origin, CAST(date AS TIMESTAMP_NTZ) AS date FROM VALUES"
