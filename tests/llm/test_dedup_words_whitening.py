@@ -10,7 +10,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from repolumen.llm import exact_dedup, queries, quotient_filter, spelling, whitening
 from tests.compare import connect, differences
