@@ -10,7 +10,7 @@ from repolumen.llm.exact_dedup import exact_duplicates
 from repolumen.llm.power_packing import cut_documents, in_buckets
 from repolumen.llm.quality_classifier import train, with_score
 from repolumen.llm.quality_rules import with_quality
-from repolumen.llm.secret_scan import KINDS, span_list, with_secrets
+from repolumen.llm.secret_scan import BASE, KINDS, span_list, with_secrets
 from repolumen.llm.sharding import balanced_shards
 from repolumen.llm.simhash import simhash_components
 from repolumen.llm.spelling import spelling_variants
@@ -94,10 +94,12 @@ FROM split LEFT JOIN found ON split.host = found.host AND split.path = found.pat
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: base counts and digest, and all spans."""
     found = with_secrets(_table(spark, sf_dir, "documents"), ["doc_id"])
-    counts = {
-        f"n_{kind}": F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long")
-        for k, kind in enumerate(KINDS[:3])
-    }
+
+    def count(kind: int):
+        # A function of one argument: a second one would get the place in the list.
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{name}": count(kind) for kind, name in enumerate(KINDS[:BASE])}
     return found.select(
         "doc_id",
         *[column.alias(name) for name, column in counts.items()],
