@@ -40,6 +40,7 @@ SPAN_WINDOWS = 64  # windows per span
 FAN = 64  # spans whose summaries become one on the next level
 BROADCAST_CLIENTS = 500_000
 CHUNK_ROWS = 50_000
+STATE_BUCKETS = 1024  # groups of clients whose stream state is one row
 _NEVER = np.iinfo(np.int64).min
 
 
@@ -365,12 +366,15 @@ def stream_quota(
     window: timedelta = WINDOW,
     valid_keys: Iterable[str] = (),
     late: timedelta | None = None,
+    buckets: int = STATE_BUCKETS,
 ) -> DataFrame:
     """The same verdicts on a stream: two numbers of state per client.
 
-    Requests of one trigger are taken in time order; bound a trigger's size at
-    the source. With ``late``, a client is forgotten once its window is that far
-    in the past, and requests arriving later than that are dropped by the
+    Clients share the state of their bucket, and all requests of a bucket are decided in
+    one call: calls do not grow with the clients. The number of ``buckets`` stays as it is
+    while a checkpoint lives. Requests of one trigger are taken in time order; bound a
+    trigger's size at the source. With ``late``, a client is forgotten once its window is
+    that far in the past, and requests arriving later than that are dropped by the
     watermark; without it all clients are kept and nothing is dropped.
     """
     width = _micros(window)
@@ -378,20 +382,29 @@ def stream_quota(
     def decide(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if state.hasTimedOut:  # the last window of the bucket is past
             state.remove()
             return
-        rows = pd.concat(batches)[["ts_us", "event_id"]].sort_values(["ts_us", "event_id"])
-        rows = rows.assign(client=key[0], span=0, weight=1, real=True)
-        if state.exists:
-            end, count = state.get
-            open_window = {"ts_us": end - width, "event_id": 0, "client": key[0], "span": 0,
-                           "weight": count, "real": False}
-            rows = pd.concat([pd.DataFrame([open_window]), rows], ignore_index=True)
+        rows = pd.concat(batches)[["client", "ts_us", "event_id"]].assign(weight=1, real=True)
+        clients, ends, counts = state.get if state.exists else ([], [], [])
+        kept = pd.DataFrame(
+            {"client": pd.Series(clients, dtype=object), "end_us": np.array(ends, dtype=np.int64), "rank": np.array(counts, dtype=np.int64)}
+        )
+        asking = kept["client"].isin(rows["client"].unique())
+        open_windows = kept[asking].rename(columns={"rank": "weight"})
+        open_windows = open_windows.assign(ts_us=open_windows.pop("end_us") - width, event_id=0, real=False)
+        if len(open_windows):
+            rows = pd.concat([open_windows[rows.columns], rows], ignore_index=True)
+        rows = rows.sort_values(["client", "real", "ts_us", "event_id"], ignore_index=True).assign(span=0)
         out = pd.concat(_resolve([rows], width))
-        state.update((int(out["end_us"].iat[-1]), int(out["rank"].iat[-1])))
+        kept = kept[~asking]
+        if late is not None:
+            kept = kept[kept["end_us"] // 1000 >= state.getCurrentWatermarkMs()]
+        last = out.drop_duplicates("client", keep="last")[kept.columns]
+        kept = pd.concat([kept, last]) if len(kept) else last
+        state.update(tuple(kept[c].tolist() for c in kept.columns))
         if late is not None:
-            past_end = int(out["end_us"].iat[-1]) // 1000 + 1
+            past_end = int(kept["end_us"].max()) // 1000 + 1
             state.setTimeoutTimestamp(max(past_end, state.getCurrentWatermarkMs() + 1))
         yield out
 
@@ -402,11 +415,12 @@ def stream_quota(
             "at", f"{_micros(late)} microseconds"
         )
     ranked = (
-        limited.groupBy("client")
+        limited.withColumn("bucket", F.pmod(F.xxhash64("client"), F.lit(buckets)))
+        .groupBy("bucket")
         .applyInPandasWithState(
             decide,
             _RANKED,
-            "end_us long, rank long",
+            "client array<string>, end_us array<long>, rank array<long>",
             "append",
             GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout,
         )

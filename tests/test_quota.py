@@ -164,3 +164,27 @@ def test_health_of_one_busy_source_is_spread_over_tasks(spark):
     assert len(found) == 100_000 and max(abs(found[i] - x) for i, x in want.items()) < 1e-8
     now = {r["source"]: r["health_ms"] for r in health.current_health(rows).collect()}
     assert now == pytest.approx(state, abs=1e-8)
+
+
+def test_stream_shares_state_by_bucket(spark, tmp_path):
+    day = 86_400_000_000
+    schema = "event_id long, ts timestamp_ntz, forwarded_for string, api_key string, path string"
+    rows = [
+        (n, c, (n * 7 + c * 3) * 3_600_000_000 // 4 + (0 if n < 40 else 5 * day)) for c in range(30) for n in range(60) if (n + c) % 3
+    ]
+    made = [
+        (1000 * c + n, datetime(2024, 1, 1) + timedelta(microseconds=at), f"10.0.0.{c}", None, "/search") for n, c, at in rows
+    ]
+    made.sort(key=lambda r: r[1])
+    for i in range(3):  # a micro-batch each; some clients pause for days and are forgotten
+        part = made[i * len(made) // 3 : (i + 1) * len(made) // 3]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = quota.stream_quota(stream, 2, timedelta(hours=6), late=timedelta(days=1), buckets=2)
+    writer = found.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+    query = writer.start(f"{tmp_path}/out", format="parquet")
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 2
+    want = quota.apply_quota(spark.createDataFrame(made, schema), 2, timedelta(hours=6))
+    read = spark.read.schema(found.schema).parquet(f"{tmp_path}/out")
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, want.collect()))
