@@ -58,6 +58,7 @@ walk AS (
 
 
 _RANGE_FILES = 4
+_BATCHES = 3
 
 
 def _as_stream(df, name, parts=3):
@@ -160,11 +161,13 @@ def stream_ingest(spark, sf_dir):
 
     source, root = scratch_path(spark, "records"), scratch_path(spark, "index")
     records = I.readmes(spark, sf_dir).withColumn("content_hash", content_sha1(F.col("content")))
+    # Three micro-batches, of as many files as the table has splits: no file grows with the table.
+    files = -(-records.rdd.getNumPartitions() // _BATCHES)
     writers.write_readme_records(
-        records.select(*schemas.README_RECORD.fieldNames()).repartition(3), source
+        records.select(*schemas.README_RECORD.fieldNames()).repartition(_BATCHES * files), source
     )
     query = start_ingest(
-        read_record_stream(spark, source, files_per_trigger=1),
+        read_record_stream(spark, source, files_per_trigger=files),
         root,
         I.letter_embedder(),
         scratch_path(spark, "ingest-state"),

@@ -253,3 +253,22 @@ def test_compaction_stream_follows_the_ingest_stream(spark, tmp_path):
     assert [s.kind for s in made.segments] == [index.BASE] and index.read_index(spark, root).count() == 200
     start_compaction(spark, root, state, most_segments=2).awaitTermination()
     assert index.current_manifest(spark, root) == made
+
+
+def test_stream_ingest_input_is_written_in_as_many_files_as_the_table_has_splits(spark, tmp_path, monkeypatch):
+    from repolumen.registry import stream_queries
+
+    rows = [(i, f"text number {i} of many words {i * 7919}", "en", "s", 30) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    used, write = [], stream_queries.writers.write_readme_records
+    monkeypatch.setattr(
+        stream_queries.writers, "write_readme_records", lambda df, path: (used.append(df.rdd.getNumPartitions()), write(df, path))
+    )
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a split for each file
+    try:
+        assert stream_queries.stream_ingest(spark, str(tmp_path)).count() == 400
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert used == [9]
