@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repolumen.operators.scoring import PART_BYTES, rank_hits, score_cells, unit_rows, vector_matrix
+from repolumen.operators.scoring import PART_BYTES, grid_of, pairs_of_task, rank_hits, score_cells, unit_rows, vector_matrix
 from repolumen.session import cut_lineage
 
 MAX_CENTER_BYTES = 256 << 20  # centers are sent to every task
@@ -131,26 +131,30 @@ def cell_top_k(
     """Top-k over the ``probes`` nearest cells of each query.
 
     Only probed cells are read (partition pruning when stored by cell). A crowded cell is
-    cut into parts that a task can hold, and its queries go to all of them. Probing all
-    cells gives the exact result.
+    a grid of its own, by the scores to be computed in it. Probing all cells gives the
+    exact result.
     """
     dimension, spark = centers.shape[1], queries.sparkSession
     asked = cut_lineage(probed_cells(queries, centers, probes), "probes")
-    wanted = asked.groupBy("cell").agg(F.max("k").alias("k")).collect()
-    max_k = max((row["k"] for row in wanted), default=0)
-    rows = celled_index.where(F.col("cell").isin([row["cell"] for row in wanted]))
-    # A row for each center at most; numbers the parts of all cells.
-    part_rows, parts, cells = max(1, part_bytes // (8 * dimension)), [], 0
-    for row in rows.groupBy("cell").count().collect():
-        pieces = -(-row["count"] // part_rows)
-        parts.append((row["cell"], cells, pieces))
-        cells += pieces
-    table = F.broadcast(spark.createDataFrame(parts, "cell int, first long, pieces long"))
-    piece = F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces"))
-    held = rows.join(table, "cell").withColumn("cell", piece)
-    every = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("pieces") - 1))
-    asking = asked.join(table, "cell").withColumn("cell", every)
-    return rank_hits(score_cells(held, asking, dimension, list(payload), max(1, cells)), max_k)
+    wanted = {r["cell"]: r for r in asked.groupBy("cell").agg(F.max("k").alias("k"), F.count("*").alias("n")).collect()}
+    max_k = max((row["k"] for row in wanted.values()), default=0)
+    rows = celled_index.where(F.col("cell").isin(list(wanted)))
+    counts = {row["cell"]: row["count"] for row in rows.groupBy("cell").count().collect()}
+    pairs = pairs_of_task(spark, sum(wanted[c]["n"] * n for c, n in counts.items()))
+    # A row for each center at most; numbers the tasks of all cells.
+    grids, cells = [], 0
+    for cell, n in counts.items():
+        groups, slabs = grid_of(wanted[cell]["n"], n, dimension, wanted[cell]["k"] or 0, len(payload), pairs)
+        grids.append((cell, cells, groups, slabs))
+        cells += groups * slabs
+    table = F.broadcast(spark.createDataFrame(grids, "cell int, first int, groups int, slabs int"))
+    first, groups, slabs = F.col("first"), F.col("groups"), F.col("slabs")
+    slab, group = F.pmod(F.xxhash64("id"), slabs), F.pmod(F.xxhash64("qid"), groups)
+    every_group = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: first + slab * groups + g)
+    every_slab = F.transform(F.sequence(F.lit(0), slabs - 1), lambda s: first + s * groups + group)
+    held = rows.join(table, "cell").withColumn("cell", F.explode(every_group))
+    asking = asked.join(table, "cell").withColumn("cell", F.explode(every_slab))
+    return rank_hits(score_cells(held, asking, dimension, list(payload), max(1, cells), part_bytes), max_k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

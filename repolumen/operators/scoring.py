@@ -1,10 +1,10 @@
 """Exact top-k by cosine.
 
 A few queries are a small side of checked size: they travel to every task once and
-index rows stay where they are. Many queries meet the index in a grid: the index is
-cut into parts that a task can hold, every query goes to every part, and a task
-streams the queries past its part. Either way a task keeps only the best k rows per
-query, so what leaves it does not depend on how many rows it read.
+index rows stay where they are. Many queries meet the index in a grid: queries are cut
+into groups that a task can hold with their hits, the index into slabs, and a task
+streams its slab past its group, part by part. Either way a task keeps only the best k
+rows per query, so what leaves it does not depend on how many rows it read.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,9 @@ from repolumen.functions.vectors import cosine
 BLOCK_BYTES = 64 << 20  # vectors of broadcast queries, in double precision
 FEW_QUERIES = 256  # so many may always be broadcast
 SMALL_SHARE = 16  # more only if the index has so many times their number of rows
-PART_BYTES = 128 << 20  # vectors of an index part held by a task, in double precision
-LEAST_PART = 256  # rows of an index part at least, where all could be spread further
+PART_BYTES = 128 << 20  # vectors of an index part held by a task at once, in double precision
+HELD_BYTES = 256 << 20  # queries and their best rows held by a task of the grid
+LEAST_PAIRS, MOST_PAIRS = 1 << 22, 1 << 32  # scores computed by a task of the grid
 SCORE_CELLS = 1 << 22  # scores held at once by a task (32 MB)
 COMPACT_ROWS = 1 << 18  # candidates held before they are cut back to k per query, at least
 
@@ -92,9 +93,11 @@ class BestRows:
         if n == 0 or self.k == 0:
             return
         floor = self.floor[queries]
-        if n > self.k:
+        if n > self.k and np.isneginf(floor).any():
             floor = np.maximum(floor, np.partition(scores, n - self.k, axis=1)[:, n - self.k])
         at_query, at_row = np.nonzero(scores >= floor[:, None])
+        if not len(at_query):
+            return
         part = rows.take(pa.array(at_row)).to_pandas()
         part["_q"] = queries[at_query]
         part["_score"] = scores[at_query, at_row]
@@ -168,35 +171,30 @@ def score_block(
 
 
 def score_cells(
-    index: DataFrame, queries: DataFrame, dimension: int, payload: list[str], cells: int
+    index: DataFrame, queries: DataFrame, dimension: int, payload: list[str], cells: int, part_bytes: int = PART_BYTES
 ) -> DataFrame:
-    """Local top-k of every cell: index rows of a ``cell`` against the queries of that cell.
+    """Local top-k of every cell (0 to ``cells`` - 1): its index rows against its queries.
 
-    Both sides meet in one shuffle by cell, index rows first. A task holds the index
-    rows of one cell, which the caller has bounded, and streams the queries past them.
+    Both sides meet in one shuffle by cell, queries first. A task holds the queries of
+    one cell, which the caller has bounded, with their best rows, and streams the index
+    rows past them in parts of ``part_bytes`` at most.
     """
     columns = ["id", *payload]
     out, arrow_out = _hit_schemas(index, columns)
     kind = T.ArrayType(T.FloatType()) if index.schema["vector"].dataType == queries.schema["vector"].dataType == T.ArrayType(T.FloatType()) else T.ArrayType(T.DoubleType())
     nothing = F.lit(None)
-    at, vector = F.col("cell").cast("long").alias("cell"), F.col("vector").cast(kind).alias("vector")
-    held = index.select(at, F.lit(0).alias("side"), nothing.cast("long").alias("qid"), nothing.cast("long").alias("k"), *columns, vector)
+    at, vector = F.col("cell").cast("int").alias("cell"), F.col("vector").cast(kind).alias("vector")
+    held = index.select(at, F.lit(1).alias("side"), nothing.cast("long").alias("qid"), nothing.cast("long").alias("k"), *columns, vector)
     asked = queries.select(
-        at, F.lit(1).alias("side"), F.col("qid").cast("long").alias("qid"), F.col("k").cast("long").alias("k"),
+        at, F.lit(0).alias("side"), F.col("qid").cast("long").alias("qid"), F.col("k").cast("long").alias("k"),
         *[nothing.cast(index.schema[c].dataType).alias(c) for c in columns], vector,
     )
-    met = held.unionByName(asked).repartition(cells, "cell").sortWithinPartitions("cell", "side")
-
-    def answered(piece: pa.Table, names: pa.Table, units: np.ndarray) -> Iterator[pa.RecordBatch]:
-        step = max(1, SCORE_CELLS // len(units))
-        for start in range(0, piece.num_rows, step):
-            block = as_block(piece.slice(start, step), dimension)
-            best = BestRows(block, columns)
-            best.add(block.units @ units.T, names, np.arange(len(block.qids)))
-            yield best.result(arrow_out)
+    # A cell is a partition of its own: hashed, several could fall into one task.
+    met = held.unionByName(asked).repartitionById(cells, F.col("cell")).sortWithinPartitions("cell", "side")
+    part_rows = max(1, part_bytes // (8 * dimension))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows, ready = None, [], None
+        current, asking, best = None, [], None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             cell, side = table["cell"].to_numpy(), table["side"].to_numpy()
@@ -206,16 +204,24 @@ def score_cells(
                 if end == start:
                     continue
                 if cell[start] != current:
-                    current, rows, ready = cell[start], [], None
+                    if best is not None:
+                        yield best.result(arrow_out)
+                    current, asking, best = cell[start], [], None
                 if side[start] == 0:
-                    rows.append(piece.select([*columns, "vector"]))
+                    asking.append(piece.select(["qid", "k", "vector"]))
                     continue
-                if ready is None and rows:
-                    whole = pa.concat_tables(rows)
-                    ready = whole.select(columns).combine_chunks(), unit_rows(vector_matrix(whole["vector"], dimension))
-                    rows = []
-                if ready is not None:
-                    yield from answered(piece, *ready)
+                if best is None:
+                    if not asking:
+                        continue
+                    best, asking = BestRows(as_block(pa.concat_tables(asking), dimension), columns), []
+                    everyone = np.arange(len(best.block.qids))
+                    step = min(part_rows, max(1, SCORE_CELLS // len(everyone)))
+                for first in range(0, piece.num_rows, step):
+                    rows = piece.slice(first, step)
+                    units = unit_rows(vector_matrix(rows["vector"], dimension))
+                    best.add(best.block.units @ units.T, rows.select(columns), everyone)
+        if best is not None:
+            yield best.result(arrow_out)
 
     return met.mapInArrow(run, out)
 
@@ -236,21 +242,44 @@ def rank_hits(hits: DataFrame, max_k: int) -> DataFrame:
     )
 
 
+def grid_of(n_queries: int, n_rows: int, dimension: int, max_k: int, payload: int, pairs: int) -> tuple[int, int]:
+    """Groups of queries and slabs of the index: a task scores about ``pairs`` of them.
+
+    A group fits ``HELD_BYTES`` with its hits (``payload`` more columns each). Of the
+    grids that do, the one that shuffles least: queries go to every slab and bring hits
+    from it, index rows go to every group.
+    """
+    held = 8 * dimension + 2 * max_k * (48 + 80 * payload)
+    least = max(1, math.ceil(n_queries * held / HELD_BYTES))
+    cells = max(1, math.ceil(n_queries * n_rows / pairs))
+    asked, found = 4 * dimension * n_queries, max_k * (32 + 16 * payload) * n_queries
+
+    def shuffled(grid: tuple[int, int]) -> int:
+        groups, slabs = grid
+        return slabs * (asked + found) + groups * 4 * dimension * n_rows
+
+    return min(((max(least, math.ceil(cells / slabs)), slabs) for slabs in range(1, cells + 1)), key=shuffled)
+
+
+def pairs_of_task(spark: SparkSession, pairs: int) -> int:
+    """Scores for each task of a grid: all cores work, and a task's time does not grow with the tables."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    return max(LEAST_PAIRS, min(MOST_PAIRS, math.ceil(pairs / tasks)))
+
+
 def in_grid(
-    queries: DataFrame, index: DataFrame, dimension: int, n_queries: int, n_rows: int, part_bytes: int = PART_BYTES
+    queries: DataFrame, index: DataFrame, dimension: int, n_queries: int, n_rows: int, max_k: int, payload: int = 0
 ) -> tuple[DataFrame, DataFrame, int]:
     """Both sides with the ``cell`` in which they meet, and the number of cells.
 
-    The index is cut into parts by id, each within ``part_bytes``; queries go to every
-    part. A small index has too few parts for all tasks: then queries are cut as well.
+    Queries are cut into groups by their id, the index into slabs; every group meets every slab.
     """
-    tasks = 2 * queries.sparkSession.sparkContext.defaultParallelism
-    parts = max(math.ceil(8 * dimension * n_rows / part_bytes), min(tasks, math.ceil(n_rows / LEAST_PART)), 1)
-    groups = max(1, min(tasks // parts, math.ceil(n_queries / LEAST_PART)))
-    part, group = F.pmod(F.xxhash64("id"), F.lit(parts)), F.pmod(F.xxhash64("qid"), F.lit(groups))
-    to_groups = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: part * groups + g))
-    to_parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: p * groups + group))
-    return queries.withColumn("cell", to_parts), index.withColumn("cell", to_groups), parts * groups
+    pairs = pairs_of_task(queries.sparkSession, n_queries * n_rows)
+    groups, slabs = grid_of(n_queries, n_rows, dimension, max_k, payload, pairs)
+    slab, group = F.pmod(F.xxhash64("id"), F.lit(slabs)), F.pmod(F.xxhash64("qid"), F.lit(groups))
+    to_groups = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: slab * groups + g))
+    to_slabs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(slabs - 1)), lambda s: s * groups + group))
+    return queries.withColumn("cell", to_slabs), index.withColumn("cell", to_groups), slabs * groups
 
 
 def exact_top_k(
@@ -278,8 +307,8 @@ def exact_top_k(
         block = as_block(queries.select("qid", "k", "vector").toArrow(), dimension)
         shared = queries.sparkSession.sparkContext.broadcast(block)
         return rank_hits(score_block(index, shared, dimension, list(payload)), block.max_limit)
-    asked, held, cells = in_grid(queries, index, dimension, n_queries, n_rows, part_bytes)
-    return rank_hits(score_cells(held, asked, dimension, list(payload), cells), max_k)
+    asked, held, cells = in_grid(queries, index, dimension, n_queries, n_rows, max_k, len(payload))
+    return rank_hits(score_cells(held, asked, dimension, list(payload), cells, part_bytes), max_k)
 
 
 def top_k_for_one(

@@ -101,7 +101,7 @@ def exact(spark, sf_dir):
         SELECT qid, rank, id, round(score, 6) AS score FROM hits""",
 )
 def limit_per_query(spark, sf_dir):
-    """Every query has its own number of results; small parts make a grid of many cells."""
+    """Every query has its own number of results; tasks of the grid take the index in small parts."""
     wanted = F.element_at(F.array(*map(F.lit, (5, 60, 120))), (F.col("qid") % 3 + 1).cast("int"))
     queries = I.vector_queries(spark, sf_dir, 1).withColumn("k", wanted.cast("long"))
     found = exact_top_k(queries, I.points(spark, sf_dir), I.VECTOR_DIM, part_bytes=8 * I.VECTOR_DIM * 100)

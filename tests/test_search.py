@@ -241,3 +241,15 @@ def test_provider_agreement(spark):
     right = spark.createDataFrame([("a", [2.0, 4.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.02])], "id string, vector array<float>")
     rows = hits.compare_vectors(left, right).orderBy("id").collect()
     assert [r["agrees"] for r in rows] == [True, False, False]
+
+
+def test_a_grid_is_bounded_by_its_scores_not_by_small_parts():
+    from repolumen.operators import scoring
+
+    for n in (10_000, 100_000, 600_000):
+        pairs = min(scoring.MOST_PAIRS, -(-n * n // 24))
+        for k, payload in ((10, 1), (120, 0)):
+            groups, slabs = scoring.grid_of(n, n, 64, k, payload, pairs)
+            assert n * n / (groups * slabs) <= pairs  # scores of a task
+            assert n / groups * (8 * 64 + 2 * k * (48 + 80 * payload)) <= scoring.HELD_BYTES
+            assert groups * slabs <= 200 and slabs <= 20
