@@ -62,7 +62,8 @@ def read_stored_readmes(spark: SparkSession, path: str, folders: bool = False) -
     writes them. Hidden names are left out. An import format only: one file per
     document is too many files for a large corpus.
     """
-    files = spark.read.text(path, wholetext=True)
+    # Names come from the paths: no column is inferred from the folders.
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=folders)
     name = F.col("_metadata.file_name")
     if folders:
         name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/name=([^/]+)/[^/]+$", 1))
