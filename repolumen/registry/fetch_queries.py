@@ -74,12 +74,9 @@ def to_fetch(spark, sf_dir):
 def stored_readmes(spark, sf_dir):
     """A file for every document, read back whole under its name."""
     path = scratch_path(spark, "stored")
-    files = I.stored(spark, sf_dir).select("name", F.col("content").alias("value"))
-    writer = files.repartition("name").write.partitionBy("name")
-    # Every task moves its own files into place; by default the driver moves all, one after the other.
-    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    writers.write_stored_readmes(I.stored(spark, sf_dir).select("name", "content"), path)
     found = readers.read_stored_readmes(spark, path, folders=True)
-    # The text writer ends every row with a line break.
+    # The writer ends every text with a line break.
     text = F.expr("substring(content, 1, char_length(content) - 1)")
     return found.select("name", text.alias("content"))
 

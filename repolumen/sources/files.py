@@ -13,6 +13,14 @@ def _opened(spark: SparkSession, path: str) -> tuple:
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The path as ``open`` takes it, or None in a store that only Hadoop reads."""
+    target, fs = _opened(spark, path)
+    if fs.getUri().getScheme() != "file":
+        return None
+    return fs.makeQualified(target).toUri().getPath()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target, fs = _opened(spark, path)
     return fs.exists(target)

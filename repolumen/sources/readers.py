@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repolumen.operators.origins import recent, slice_rows
 from repolumen.sources import schemas
-from repolumen.sources.files import path_exists
+from repolumen.sources.files import local_folder, path_exists
+from repolumen.sources.stored import part_folders, read_part
 
 
 def read_origins(spark: SparkSession, path: str) -> DataFrame:
@@ -58,10 +61,15 @@ def count_rows(spark: SparkSession, path: str) -> int:
 def read_stored_readmes(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
     """Directory of one-document files: whole file as ``content``, its name as ``name``.
 
-    With ``folders``, a document is the file in a folder ``name=<its name>``, as Spark
-    writes them. Hidden names are left out. An import format only: one file per
+    With ``folders``, documents are as ``write_stored_readmes`` leaves them: files
+    ``name=<its name>`` in a folder per task, or each a file in a folder ``name=<its name>``,
+    as Spark writes them. Hidden names are left out. An import format only: one file per
     document is too many files for a large corpus.
     """
+    root = local_folder(spark, path) if folders else None
+    parts = part_folders(root) if root else []
+    if parts:
+        return _read_parts(spark, parts)
     # Names come from the paths: no column is inferred from the folders.
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=folders)
     name = F.col("_metadata.file_name")
@@ -70,6 +78,18 @@ def read_stored_readmes(spark: SparkSession, path: str, folders: bool = False) -
     return files.select(name.alias("name"), F.col("value").alias("content"))
 
 
+def _read_parts(spark: SparkSession, parts: list[str]) -> DataFrame:
+    """Every folder is listed and read by a task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                yield from read_part(parts[part])
+
+    found = spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, "name binary, content binary")
+    return found.select(F.col("name").cast("string"), F.col("content").cast("string"))
+
+
 def read_readme_records(spark: SparkSession, path: str, dated: bool = False) -> DataFrame:
     """JSON lines of README records."""
     schema = schemas.DATED_README_RECORD if dated else schemas.README_RECORD

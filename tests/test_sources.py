@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from repolumen.operators.embedding import Embedder
 from repolumen.operators.index import read_index
 from repolumen.plans import crawl
 from repolumen.plans.ingest import collect_batches, plan_batches
-from repolumen.sources import readers, schemas, writers
+from repolumen.sources import readers, schemas, stored, writers
 from repolumen.streaming.ingest import read_record_stream, start_ingest
 from tests.conftest import plan_of
 
@@ -65,6 +66,89 @@ def test_stored_files_are_read_whole(spark, tmp_path):
     assert sorted(r["repo_name"] for r in records.collect()) == ["a/b", "a/c_d"]
 
 
+STORED_ROWS = [
+    ("a/b c+d%2F_main_README.md", "line one\nline two\n"),
+    ("é_main_README.md", "😀\r\n"),
+    ("twice", "same"),
+    ("twice", "same"),
+    ("empty", ""),
+    ("missing", None),
+    (None, "no name"),
+    ("_hidden", "x" * 5_000_000),
+]
+STORED_FILES = [
+    ("__HIVE_DEFAULT_PARTITION__", "no name\n"),
+    ("_hidden", "x" * 5_000_000 + "\n"),
+    ("a/b c+d%2F_main_README.md", "line one\nline two\n\n"),
+    ("empty", "\n"),
+    ("missing", "\n"),
+    ("twice", "same\nsame\n"),
+    ("é_main_README.md", "😀\r\n\n"),
+]
+
+
+@pytest.mark.parametrize("bounds", [{}, {"REPEATED_NAMES": 0}, {"TASK_FILES": 100}])
+def test_stored_readmes_come_back_by_tasks(spark, tmp_path, monkeypatch, bounds):
+    """A file per name; neither folders nor what the driver lists grow with the documents."""
+    for bound, value in bounds.items():
+        monkeypatch.setattr(writers, bound, value)
+    rows = [*STORED_ROWS, *((f"d{i}", f"text {i}") for i in range(3000))]
+    path = tmp_path / "stored"
+    writers.write_stored_readmes(spark.createDataFrame(rows, "name string, content string").repartition(3), str(path))
+    folders = list(path.iterdir())
+    assert 0 < len(folders) <= 3 + 4 and all(f.name.startswith("part-") for f in folders)
+    assert sum(f.is_file() for folder in folders for f in folder.iterdir()) == 3000 + len(STORED_FILES)
+    found = readers.read_stored_readmes(spark, str(path), folders=True)
+    assert found.rdd.getNumPartitions() == len(folders)
+    expected = [*STORED_FILES, *((f"d{i}", f"text {i}\n") for i in range(3000))]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    with pytest.raises(FileExistsError):
+        writers.write_stored_readmes(spark.createDataFrame(rows, "name string, content string"), str(path))
+
+
+def test_stored_texts_of_single_names_are_not_shuffled(spark, tmp_path):
+    path = tmp_path / "stored"
+    rows = spark.range(1000).select(F.concat(F.lit("d"), "id").alias("name"), F.lit("text").alias("content"))
+    writers.write_stored_readmes(rows.coalesce(2), str(path))
+    assert sorted(f.name for f in path.iterdir()) == ["part-single-00000", "part-single-00001"]
+    assert readers.read_stored_readmes(spark, str(path), folders=True).distinct().count() == 1000
+
+
+def test_stored_readmes_of_an_empty_table(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    writers.write_stored_readmes(spark.createDataFrame([], "name string, content string"), path)
+    assert readers.read_stored_readmes(spark, path, folders=True).collect() == []
+
+
+def test_a_part_is_put_in_place_once(tmp_path):
+    def batches(text, broken=False):
+        yield pa.RecordBatch.from_pydict({"name": pa.array([b"n"], pa.binary()), "text": pa.array([text], pa.binary())})
+        if broken:
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        stored.write_part(str(tmp_path), "a-3", batches(b"first", broken=True))
+    assert not list(tmp_path.iterdir())
+    stored.write_part(str(tmp_path), "a-3", batches(b"second"))
+    stored.write_part(str(tmp_path), "a-3", batches(b"third"))
+    assert [f.name for f in tmp_path.iterdir()] == ["part-a-3"]
+    assert [r for b in stored.read_part(str(tmp_path / "part-a-3")) for r in b.to_pylist()] == [
+        {"name": b"n", "content": b"second\n"}
+    ]
+
+
+def test_stored_readmes_in_a_store_of_hadoop(spark, tmp_path):
+    """Where files cannot be opened by path, Spark writes and lists them; its folders are read anywhere."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.stored.link./in", f"file://{tmp_path}")
+    rows = [("a_b_main_README.md", "one\ntwo"), ("a_c_main_README.md", None), ("twice", "same"), ("twice", "same")]
+    path = "viewfs://stored/in/readmes"
+    writers.write_stored_readmes(spark.createDataFrame(rows, "name string, content string"), path)
+    expected = [("a_b_main_README.md", "one\ntwo\n"), ("a_c_main_README.md", "\n"), ("twice", "same\nsame\n")]
+    for place in (path, str(tmp_path / "readmes")):
+        assert sorted(map(tuple, readers.read_stored_readmes(spark, place, folders=True).collect())) == expected
+
+
 def test_records_keep_null_dates(spark, tmp_path):
     path = str(tmp_path / "jsonl")
     rows = [("h1", "a/b", 'quote " and\nnew line é', 5), ("h2", "a/c", "x", None)]
